@@ -1,0 +1 @@
+"""Empty on purpose: the feature set has no streaming operator (see README)."""
