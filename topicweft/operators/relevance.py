@@ -37,11 +37,9 @@ def word_topic_lift(phi: DataFrame, topics: DataFrame, words: DataFrame, posteri
     prior = topic_prior(topics).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("topic", "p"))), lambda t: t["p"]).alias("p")
     ).scalar()
-    per_topic = lambda x, i: (x * prior[i] if posterior else x / prior[i]) / F.col("p")
-    return (
-        phi.join(words.filter("p > 0"), "word_id")
-        .select("word_id", "word", F.transform("phi", per_topic).alias("lift"))
-    )
+    per_topic = F.zip_with("phi", "prior", lambda x, z: (x * z if posterior else x / z) / F.col("p"))
+    joined = phi.join(words.filter("p > 0"), "word_id").withColumn("prior", prior)
+    return joined.select("word_id", "word", per_topic.alias("lift"))
 
 
 def expansion_scores(lift: DataFrame) -> DataFrame:
@@ -60,7 +58,8 @@ def query_words(scores: DataFrame, n: int) -> DataFrame:
 
 def word_similarity(vectors: DataFrame, seeds: DataFrame, n: int, value: str = "phi") -> DataFrame:
     """``seed_id, word_id, similarity``: per seed word the ``n`` words of largest
-    cosine between topic vectors.
+    cosine between topic vectors, rounded to 12 places so that equal vectors tie
+    whatever the order of summation; the smaller id comes first.
 
     Words and seeds meet per topic. A topic holds most of the vocabulary, so it
     is split into pieces by word and the seed rows are copied to every piece.
@@ -76,7 +75,7 @@ def word_similarity(vectors: DataFrame, seeds: DataFrame, n: int, value: str = "
         .join(long, seed, by=["word_id"])
         .filter("word_id <> seed_id")
         .groupBy("seed_id", "word_id")
-        .agg((F.sum(part) / (F.first("norm") * F.first("_norm"))).alias("similarity"))
+        .agg(F.round(F.sum(part) / (F.first("norm") * F.first("_norm")), 12).alias("similarity"))
     )
     best = F.struct((-F.col("similarity")).alias("s"), F.col("word_id"))
     return _smallest(products, "seed_id", best, n).select(
@@ -113,7 +112,7 @@ def query_topic_likelihood(
     counts = words.join(model.word_topics(), "word_id", "left").join(model.phi(), "word_id", "left")
     frequency = C.document_frequency(corpus).join(words.select("word"), "word", "left_semi")
     n_w = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    background = F.coalesce(F.col("df"), F.lit(0)) / docs
+    background = F.coalesce(F.col("df"), F.lit(0)) / F.col("docs")
     zeros = F.array_repeat(F.lit(0.0), model.k)
     trained = F.coalesce(F.when(n_w > 0, F.transform("n", lambda x: x / n_w)), zeros)
     smoothed = F.zip_with(
@@ -121,7 +120,8 @@ def query_topic_likelihood(
         F.coalesce("phi", zeros),
         lambda ml, p: F.lit(theta) * (F.lit(lam) * ml + F.lit(1 - lam) * background) + F.lit(1 - theta) * p,
     )
-    mixed = by_topic(counts.join(frequency, "word", "left").select("word_id", smoothed.alias("p")), "p")
+    rows = counts.join(frequency, "word", "left").withColumn("docs", docs)
+    mixed = by_topic(rows.select("word_id", smoothed.alias("p")), "p")
     fold = F.sum("p") if combine == "sum" else F.sum(F.log("p"))
     return mixed.groupBy("topic").agg(fold.alias("likelihood"))
 
@@ -134,7 +134,8 @@ def user_topic_relevance(theta: DataFrame, corpus: DataFrame, likelihood: DataFr
     per_topic = likelihood.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("topic", "likelihood"))), lambda t: t["likelihood"]).alias("l")
     ).scalar()
-    weighted = theta.select("doc_id", F.zip_with("theta", per_topic, lambda t, q: t * q).alias("w"))
+    rows = theta.withColumn("likelihood", per_topic)
+    weighted = rows.select("doc_id", F.zip_with("theta", "likelihood", lambda t, q: t * q).alias("w"))
     sums = (
         weighted.join(corpus.select("doc_id", "user_id"), "doc_id")
         .groupBy("user_id")
