@@ -107,16 +107,22 @@ def _doc_sweep(
                 ids, row = np.unique(word, return_inverse=True)
                 by_word = np.empty((len(ids), k))
                 by_word[row] = np.asarray(flat).reshape(-1, k)
-                by_doc = np.bincount(z, minlength=k).astype(float)
-                by_topic = totals.copy()
-                new = np.empty(len(z), dtype=np.int32)
-                for i, (r, old) in enumerate(zip(row, z)):
-                    for counts in (by_doc, by_word[r], by_topic):
-                        counts[old] -= 1
-                    running = np.cumsum((by_doc + alpha) * (by_word[r] + beta) / (by_topic + v * beta))
-                    t = new[i] = min(int(np.searchsorted(running, u[i] * running[-1])), k - 1)
-                    for counts in (by_doc, by_word[r], by_topic):
-                        counts[t] += 1
+                by_word += beta
+                by_doc = np.bincount(z, minlength=k) + alpha
+                by_topic = totals + v * beta
+                weights, running, new = np.empty(k), np.empty(k), []
+                for r, old, x in zip(row.tolist(), z.tolist(), u.tolist()):
+                    words = by_word[r]
+                    by_doc[old] -= 1
+                    words[old] -= 1
+                    by_topic[old] -= 1
+                    np.divide(np.multiply(by_doc, words, weights), by_topic, weights)
+                    np.add.accumulate(weights, out=running)
+                    t = min(int(running.searchsorted(x * running[-1])), k - 1)
+                    by_doc[t] += 1
+                    words[t] += 1
+                    by_topic[t] += 1
+                    new.append(t)
                 parts.append(pd.DataFrame({"doc_id": doc, "pos": pos, "word_id": word, "z": new}))
             if parts:
                 yield pd.concat(parts)
@@ -274,16 +280,17 @@ def _fold_documents(state: DataFrame, k: int, alpha: float, sweeps: int, seed: i
             rows = []
             for doc, _, z, key, flat in batch.itertuples(index=False):
                 shares = np.asarray(flat).reshape(-1, k)
-                draws = np.random.default_rng(int(key[0])).random((sweeps, len(z)))
-                topics = np.array(z)
-                counts = np.bincount(topics, minlength=k).astype(float)
-                for s in range(sweeps):
-                    for i in range(len(topics)):
+                rng = np.random.default_rng(int(key[0]))
+                topics = z.tolist()
+                counts = np.bincount(z, minlength=k) + alpha
+                weights, running = np.empty(k), np.empty(k)
+                for _ in range(sweeps):
+                    for i, x in enumerate(rng.random(len(topics)).tolist()):
                         counts[topics[i]] -= 1
-                        running = np.cumsum(shares[i] * (counts + alpha))
-                        topics[i] = min(int(np.searchsorted(running, draws[s, i] * running[-1])), k - 1)
-                        counts[topics[i]] += 1
-                rows.append((doc, counts.astype(int).tolist()))
+                        np.add.accumulate(np.multiply(shares[i], counts, weights), out=running)
+                        t = topics[i] = min(int(running.searchsorted(x * running[-1])), k - 1)
+                        counts[t] += 1
+                rows.append((doc, np.bincount(topics, minlength=k).tolist()))
             yield pd.DataFrame(rows, columns=["doc_id", "n"])
 
     schema = f"doc_id {dict(state.dtypes)['doc_id']}, n array<bigint>"

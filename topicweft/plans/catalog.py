@@ -237,32 +237,32 @@ def _root(edges):
 
 @query
 def bfs_hops(spark, sf):
-    edges = B.edges(spark, sf)
+    edges = B.graph(spark, sf).edges
     return P.bfs(edges, _root(edges), max_depth=50).select("id", F.col("level").cast("long").alias("hops"))
 
 
 @query
 def bfs_levels_parents(spark, sf):
-    edges = B.edges(spark, sf)
+    edges = B.graph(spark, sf).edges
     return P.bfs(edges, _root(edges), max_depth=10).select("id", F.col("level").cast("long"), "parents")
 
 
 @query
 def sssp(spark, sf):
-    edges = B.edges(spark, sf)
+    edges = B.graph(spark, sf).edges
     return P.shortest_paths(edges, _root(edges)).select("id", "distance")
 
 
 @query
 def betweenness(spark, sf):
-    edges = B.edges(spark, sf)
+    edges = B.graph(spark, sf).edges
     found = P.betweenness(edges, _root(edges)).vertices
     return found.select("id", F.col("level").cast("long"), r6("sigma").alias("sigma"), r6("credit").alias("credit"))
 
 
 @query
 def edge_betweenness(spark, sf):
-    edges = B.edges(spark, sf)
+    edges = B.graph(spark, sf).edges
     return P.betweenness(edges, _root(edges)).edges.select("src", "dst", r6("credit").alias("credit"))
 
 

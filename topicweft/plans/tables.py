@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from ..operators.graph import Graph
 from .ranges import spread_small
+from .scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_edges(edges(spark, sf_dir))
+    """The edge table written once, for the operators that read it several times."""
+    return Graph.from_edges(Scratch(spark, "graph").save(edges(spark, sf_dir), "edges"))
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
