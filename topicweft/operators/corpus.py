@@ -5,7 +5,6 @@ A corpus has columns ``user_id string, doc_id, words array<string>``.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +69,6 @@ def doc_term_matrix(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
     return joined.select("doc_id", "word_id", F.col("count").alias("n"))
 
 
-def term_vectors(corpus: DataFrame, vocab_words: list[str]) -> DataFrame:
-    """Sparse count vector per document over a dictionary that fits the driver."""
-    model = CountVectorizerModel.from_vocabulary(vocab_words, "words", "features")
-    return model.transform(corpus).select("doc_id", "features")
-
-
 def sample_rows(df: DataFrame, rate: float, seed: int = 11) -> DataFrame:
     """Bernoulli sample without replacement."""
     return df.sample(withReplacement=False, fraction=rate, seed=seed)

@@ -18,14 +18,17 @@ def word_pairs(tokens: DataFrame) -> DataFrame:
     return known.groupBy("doc_id", "word_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_likelihood(pairs: DataFrame, theta: DataFrame, phi: DataFrame, k: int) -> DataFrame:
+def token_likelihood(
+    pairs: DataFrame, theta: DataFrame, phi: DataFrame, k: int, hot: HotKeys | None = None
+) -> DataFrame:
     """``doc_id, word_id, n, p`` with ``p = sum over topics theta * phi``; 0 for
     words or documents the model does not know.
 
     Driven by the (document, word) pairs that occur; documents times words is
-    never formed. Frequent words are split over several tasks.
+    never formed. Frequent words (``hot``, by default counted from the pairs) are
+    split over several tasks.
     """
-    hot = HotKeys(count_by(pairs, "word_id"), "word_id")
+    hot = hot or HotKeys(count_by(pairs, "word_id"), "word_id")
     joined = hot.join(pairs, phi, by=["doc_id"], how="left").join(theta, "doc_id", "left")
     return joined.select(
         "doc_id", "word_id", "n", F.coalesce(dot(F.col("theta"), F.col("phi"), k), F.lit(0.0)).alias("p")

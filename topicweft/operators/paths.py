@@ -18,10 +18,8 @@ class Adjacency:
     """Edges kept partitioned by source for a loop; hubs split into pieces."""
 
     def __init__(self, edges: DataFrame):
-        spark = edges.sparkSession
         self.hot = HotKeys(count_by(edges, "src"), "src")
-        width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        self.edges = self.hot.spread(edges, "dst").repartition(width, *self.hot.keys).persist()
+        self.edges = self.hot.spread(edges, "dst").repartition(self.hot.parts, *self.hot.keys).persist()
 
     def expand(self, frontier: DataFrame) -> DataFrame:
         """Out-edges of the frontier rows (column ``id``), frontier columns kept."""
@@ -91,6 +89,7 @@ def shortest_paths(
             .select(*keep, "fresh")
         )
         known = scratch.save(merged, f"step={step}")
+        scratch.drop(f"step={step - 1}")
         if known.filter("fresh").isEmpty():
             break
     adjacency.release()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import total
+from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys, count_by
 from . import corpus as C
 from .topics import LdaModel, by_topic
@@ -104,11 +105,11 @@ def query_topic_likelihood(
 ) -> DataFrame:
     """``topic, likelihood`` of a query set.
 
-    Per word ``theta*(lam*n_kw/n_w + (1-lam)*df_w/D) + (1-theta)*phi_kw``, then
+    The query set is written first, since four tables are joined to it. Per word ``theta*(lam*n_kw/n_w + (1-lam)*df_w/D) + (1-theta)*phi_kw``, then
     the sum over the words (``combine="logsum"``: the sum of logarithms).
     """
     docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    words = query.select("word_id", "word")
+    words = Scratch(query.sparkSession, "query").save(query.select("word_id", "word"), "words")
     counts = words.join(model.word_topics(), "word_id", "left").join(model.phi(), "word_id", "left")
     frequency = C.document_frequency(corpus).join(words.select("word"), "word", "left_semi")
     n_w = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)

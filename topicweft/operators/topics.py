@@ -16,6 +16,7 @@ No topic-word matrix is ever held by the driver or a single task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -82,14 +83,44 @@ def _sync_sweep(
     return _sync_draws(rows, weights, ["doc_id", "pos", "word_id"], seed, sweep)
 
 
-def _documents(tokens: DataFrame, vector: str, *columns: str) -> DataFrame:
-    """One row per document: aligned arrays in text order, the tokens' vectors
-    end to end in ``vectors``. A row is as large as the document's text."""
-    item = F.struct("pos", *columns, F.col(vector).cast("array<double>").alias("vector"))
-    grouped = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("t"))
-    return grouped.select(
-        "doc_id", *[F.col(f"t.{c}").alias(c) for c in ("pos", *columns)], F.flatten("t.vector").alias("vectors")
-    )
+def _per_document(tokens: DataFrame, vector: str, k: int, columns: list[str], run, schema: str) -> DataFrame:
+    """Apply ``run`` to the tokens of one document after the other, in text order.
+
+    Rows are hashed and sorted by document, so a document is a stretch of its
+    partition; ``run(doc, data, vectors)`` gets its columns as arrays, with one
+    K-vector per token, and returns a frame. No document is split, and a task
+    holds the current one only.
+    """
+    cells = [F.col(vector)[i].alias(f"_v{i}") for i in range(k)]
+    ordered = tokens.select("doc_id", "pos", *columns, *cells).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+
+    def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"_v{i}" for i in range(k)]
+
+        def finish(parts):
+            data = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+            ids, vectors = data["doc_id"].to_numpy(), data[names].to_numpy(dtype=float)
+            starts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+            arrays = {c: data[c].to_numpy() for c in ["pos", *columns]}
+            return pd.concat(
+                [run(ids[i], {c: a[i:j] for c, a in arrays.items()}, vectors[i:j]) for i, j in zip(starts, starts[1:])]
+            )
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["doc_id"].iloc[-1]
+            cut = len(batch) - int((batch["doc_id"].to_numpy() == last)[::-1].argmin() or len(batch))
+            if cut == 0 and (not held or held[-1]["doc_id"].iloc[-1] == last):
+                held.append(batch)
+                continue
+            yield finish(held + [batch.iloc[:cut]] if cut else held)
+            held = [batch.iloc[cut:]]
+        if held:
+            yield finish(held)
+
+    return ordered.mapInPandas(documents, schema)
 
 
 def _doc_sweep(
@@ -100,52 +131,65 @@ def _doc_sweep(
     tokens = hot.join(state, words, by=["doc_id", "pos"])
     tokens = tokens.withColumn("u", uniform(seed, F.col("doc_id"), F.col("pos"), sweep))
 
-    def redraw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for doc, pos, word, z, u, flat in batch.itertuples(index=False):
-                ids, row = np.unique(word, return_inverse=True)
-                by_word = np.empty((len(ids), k))
-                by_word[row] = np.asarray(flat).reshape(-1, k)
-                by_word += beta
-                by_doc = np.bincount(z, minlength=k) + alpha
-                by_topic = totals + v * beta
-                weights, running, new = np.empty(k), np.empty(k), []
-                for r, old, x in zip(row.tolist(), z.tolist(), u.tolist()):
-                    words = by_word[r]
-                    by_doc[old] -= 1
-                    words[old] -= 1
-                    by_topic[old] -= 1
-                    np.divide(np.multiply(by_doc, words, weights), by_topic, weights)
-                    np.add.accumulate(weights, out=running)
-                    t = min(int(running.searchsorted(x * running[-1])), k - 1)
-                    by_doc[t] += 1
-                    words[t] += 1
-                    by_topic[t] += 1
-                    new.append(t)
-                parts.append(pd.DataFrame({"doc_id": doc, "pos": pos, "word_id": word, "z": new}))
-            if parts:
-                yield pd.concat(parts)
+    def redraw(doc, data: dict[str, np.ndarray], vectors: np.ndarray) -> pd.DataFrame:
+        _, first, row = np.unique(data["word_id"], return_index=True, return_inverse=True)
+        by_word = vectors[first] + beta
+        by_doc = np.bincount(data["z"], minlength=k) + alpha
+        by_topic = totals + v * beta
+        weights, running, new = np.empty(k), np.empty(k), []
+        for r, old, x in zip(row.tolist(), data["z"].tolist(), data["u"].tolist()):
+            word = by_word[r]
+            by_doc[old] -= 1
+            word[old] -= 1
+            by_topic[old] -= 1
+            np.divide(np.multiply(by_doc, word, weights), by_topic, weights)
+            np.add.accumulate(weights, out=running)
+            t = min(int(running.searchsorted(x * running[-1])), k - 1)
+            by_doc[t] += 1
+            word[t] += 1
+            by_topic[t] += 1
+            new.append(t)
+        return pd.DataFrame({"doc_id": doc, "pos": data["pos"], "word_id": data["word_id"], "z": new})
 
     schema = f"doc_id {dict(state.dtypes)['doc_id']}, pos int, word_id bigint, z int"
-    return _documents(tokens, "n_word", "word_id", "z", "u").mapInPandas(redraw, schema)
+    return _per_document(tokens, "n_word", k, ["word_id", "z", "u"], redraw, schema)
 
 
 class LdaModel:
-    """A trained state with its dictionary; every table is derived on demand."""
+    """A trained state with its dictionary. The count tables are written once, on
+    first use; the shares and reports are derived from them."""
 
     def __init__(self, state: DataFrame, vocab: DataFrame, k: int, alpha: float, beta: float):
         self.state, self.vocab, self.k, self.alpha, self.beta = state, vocab, k, alpha, beta
+        self._scratch = Scratch(state.sparkSession, "lda-counts")
+
+    @cached_property
+    def _word_topics(self) -> DataFrame:
+        return self._scratch.save(word_topic_counts(self.state, self.k), "word_topics")
+
+    @cached_property
+    def _doc_topics(self) -> DataFrame:
+        return self._scratch.save(doc_topic_counts(self.state, self.k), "doc_topics")
 
     def word_topics(self) -> DataFrame:
-        return word_topic_counts(self.state, self.k)
+        """``word_id, n array``."""
+        return self._word_topics
 
     def doc_topics(self) -> DataFrame:
-        return doc_topic_counts(self.state, self.k)
+        """``doc_id, n array``."""
+        return self._doc_topics
+
+    def _sums(self) -> DataFrame:
+        return self._word_topics.agg(F.array(*[F.sum(F.col("n")[i]) for i in range(self.k)]).alias("n"))
+
+    @cached_property
+    def totals(self) -> list[int]:
+        """Tokens per topic: K numbers, the only part the driver holds."""
+        return self._sums().first()["n"] or [0] * self.k
 
     def topics(self) -> DataFrame:
         """``topic, n``."""
-        return by_topic(topic_totals(self.state, self.k), "n")
+        return by_topic(self._sums(), "n")
 
     def theta(self) -> DataFrame:
         """``doc_id, theta array``: share of each topic in a document, not smoothed."""
@@ -155,16 +199,13 @@ class LdaModel:
 
     def phi(self) -> DataFrame:
         """``word_id, phi array``: share of the word in each topic, not smoothed."""
-        words = self.word_topics()
-        totals = topic_totals(self.state, self.k).scalar()
-        share = [F.when(totals[i] > 0, F.col("n")[i] / totals[i]).otherwise(0.0) for i in range(self.k)]
-        return words.select("word_id", F.array(*share).alias("phi"))
+        share = [F.col("n")[i] / F.lit(float(t)) if t else F.lit(0.0) for i, t in enumerate(self.totals)]
+        return self.word_topics().select("word_id", F.array(*share).alias("phi"))
 
     def top_words(self, n: int) -> DataFrame:
         """``topic, rank, word, n, p``: the n most frequent words of each topic."""
-        words = self.word_topics()
-        totals = topic_totals(self.state, self.k).scalar()
-        return top_per_topic(by_topic(words, "n").filter("n > 0"), "n", n).join(self.vocab.select("word_id", "word"), "word_id").select(
+        totals = F.array(*[F.lit(float(t)) for t in self.totals])
+        return top_per_topic(by_topic(self.word_topics(), "n").filter("n > 0"), "n", n).join(self.vocab.select("word_id", "word"), "word_id").select(
             "topic", "rank", "word", "n", (F.col("n") / totals[F.col("topic")]).alias("p")
         )
 
@@ -206,9 +247,11 @@ def fit_lda(
     mode: str = "doc",
     resume: DataFrame | None = None,
     first_sweep: int = 1,
+    keep_every: int = 10,
 ) -> LdaModel:
-    """Train by ``sweeps`` Gibbs sweeps. Every sweep's state is a table in the
-    shared checkpoint folder; pass one as ``resume`` to go on from it."""
+    """Train by ``sweeps`` Gibbs sweeps. A sweep's state is a table in the shared
+    checkpoint folder; the last one and every ``keep_every``-th stay, and one of
+    them may be given as ``resume`` to go on from it."""
     if mode not in ("doc", "sync"):
         raise ValueError("mode is 'doc' or 'sync'")
     scratch = Scratch(corpus.sparkSession, "lda")
@@ -222,6 +265,8 @@ def fit_lda(
     sweep_once = _sync_sweep if mode == "sync" else _doc_sweep
     for sweep in range(first_sweep, first_sweep + sweeps):
         state = scratch.save(sweep_once(state, k, alpha, beta, v, seed, sweep, hot), f"sweep={sweep}")
+        if sweep > first_sweep and (sweep - 1) % keep_every:
+            scratch.drop(f"sweep={sweep - 1}")
     return LdaModel(state, vocab, k, alpha, beta)
 
 
@@ -264,6 +309,7 @@ def infer_theta(
             ]
             drawn = _sync_draws(state.join(docs, "doc_id"), weights, ["doc_id", "pos", "word_id", "phi"], seed, sweep)
             state = scratch.save(drawn, f"sweep={sweep}")
+            scratch.drop(f"sweep={sweep - 1}")
         counts = doc_topic_counts(state, k)
     else:
         counts = _fold_documents(state, k, a, sweeps, seed)
@@ -275,24 +321,19 @@ def _fold_documents(state: DataFrame, k: int, alpha: float, sweeps: int, seed: i
     """All sweeps of a document inside one task: with fixed word shares it needs
     nothing from any other document."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, _, z, key, flat in batch.itertuples(index=False):
-                shares = np.asarray(flat).reshape(-1, k)
-                rng = np.random.default_rng(int(key[0]))
-                topics = z.tolist()
-                counts = np.bincount(z, minlength=k) + alpha
-                weights, running = np.empty(k), np.empty(k)
-                for _ in range(sweeps):
-                    for i, x in enumerate(rng.random(len(topics)).tolist()):
-                        counts[topics[i]] -= 1
-                        np.add.accumulate(np.multiply(shares[i], counts, weights), out=running)
-                        t = topics[i] = min(int(running.searchsorted(x * running[-1])), k - 1)
-                        counts[t] += 1
-                rows.append((doc, np.bincount(topics, minlength=k).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n"])
+    def fold(doc, data: dict[str, np.ndarray], shares: np.ndarray) -> pd.DataFrame:
+        rng = np.random.default_rng(int(data["key"][0]))
+        topics = data["z"].tolist()
+        counts = np.bincount(topics, minlength=k) + alpha
+        weights, running = np.empty(k), np.empty(k)
+        for _ in range(sweeps):
+            for i, x in enumerate(rng.random(len(topics)).tolist()):
+                counts[topics[i]] -= 1
+                np.add.accumulate(np.multiply(shares[i], counts, weights), out=running)
+                t = topics[i] = min(int(running.searchsorted(x * running[-1])), k - 1)
+                counts[t] += 1
+        return pd.DataFrame({"doc_id": [doc], "n": [np.bincount(topics, minlength=k).tolist()]})
 
     schema = f"doc_id {dict(state.dtypes)['doc_id']}, n array<bigint>"
     key = (uniform(seed, F.col("doc_id")) * 2**52).cast("long")
-    return _documents(state.withColumn("key", key), "phi", "z", "key").mapInPandas(fold, schema)
+    return _per_document(state.withColumn("key", key), "phi", k, ["z", "key"], fold, schema)

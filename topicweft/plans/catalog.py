@@ -18,6 +18,7 @@ from ..operators import relevance as R
 from ..operators import topics as T
 from ..sources import sinks, text
 from . import tables as B
+from .skew import HotKeys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -608,8 +609,8 @@ def users_nonzero(spark, sf):
 
 def _token_likelihood(spark, sf):
     docs, model = _one_sweep(spark, sf)
-    pairs = K.word_pairs(C.encoded_tokens(docs, model.vocab, "left"))
-    return docs, K.token_likelihood(pairs, model.theta(), model.phi(), TOPICS)
+    hot = HotKeys(model.vocab, "word_id")
+    return docs, K.token_likelihood(K.word_pairs(model.state), model.theta(), model.phi(), TOPICS, hot)
 
 
 @query
@@ -646,9 +647,8 @@ def sparse_theta(spark, sf):
 
 
 def _links(spark, sf):
-    docs, model = _one_sweep(spark, sf)
-    pairs = K.word_pairs(C.encoded_tokens(docs, model.vocab, "left"))
-    return model, K.link_topics(pairs, K.sparse_theta(model.theta(), 0.0), 0.2)
+    _, model = _one_sweep(spark, sf)
+    return model, K.link_topics(K.word_pairs(model.state), K.sparse_theta(model.theta(), 0.0), 0.2)
 
 
 @query

@@ -38,3 +38,9 @@ class Scratch:
     def table(self, name: str, schema: str) -> DataFrame:
         """All partitions written so far below ``name`` (``name/step=0``, ...)."""
         return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Delete a step of this run that later steps no longer read."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

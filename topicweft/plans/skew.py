@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 PIECE = "_piece"
 
 
+ROWS_PER_PIECE = 2_000_000
+MOST_PARTS = 100_000
+
+
 class HotKeys:
     """Keys holding more than ``1/parts`` of the rows, with a piece count each.
 
     ``counts`` has one row per key and its number of rows ``n``. Fewer than
-    ``parts`` keys can be hot, which bounds the broadcast of the hot-key table.
+    ``parts`` keys can be hot, and ``parts`` is at most 100,000, which bounds the
+    broadcast of the hot-key table to a few megabytes. ``parts`` grows with the
+    data: the session's shuffle partitions, or one per two million rows.
     """
 
     def __init__(self, counts: DataFrame, key: str, n: str = "n", parts: int | None = None):
         spark = counts.sparkSession
         self.key = key
-        self.parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         top = counts.agg(F.sum(n).alias("total"), F.max(n).alias("largest")).first()
         total = top["total"] or 0
+        width = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // ROWS_PER_PIECE)
+        self.parts = parts or min(width, MOST_PARTS)
         self.any = total > 0 and top["largest"] * self.parts > total
         if self.any:
             self.hot = counts.filter(F.col(n) * self.parts > total).select(
