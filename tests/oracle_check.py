@@ -31,7 +31,12 @@ def rows_of(df) -> tuple[list[str], list[tuple]]:
 
 
 def compare(spark, con, sf_dir: str, name: str) -> str:
-    got = entry.queries()[name](spark, sf_dir).toPandas()
+    df = entry.queries()[name](spark, sf_dir)
+    got = df.toPandas()
+    plan = df._jdf.queryExecution().toString()
+    for bad in ("CartesianProduct", "NestedLoopJoin"):
+        if bad in plan:
+            return f"FAIL plan has {bad}"
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return f"rows only: {len(got)}"

@@ -145,6 +145,15 @@ def test_betweenness_many_roots(spark):
     assert got == pytest.approx(want)
 
 
+def test_betweenness_with_a_hot_target(spark):
+    """Most edges lead to one vertex."""
+    edges = [(0, i) for i in range(1, 80)] + [(i, 100) for i in range(1, 80)] + [(100, 101)]
+    e = spark.createDataFrame(edges, "src bigint, dst bigint")
+    found = P.betweenness(e, spark.createDataFrame([(0,)], "id bigint"))
+    got = {(r["root"], r["id"]): r["credit"] for r in found.vertices.collect()}
+    assert got == pytest.approx(brandes(edges, 0))
+
+
 def test_betweenness_of_isolated_root(spark):
     e = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
     found = P.betweenness(e, spark.createDataFrame([(2,)], "id bigint"))

@@ -182,3 +182,26 @@ def test_em_lda(spark, small, tmp_path):
     assert len(theta) == 5 and all(sum(r["theta"]) == pytest.approx(1.0) for r in theta)
     model.write().overwrite().save(str(tmp_path / "em"))
     assert DistributedLDAModel.load(str(tmp_path / "em")).vocabSize() == vocab.count()
+
+
+def test_em_lda_on_dense_lines(spark):
+    from topicweft.sources import text
+
+    lines = spark.createDataFrame([("1 2 0",), ("0 1 5",), ("3 0 0",)], "value string")
+    vectors = E.dense_vectors(text.parse_count_vectors(lines))
+    assert E.fit_em_lda(vectors, k=2, iterations=3).vocabSize() == 3
+
+
+def test_long_document_spans_batches(spark, partitions):
+    """A document over several Arrow batches is drawn as one, next to short ones."""
+    partitions(1)
+    texts = [(1, "a b"), (2, "c d " * 40), (3, "a"), (4, "d c b a " * 30), (5, "b")]
+    docs = C.corpus(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text")
+    whole = T.fit_lda(docs, k=3, sweeps=2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = T.fit_lda(docs, k=3, sweeps=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole.state.count() == cut.state.count() == 204
+    assert whole.state.exceptAll(cut.state.select(*whole.state.columns)).count() == 0

@@ -245,7 +245,7 @@ def user_attributes(peeling: Peeling, located: DataFrame, denominator: str = "us
         parts = votes.agg(F.count(F.lit(1)).alias("n")).scalar()
     else:
         parts = F.col("_users")
-    per_community = bounds.join(votes, "iter")
+    per_community = F.broadcast(bounds.join(votes, "iter"))  # one row per iteration
     return (
         located.join(peeling.vertices.select("id", "degree"), "id")
         .join(per_community, "iter")

@@ -126,6 +126,7 @@ def betweenness(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Be
     """
     scratch = Scratch(edges.sparkSession, "betweenness")
     adjacency = Adjacency(edges.select("src", "dst"))
+    targets = HotKeys(count_by(edges, "dst"), "dst")
     schema = "root bigint, id bigint, sigma double, level int"
     seed = roots.select(F.col("id").cast("long").alias("root"), F.col("id").cast("long"), F.lit(1.0).alias("sigma"))
     frontier = scratch.save(seed.distinct(), "reached/level=0")
@@ -153,8 +154,7 @@ def betweenness(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Be
         here = reached.filter(F.col("level") == level).select("root", "id", "sigma")
         child = below.select("root", F.col("id").alias("dst"), F.col("sigma").alias("_s"), F.col("credit").alias("_c"))
         shares = scratch.save(
-            adjacency.expand(here)
-            .join(child, ["root", "dst"])
+            targets.join(adjacency.expand(here), child, by=["src"], also=("root",))
             .select("root", "src", "dst", (F.col("sigma") / F.col("_s") * F.col("_c")).alias("credit")),
             f"edges/level={level}",
         )

@@ -60,9 +60,12 @@ class HotKeys:
     def keys(self) -> list[str]:
         return [self.key, PIECE] if self.any else [self.key]
 
-    def join(self, big: DataFrame, small: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-        """``big`` joined to ``small`` on the key; ``by`` spreads hot rows of ``big``."""
-        out = self.spread(big, *by).join(self.replicate(small), self.keys, how)
+    def join(
+        self, big: DataFrame, small: DataFrame, by: list[str], how: str = "inner", also: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """``big`` joined to ``small`` on the key and the ``also`` columns; ``by``
+        spreads hot rows of ``big``."""
+        out = self.spread(big, *by).join(self.replicate(small), [*also, *self.keys], how)
         return out.drop(PIECE)
 
 
