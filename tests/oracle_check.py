@@ -27,7 +27,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows_of(df) -> tuple[list[str], list[tuple]]:
     names = sorted(df.columns)
-    return names, sorted((tuple(str(v) for v in r) for r in df[names].astype(object).itertuples(index=False)))
+    text = lambda v: str(v + 0.0 if isinstance(v, float) else v)  # noqa: E731  (-0.0 equals 0.0)
+    return names, sorted((tuple(text(v) for v in r) for r in df[names].astype(object).itertuples(index=False)))
 
 
 def compare(spark, con, sf_dir: str, name: str) -> str:

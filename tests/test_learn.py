@@ -19,7 +19,7 @@ def data(spark):
     return rows, spark.createDataFrame(rows, "label double, x double, y double")
 
 
-def reference_descent(rows, iterations, penalty=None, reg=0.01):
+def expected_descent(rows, iterations, penalty=None, reg=0.01):
     a = np.array(rows)
     y, x, w = a[:, 0], a[:, 1:], np.zeros(2)
     for i in range(1, iterations + 1):
@@ -35,7 +35,7 @@ def reference_descent(rows, iterations, penalty=None, reg=0.01):
 def test_descent(data, penalty):
     rows, df = data
     got = L.linear_descent(df, ["x", "y"], iterations=6, penalty=penalty, tolerance=0.0)
-    assert got == pytest.approx(reference_descent(rows, 6, penalty))
+    assert got == pytest.approx(expected_descent(rows, 6, penalty))
 
 
 def test_descent_reaches_least_squares(data):

@@ -63,9 +63,12 @@ def peel(graph: Graph, iterations: int, schedule: Callable[[int], int] = alpha)
     so an iteration shuffles vertex rows and the removed vertices' edges only.
     """
     scratch = Scratch(graph.edges.sparkSession, "peel")
-    adjacency = Adjacency(ends(graph.edges).select(F.col("id").alias("src"), F.col("other").alias("dst")))
     start = graph.vertices.select("id").join(degrees(graph.edges), "id", "left").na.fill(0, ["degree"])
     alive = scratch.save(start, "snapshots/iter=0")
+    adjacency = Adjacency(
+        ends(graph.edges).select(F.col("id").alias("src"), F.col("other").alias("dst")),
+        alive.select(F.col("id").alias("src"), F.col("degree").alias("n")),
+    )
     steps: list[tuple[int, int, int]] = []
     for i in range(1, iterations + 1):
         smallest = alive.filter("degree > 0").agg(F.min("degree")).first()[0]

@@ -15,10 +15,13 @@ from ..plans.skew import PIECE, HotKeys, count_by
 
 
 class Adjacency:
-    """Edges kept partitioned by source for a loop; hubs split into pieces."""
+    """Edges kept partitioned by source for a loop; hubs split into pieces.
 
-    def __init__(self, edges: DataFrame):
-        self.hot = HotKeys(count_by(edges, "src"), "src")
+    ``counts`` (``src, n``) saves counting the edges per source when it is known.
+    """
+
+    def __init__(self, edges: DataFrame, counts: DataFrame | None = None):
+        self.hot = HotKeys(count_by(edges, "src") if counts is None else counts, "src")
         self.edges = self.hot.spread(edges, "dst").repartition(self.hot.parts, *self.hot.keys).persist()
 
     def expand(self, frontier: DataFrame) -> DataFrame:
