@@ -17,6 +17,7 @@ def local_session(cores: str | None = None, partitions: int | None = None) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

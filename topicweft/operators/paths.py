@@ -69,34 +69,30 @@ def shortest_paths(
     adjacency = Adjacency(edges)
     cost = F.col(weight).cast("double") if weight else F.lit(1.0)
     extra = [c for c in sources.columns if c != "id"]
-    keep = ["source", "id", *extra, "distance"]
-    start = sources.withColumn("source", F.col("id")).withColumn("distance", F.lit(0.0)).select(*keep).distinct()
-    known = scratch.save(start.withColumn("fresh", F.lit(True)), "step=0")
+    types = dict(sources.dtypes)
+    pair, keep = ["source", "id"], ["source", "id", *extra, "distance"]
+    columns = [f"{c} {types[c]}" for c in extra]
+    schema = ", ".join(["source bigint", "id bigint", *columns, "distance double", "step int"])
+    carried = [F.first(c).alias(c) for c in extra]
+    start = sources.withColumn("id", F.col("id").cast("long")).withColumns({"source": F.col("id").cast("long"), "distance": F.lit(0.0)})
+    frontier = scratch.save(start.select(*keep).distinct(), "improved/step=0")
     for step in range(1, max_steps + 1):
-        reach = adjacency.expand(known.filter("fresh").select(*keep))
+        reach = adjacency.expand(frontier)
         if allowed is not None:
             reach = reach.filter(allowed)
         offers = (
-            reach.withColumn("distance", F.col("distance") + cost)
-            .withColumn("id", F.col("dst"))
-            .groupBy("source", "id", *extra)
-            .agg(F.min("distance").alias("distance"))
+            reach.select("source", F.col("dst").alias("id"), *extra, (F.col("distance") + cost).alias("distance"))
+            .groupBy(*pair)
+            .agg(F.min("distance").alias("distance"), *carried)
         )
-        both = known.select(*keep, F.col("distance").alias("old")).unionByName(
-            offers.withColumn("old", F.lit(None).cast("double"))
-        )
-        merged = (
-            both.groupBy("source", "id", *extra)
-            .agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
-            .withColumn("fresh", F.col("old").isNull() | (F.col("distance") < F.col("old")))
-            .select(*keep, "fresh")
-        )
-        known = scratch.save(merged, f"step={step}")
-        scratch.drop(f"step={step - 1}")
-        if known.filter("fresh").isEmpty():
+        best = scratch.table("improved", schema).groupBy(*pair).agg(F.min("distance").alias("best"))
+        better = F.col("best").isNull() | (F.col("distance") < F.col("best"))
+        frontier = scratch.save(offers.join(best, pair, "left").filter(better).select(*keep), f"improved/step={step}")
+        if frontier.isEmpty():
             break
     adjacency.release()
-    return known.select(*keep)
+    found = scratch.table("improved", schema).groupBy(*pair).agg(F.min("distance").alias("distance"), *carried)
+    return found.select(*keep)
 
 
 def harmonic_closeness(

@@ -18,6 +18,7 @@ from ..operators import relevance as R
 from ..operators import topics as T
 from ..sources import sinks, text
 from . import tables as B
+from .scratch import Scratch
 from .skew import HotKeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,7 +352,7 @@ def user_attributes(spark, sf):
 def harmonic_closeness(spark, sf):
     """Listed users (nation keys) inside their communities; community 0 skipped."""
     g, peeling = _peeled(spark, sf)
-    leveled = M.edge_levels(g, peeling.vertices).select("src", "dst", "lo")
+    leveled = Scratch(spark, "levels").save(M.edge_levels(g, peeling.vertices).select("src", "dst", "lo"), "edges")
     users = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
     sources = users.join(peeling.vertices, "id").filter("last_iter > 0").select("id", F.col("last_iter").alias("community"))
     rows = P.harmonic_closeness(leveled, sources, allowed=F.col("lo") >= F.col("community"))
