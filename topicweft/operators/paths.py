@@ -22,7 +22,7 @@ class Adjacency:
 
     def __init__(self, edges: DataFrame, counts: DataFrame | None = None):
         self.hot = HotKeys(count_by(edges, "src") if counts is None else counts, "src")
-        self.edges = self.hot.spread(edges, "dst").repartition(self.hot.parts, *self.hot.keys).persist()
+        self.edges = self.hot.spread(edges, "dst").repartition(self.hot.width, *self.hot.keys).persist()
 
     def expand(self, frontier: DataFrame) -> DataFrame:
         """Out-edges of the frontier rows (column ``id``), frontier columns kept."""

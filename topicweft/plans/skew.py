@@ -9,6 +9,7 @@ PIECE = "_piece"
 
 
 ROWS_PER_PIECE = 2_000_000
+FEWEST_ROWS = 50_000
 MOST_PARTS = 100_000
 
 
@@ -26,8 +27,10 @@ class HotKeys:
         self.key = key
         top = counts.agg(F.sum(n).alias("total"), F.max(n).alias("largest")).first()
         total = top["total"] or 0
-        width = max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // ROWS_PER_PIECE)
-        self.parts = parts or min(width, MOST_PARTS)
+        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.parts = parts or min(max(2, shuffles, total // ROWS_PER_PIECE), MOST_PARTS)
+        fewest = max(spark.sparkContext.defaultParallelism, total // FEWEST_ROWS)
+        self.width = min(self.parts, fewest)  # partitions worth keeping for this many rows
         self.any = total > 0 and top["largest"] * self.parts > total
         if self.any:
             self.hot = counts.filter(F.col(n) * self.parts > total).select(
