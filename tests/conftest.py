@@ -26,7 +26,3 @@ def partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def pairs(df, *columns):
-    return {tuple(r) if len(columns or r) > 2 else (r[0], r[1]) for r in (df.select(*columns) if columns else df).collect()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import total
+from ..functions.arrays import total, zeros
 from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys, count_by
 from . import corpus as C
@@ -114,11 +114,11 @@ def query_topic_likelihood(
     frequency = C.document_frequency(corpus).join(words.select("word"), "word", "left_semi")
     n_w = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
     background = F.coalesce(F.col("df"), F.lit(0)) / F.col("docs")
-    zeros = F.array_repeat(F.lit(0.0), model.k)
-    trained = F.coalesce(F.when(n_w > 0, F.transform("n", lambda x: x / n_w)), zeros)
+    none = zeros(model.k)
+    trained = F.coalesce(F.when(n_w > 0, F.transform("n", lambda x: x / n_w)), none)
     smoothed = F.zip_with(
         trained,
-        F.coalesce("phi", zeros),
+        F.coalesce("phi", none),
         lambda ml, p: F.lit(theta) * (F.lit(lam) * ml + F.lit(1 - lam) * background) + F.lit(1 - theta) * p,
     )
     rows = counts.join(frequency, "word", "left").withColumn("docs", docs)
