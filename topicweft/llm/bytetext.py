@@ -77,7 +77,7 @@ def runs(data: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
 
 
 @cache
-def _mixed_bytes() -> np.ndarray:
+def mixed_bytes() -> np.ndarray:
     """A fixed 64-bit number for each byte value."""
     return mixed(np.arange(1, 257, dtype=U))
 
@@ -133,7 +133,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, kind: np.ndarray = NOT_SPACE
     if lower:
         data = LOWERED[data]
     starts, stops, first = runs(data, ends, kind)
-    return span_hashes(prefix_sums(_mixed_bytes()[data]), starts, stops), starts, stops, first
+    return span_hashes(prefix_sums(mixed_bytes()[data]), starts, stops), starts, stops, first
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, token_counts
+from . import decontaminate, exact_dedup, language_id, packing, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
 SQL = {
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
