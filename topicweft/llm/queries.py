@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, lm_scoring, packing, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
