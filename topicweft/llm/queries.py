@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, lm_scoring, packing, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, licenses, lm_scoring, packing, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_language_id": language_id.op8_language_id,
