@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, lm_scoring, packing, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, licenses, lm_scoring, near_join, packing, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_ngram_jaccard_join": near_join.op2_ngram_jaccard_join,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_license_scan": licenses.op5_license_scan,
