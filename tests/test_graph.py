@@ -101,7 +101,10 @@ def test_distances(spark, people):
 
 def test_bfs_depth_cap_and_unreachable(spark, people):
     start = spark.createDataFrame([(5,)], "id bigint")
-    assert P.bfs(people.edges, start, max_depth=1).count() == 4
+    assert P.bfs(people.edges, start, depth=1).count() == 4
+    with pytest.raises(P.Unfinished):
+        P.bfs(people.edges, start, max_steps=1)
+    assert P.bfs(people.edges, start, max_steps=2).count() == 6
     leaf = spark.createDataFrame([(1,)], "id bigint")
     assert rows(P.bfs(people.edges, leaf)) == [(1, 0, 0)]
 
@@ -167,7 +170,7 @@ def test_community_values(spark, community):
     assert (row["edges"], row["cs"]) == (3, 12)
     assert row["phi"] == pytest.approx(0.5) and row["fd"] == pytest.approx(0.5)
     assert row["q"] == pytest.approx(0.030612, abs=1e-6)
-    assert M.set_metrics(community, members, whole_volume=True).first()["phi"] == pytest.approx(0.5)
+    assert M.set_metrics(community, members, whole_volume=True).first()["phi"] == pytest.approx(0.375)
 
 
 def test_greedy_literal(community):
@@ -234,8 +237,41 @@ def test_peel_brute_force(spark, iterations):
     g = G.Graph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint"))
     found = M.peel(g, iterations)
     assert as_dict(found.vertices, value="last_iter") == peel(edges, iterations)
-    sizes = [r["n"] for r in found.snapshots.groupBy("iter").agg(F.count("*").alias("n")).orderBy("iter").collect()]
-    assert sizes == sorted(sizes, reverse=True)
+    last = peel(edges, iterations)
+    for row in found.sizes.collect():
+        inside = {v for v, i in last.items() if i >= row["iter"]}
+        degree = dict.fromkeys(inside, 0)
+        for a, b in edges:
+            if a in inside and b in inside:
+                degree[a] += 1
+                degree[b] += 1
+        positive = [d for d in degree.values() if d]
+        assert (row["vertices"], row["degree_sum"]) == (len(inside), sum(degree.values()))
+        assert (row["lo"], row["hi"]) == (min(positive, default=None), max(degree.values()))
+
+
+def test_peel_until_nothing_is_left(spark):
+    edges = random_edges(8, 60, 400)
+    found = M.peel(G.Graph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint")))
+    assert as_dict(found.vertices, value="last_iter") == peel(edges, found.last) and found.at(found.last).count() == 0
+    assert found.at(found.last - 1).count() > 0
+
+
+def test_a_long_chain_is_searched_to_its_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1) for i in range(60)], "src bigint, dst bigint, attr bigint")
+    start = spark.createDataFrame([(0,)], "id bigint")
+    assert as_dict(P.bfs(chain, start).select("id", "level")) == {i: i for i in range(61)}
+    with pytest.raises(P.Unfinished):
+        P.shortest_paths(chain, start, max_steps=10)
+    with pytest.raises(P.Unfinished):
+        P.betweenness(chain, start, max_steps=10)
+
+
+def test_closeness_in_batches(spark):
+    edges = spark.createDataFrame(random_edges(5, 40, 160), "src bigint, dst bigint")
+    sources = spark.createDataFrame([(i,) for i in range(10)], "id bigint")
+    whole = as_dict(P.harmonic_closeness(edges, sources), value="closeness")
+    assert as_dict(P.harmonic_closeness(edges, sources, batch=3), value="closeness") == pytest.approx(whole)
 
 
 def test_alpha_schedule():

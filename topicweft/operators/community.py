@@ -1,7 +1,7 @@
 """Core peeling, community search and community measures.
 
-Peeled snapshots are nested, so one table ``snapshots(id, degree, iter)`` (the
-vertices alive after iteration ``iter`` with their degree there) answers every
+Peeled snapshots are nested, so a row per vertex (``id, degree, last_iter``: the last
+snapshot that holds it and its degree there) and a row of sums per iteration answer every
 question about every community at once.
 """
 
@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys
 from .graph import Graph, degrees, ends, triplets
-from .paths import Adjacency
+from .paths import Adjacency, adjacency_of, steps
 
-SNAPSHOT = "id bigint, degree bigint, iter int"
+LEFT = "id bigint, degree bigint, last_iter int"
+SIZES = "iter int, vertices bigint, degree_sum bigint, lo bigint, hi bigint"
 
 
 def alpha(iteration: int) -> int:
@@ -29,83 +30,104 @@ def alpha(iteration: int) -> int:
 
 
 class Peeling:
-    """Snapshots of a peeling run and the threshold applied in each iteration."""
+    """Result of a peeling run.
 
-    def __init__(self, snapshots: DataFrame, steps: list[tuple[int, int, int]]):
-        self.snapshots = snapshots
-        self._steps = steps
+    ``vertices(id, degree, last_iter)``; ``sizes`` has a row per snapshot with its number
+    of vertices, degree sum and smallest positive and largest degree; snapshot 0 is the graph.
+    """
+
+    def __init__(self, vertices: DataFrame, sizes: list[tuple], thresholds: list[tuple[int, int, int]]):
+        self.vertices = vertices
+        self._sizes = sizes
+        self._thresholds = thresholds
 
     @property
     def last(self) -> int:
-        return len(self._steps)
+        return len(self._thresholds)
 
     @property
     def steps(self) -> DataFrame:
         """``iter, alpha, min_degree``: one row per iteration."""
-        return self.snapshots.sparkSession.createDataFrame(self._steps, "iter int, alpha int, min_degree bigint")
+        return self.vertices.sparkSession.createDataFrame(self._thresholds, "iter int, alpha int, min_degree bigint")
 
     @property
-    def vertices(self) -> DataFrame:
-        """``id, degree, last_iter``: last snapshot of each vertex and its degree there."""
-        limits = F.array(*[F.lit(max(a, m)).cast("long") for _, a, m in self._steps], F.lit(2**62))
-        leaves = F.col("degree") <= F.get(limits, F.col("iter"))
-        return self.snapshots.filter(leaves).select("id", "degree", F.col("iter").alias("last_iter"))
+    def sizes(self) -> DataFrame:
+        """``iter, vertices, degree_sum, lo, hi`` of the snapshots that aren't empty."""
+        return self.vertices.sparkSession.createDataFrame([s for s in self._sizes if s[1]], SIZES)
 
     def at(self, iteration: int) -> DataFrame:
-        return self.snapshots.filter(F.col("iter") == iteration)
+        """Vertices alive after the iteration."""
+        return self.vertices.filter(F.col("last_iter") >= iteration).select("id")
 
 
-def peel(graph: Graph, iterations: int, schedule: Callable[[int], int] = alpha) -> Peeling:
+def peel(graph: Graph, iterations: int | None = None, schedule: Callable[[int], int] = alpha) -> Peeling:
     """Per iteration keep the vertices whose degree exceeds both the schedule and
-    the smallest positive degree; stop early when nothing is left.
+    the smallest positive degree, until nothing is left (or for ``iterations``).
 
-    Degrees are kept up to date by subtracting the edges of removed vertices,
-    so an iteration shuffles vertex rows and the removed vertices' edges only.
+    Degrees are kept up to date by subtracting the edges of removed vertices, so an iteration
+    shuffles vertex rows and the removed vertices' edges only. A vertex is kept once, when it
+    leaves; of the state only the current table stays, and its sums are taken while it is written.
     """
-    scratch = Scratch(graph.edges.sparkSession, "peel")
+    spark = graph.edges.sparkSession
+    scratch = Scratch(spark, "peel")
+    sizes, thresholds = [], []
+
+    def saved(df: DataFrame, iteration: int) -> DataFrame:
+        seen = Observation()
+        measures = [
+            F.count(F.lit(1)).alias("n"), F.sum("degree").alias("total"),
+            F.min(F.when(F.col("degree") > 0, F.col("degree"))).alias("lo"), F.max("degree").alias("hi"),
+        ]
+        out = scratch.save(df.observe(seen, *measures), f"alive-{iteration}")
+        found = seen.get
+        sizes.append((iteration, found["n"], found["total"], found["lo"], found["hi"]))
+        return out
+
     start = graph.vertices.select("id").join(degrees(graph.edges), "id", "left").na.fill(0, ["degree"])
-    alive = scratch.save(start, "snapshots/iter=0")
-    adjacency = Adjacency(
-        ends(graph.edges).select(F.col("id").alias("src"), F.col("other").alias("dst")),
-        alive.select(F.col("id").alias("src"), F.col("degree").alias("n")),
-    )
-    steps: list[tuple[int, int, int]] = []
-    for i in range(1, iterations + 1):
-        smallest = alive.filter("degree > 0").agg(F.min("degree")).first()[0]
-        if smallest is None:
-            if alive.isEmpty():
+    alive = saved(start, 0)
+    both = ends(graph.edges).select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    with adjacency_of(both, alive.select(F.col("id").alias("src"), F.col("degree").alias("n"))) as adjacency:
+        for i in steps(None, "peeling"):
+            n, smallest = sizes[-1][1], sizes[-1][3] or 0
+            if not n or (iterations is not None and i > iterations):
                 break
-            smallest = 0
-        steps.append((i, schedule(i), smallest))
-        limit = max(schedule(i), smallest)
-        gone = alive.filter(F.col("degree") <= limit).select("id")
-        lost = adjacency.expand(gone).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
-        alive = scratch.save(
-            alive.filter(F.col("degree") > limit)
-            .join(lost, "id", "left")
-            .select("id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")),
-            f"snapshots/iter={i}",
-        )
-    adjacency.release()
-    return Peeling(scratch.table("snapshots", SNAPSHOT), steps)
+            thresholds.append((i, schedule(i), smallest))
+            limit = max(schedule(i), smallest)
+            gone = scratch.save(alive.filter(F.col("degree") <= limit), f"left/last_iter={i - 1}").select("id")
+            lost = adjacency.expand(gone).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+            alive = saved(
+                alive.filter(F.col("degree") > limit)
+                .join(lost, "id", "left")
+                .select("id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")),
+                i,
+            )
+            scratch.drop(f"alive-{i - 1}")
+    rest = alive.withColumn("last_iter", F.lit(len(thresholds)))
+    vertices = scratch.table("left", LEFT).unionByName(rest) if thresholds else rest
+    return Peeling(vertices, sizes, thresholds)
+
+
+def users_kept(peeling: Peeling, users: DataFrame) -> DataFrame:
+    """``iter, users``: listed users alive after each iteration, from one row per iteration."""
+    last = (
+        peeling.vertices.join(users.select("id").distinct(), "id", "left_semi")
+        .groupBy("last_iter").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        last.withColumn("iter", F.explode(F.sequence(F.lit(0), "last_iter")))
+        .groupBy("iter").agg(F.sum("n").alias("users"))
+    )
 
 
 def peel_stats(peeling: Peeling, users: DataFrame) -> DataFrame:
     """Per iteration: threshold parts, vertices and edges left, listed users
     removed and kept."""
-    size = peeling.snapshots.groupBy("iter").agg(
-        F.count(F.lit(1)).alias("vertices"), (F.sum("degree") / 2).cast("long").alias("edges")
-    )
-    listed = (
-        peeling.snapshots.join(users.select("id").distinct(), "id", "left_semi")
-        .groupBy("iter")
-        .agg(F.count(F.lit(1)).alias("users_kept"))
-    )
-    per_iter = size.join(listed, "iter", "left").na.fill(0, ["users_kept"])
-    before = per_iter.select((F.col("iter") + 1).alias("iter"), F.col("users_kept").alias("_before"))
+    size = peeling.sizes.select("iter", "vertices", (F.col("degree_sum") / 2).cast("long").alias("edges"))
+    kept = users_kept(peeling, users)
+    before = kept.select((F.col("iter") + 1).alias("iter"), F.col("users").alias("_before"))
+    per_iter = peeling.steps.join(size, "iter", "left").join(kept.withColumnRenamed("users", "users_kept"), "iter", "left")
     return (
-        peeling.steps.join(per_iter, "iter", "left")
-        .na.fill(0, ["vertices", "edges", "users_kept"])
+        per_iter.na.fill(0, ["vertices", "edges", "users_kept"])
         .join(before, "iter", "left")
         .select(
             "iter", "alpha", "min_degree", "vertices", "edges", "users_kept",
@@ -165,14 +187,8 @@ def community_metrics(graph: Graph, peeling: Peeling, base: int = 1) -> DataFram
     Edges are read once, into one count per pair of end levels (at most
     iterations squared rows); each community is a sum over that small table.
     """
-    size = (
-        peeling.snapshots.filter(F.col("iter") > base)
-        .groupBy("iter")
-        .agg(
-            F.count(F.lit(1)).alias("m"),
-            F.sum("degree").alias("degree_sum"),
-            F.min(F.when(F.col("degree") > 0, F.col("degree"))).alias("dm"),
-        )
+    size = peeling.sizes.filter(F.col("iter") > base).select(
+        "iter", F.col("vertices").alias("m"), "degree_sum", F.col("lo").alias("dm")
     )
     pairs = (
         edge_levels(graph, peeling.vertices)
@@ -203,8 +219,8 @@ def community_metrics(graph: Graph, peeling: Peeling, base: int = 1) -> DataFram
 
 
 def set_metrics(graph: Graph, members: DataFrame, whole_volume: bool = False) -> DataFrame:
-    """The measures of one vertex set against its graph. ``whole_volume`` uses the
-    degree sum of the graph instead of the complement in the conductance."""
+    """The measures of one vertex set against its graph. ``whole_volume`` puts the degree
+    sum of the graph in the place of the set's own in the conductance."""
     marked = graph.vertices.select("id").join(members.select("id", F.lit(1).alias("inside")), "id", "left").na.fill(0)
     pairs = triplets(Graph(marked, graph.edges)).agg(
         F.count(F.lit(1)).alias("all_edges"),
@@ -213,13 +229,14 @@ def set_metrics(graph: Graph, members: DataFrame, whole_volume: bool = False) ->
     )
     m = members.agg(F.count(F.lit(1)).cast("double").alias("m")).scalar()
     e, cut, whole = F.col("edges").cast("double"), F.col("cut").cast("double"), F.col("all_edges").cast("double")
-    outside = 2 * whole if whole_volume else 2 * (whole - e - cut) + cut
+    outside = 2 * (whole - e - cut) + cut
     volume = 2 * e + cut
+    inside = 2 * whole + cut if whole_volume else volume
     return pairs.select(
         m.alias("m"), "edges", (2 * F.col("cut")).alias("cs"),
         (e / (m * (m - 1))).alias("fd"),
         (e / whole - 0.25 * (volume / whole) * (volume / whole)).alias("q"),
-        (cut / F.least(volume, outside)).alias("phi"),
+        (cut / F.least(inside, outside)).alias("phi"),
     )
 
 
@@ -237,18 +254,14 @@ def user_attributes(peeling: Peeling, located: DataFrame, denominator: str = "us
     """Per listed user, in the community of its last snapshot: relative degree
     ``(deg - min) / (max - min)``, community size and label agreement (mean of
     +1, or -1 for label ``N``)."""
-    bounds = peeling.snapshots.groupBy("iter").agg(
-        F.min(F.when(F.col("degree") > 0, F.col("degree"))).alias("lo"),
-        F.max("degree").alias("hi"),
-        F.count(F.lit(1)).alias("community_size"),
-    )
+    bounds = peeling.sizes.select("iter", "lo", "hi", F.col("vertices").alias("community_size"))
     sign = F.when(F.col("label") == "N", -1.0).otherwise(1.0)
     votes = located.groupBy("iter").agg(F.sum(sign).alias("_sum"), F.count(F.lit(1)).alias("_users"))
     if denominator == "communities":
         parts = votes.agg(F.count(F.lit(1)).alias("n")).scalar()
     else:
         parts = F.col("_users")
-    per_community = F.broadcast(bounds.join(votes, "iter"))  # one row per iteration
+    per_community = bounds.join(votes, "iter")  # one row per iteration
     return (
         located.join(peeling.vertices.select("id", "degree"), "id")
         .join(per_community, "iter")
@@ -294,7 +307,11 @@ def greedy_community(graph: Graph, target: int, columns: list[str] | None = None
     else:
         weighted = graph.edges.select("src", "dst", F.lit(1).cast("long").alias("w"))
     both = weighted.unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    adjacency = Adjacency(both)
+    with adjacency_of(both) as adjacency:
+        return _greedy(graph, target, scratch, adjacency)
+
+
+def _greedy(graph: Graph, target: int, scratch: Scratch, adjacency: Adjacency) -> DataFrame:
     scores = adjacency.edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("score"))
     start = graph.vertices.select("id").join(scores, "id", "left").na.fill(0, ["score"])
     alive = scratch.save(start, "round=0")
@@ -335,7 +352,6 @@ def greedy_community(graph: Graph, target: int, columns: list[str] | None = None
     while smallest < own:
         alive = drop(alive, smallest + 1)
         smallest, own = state(alive)
-    adjacency.release()
     return alive
 
 

@@ -6,11 +6,13 @@ One distributed aggregate per iteration; the driver holds the weights only.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ranges import bucket_of, cut_points, default_buckets, with_bucket_offsets
+from ..plans.ranges import BUCKET, ranged, with_lower_totals
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,7 +59,21 @@ def linear_descent(
     """
     if penalty not in (None, "l1", "l2"):
         raise ValueError("penalty is None, 'l1' or 'l2'")
-    data = df.select(label, *features).persist()
+    with kept(df.select(label, *features)) as data:
+        return _linear_descent(data, features, label, iterations, step, penalty, reg, tolerance)
+
+
+@contextmanager
+def kept(data: DataFrame) -> Iterator[DataFrame]:
+    """Rows kept for the passes of a loop, and let go however it ends."""
+    data.persist()
+    try:
+        yield data
+    finally:
+        data.unpersist()
+
+
+def _linear_descent(data, features, label, iterations, step, penalty, reg, tolerance) -> list[float]:
     weights = [0.0] * len(features)
     for i in range(1, iterations + 1):
         sums, n = _gradient(data, score(weights, features) - F.col(label), features)
@@ -72,7 +88,6 @@ def linear_descent(
         weights = moved
         if i > 1 and change < tolerance * max(math.hypot(*weights), 1.0):
             break
-    data.unpersist()
     return weights
 
 
@@ -86,17 +101,21 @@ def logistic_descent(
 ) -> list[float]:
     """Logistic weights for labels -1 and +1; each iteration subtracts the summed
     gradient ``(1/(1+exp(-y w.x)) - 1) y x``."""
-    data = df.select(label, *features).persist()
     weights = list(start or [0.0] * len(features))
     y = F.col(label)
-    for _ in range(iterations):
-        factor = (1.0 / (1.0 + F.exp(-y * score(weights, features))) - 1.0) * y
-        sums, _n = _gradient(data, factor, features)
-        weights = [w - step * g for w, g in zip(weights, sums)]
-    data.unpersist()
+    with kept(df.select(label, *features)) as data:
+        for _ in range(iterations):
+            factor = (1.0 / (1.0 + F.exp(-y * score(weights, features))) - 1.0) * y
+            sums, _n = _gradient(data, factor, features)
+            weights = [w - step * g for w, g in zip(weights, sums)]
     return weights
 
 
+def called(score: Column, threshold: float = 0.5) -> Column:
+    """1 where the score is above the threshold, else 0."""
+    return F.when(score > threshold, 1.0).otherwise(0.0)
+
+
 def weight_table(spark, features: list[str], weights: list[float]) -> DataFrame:
     return spark.createDataFrame(list(zip(features, map(float, weights))), "feature string, weight double")
 
@@ -108,16 +127,15 @@ def mean_squared_error(df: DataFrame, label: str, prediction: Column) -> DataFra
 def area_under_roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Exact area under the ROC curve; a tie counts half.
 
-    Rows are first counted per distinct score. The counts below a score come
-    from range buckets, so no task orders more than one bucket.
+    Rows are first counted per distinct score, and the counts are written once. Those below
+    a score come from range partitions, so no task orders more than one of them.
     """
     hit = F.when(positive, 1).otherwise(0)
     per_score = df.groupBy(F.col(score).alias("s")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
-    cuts = cut_points(per_score, "s", default_buckets(per_score))
-    bucketed = with_bucket_offsets(per_score.withColumn("bucket", bucket_of(F.col("s"), cuts)), {"_base": "neg"})
-    below = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = with_lower_totals(ranged(per_score, "s"), {"_base": "neg"})
+    below = Window.partitionBy(BUCKET).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_base") + F.coalesce(F.sum("neg").over(below), F.lit(0))
     wins = F.col("pos") * (before + F.col("neg") / 2)
     return bucketed.select(wins.alias("wins"), "pos", "neg").agg(
@@ -154,3 +172,13 @@ def class_metrics(matrix: DataFrame) -> DataFrame:
         ratio(2 * F.col("h"), F.col("a") + F.col("c")).alias("f"),
         (hits / everything).alias("accuracy"),
     )
+
+
+def save_weights(df: DataFrame, path: str) -> None:
+    """A weight table as a folder; a repeated write replaces it."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, path: str, features: list[str]) -> list[float]:
+    found = {r["feature"]: r["weight"] for r in spark.read.parquet(path).collect()}
+    return [found[f] for f in features]

@@ -1,12 +1,17 @@
 """Hop distances, shortest paths, closeness and betweenness.
 
-All loops run frontier by frontier: only vertices reached or improved in the
-last step meet the edges. Edges are partitioned once; every step is written to
-the shared checkpoint folder.
+All loops run frontier by frontier until the frontier is empty: only vertices
+reached or improved in the last step meet the edges. Edges are partitioned once;
+every step is written to the shared checkpoint folder. A caller's limit on the
+steps that would leave the result incomplete raises ``Unfinished``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from ..plans.scratch import Scratch
 from ..plans.skew import PIECE, HotKeys, count_by
 
 
+class Unfinished(RuntimeError):
+    """The limit on the number of steps was reached before the frontier was empty."""
+
+
 class Adjacency:
     """Edges kept partitioned by source for a loop; hubs split into pieces.
 
@@ -33,15 +42,43 @@ class Adjacency:
         self.edges.unpersist()
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
+@contextmanager
+def adjacency_of(edges: DataFrame, counts: DataFrame | None = None) -> Iterator[Adjacency]:
+    """Edges for one loop; given back however the loop ends. The kept partitions can be
+    made again from the edges, so a lost executor costs its share of them."""
+    adjacency = Adjacency(edges, counts)
+    try:
+        yield adjacency
+    finally:
+        adjacency.release()
+
+
+def steps(limit: int | None, what: str) -> Iterator[int]:
+    """1, 2, ... without end, or an error in the step after the limit."""
+    for step in count(1):
+        if limit is not None and step > limit + 1:
+            raise Unfinished(f"{what} isn't complete after {limit} steps")
+        yield step
+
+
+def bfs(edges: DataFrame, sources: DataFrame, depth: int | None = None, max_steps: int | None = None) -> DataFrame:
     """``id, level, parents``: hops from the nearest source, and the number of
-    edges that reach the vertex from the level before (0 for a source)."""
-    scratch = Scratch(edges.sparkSession, "bfs")
-    adjacency = Adjacency(edges.select("src", "dst"))
+    edges that reach the vertex from the level before (0 for a source).
+
+    ``depth`` asks for the levels up to that one only; ``max_steps`` bounds a search
+    that is meant to be complete, and raises where it isn't.
+    """
+    with adjacency_of(edges.select("src", "dst")) as adjacency:
+        return _bfs(adjacency, Scratch(edges.sparkSession, "bfs"), sources, depth, max_steps)
+
+
+def _bfs(adjacency: Adjacency, scratch: Scratch, sources: DataFrame, depth: int | None, max_steps: int | None) -> DataFrame:
     schema = "id bigint, parents bigint, level int"
     seed = sources.select(F.col("id").cast("long"), F.lit(0).cast("long").alias("parents")).distinct()
     frontier = scratch.save(seed, "reached/level=0")
-    for level in range(1, max_depth + 1):
+    for level in steps(max_steps, "the search"):
+        if depth is not None and level > depth:
+            break
         seen = scratch.table("reached", schema).select("id")
         step = (
             adjacency.expand(frontier.select("id"))
@@ -52,21 +89,31 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 50) -> DataFrame:
         frontier = scratch.save(step, f"reached/level={level}")
         if frontier.isEmpty():
             break
-    adjacency.release()
     return scratch.table("reached", schema).select("id", "level", "parents")
 
 
+COMPACT = 4
+
+
 def shortest_paths(
-    edges: DataFrame, sources: DataFrame, weight: str | None = "attr", allowed: Column | None = None, max_steps: int = 1000
+    edges: DataFrame, sources: DataFrame, weight: str | None = "attr", allowed: Column | None = None,
+    max_steps: int | None = None,
 ) -> DataFrame:
     """``source, id, distance`` for every reachable pair, all sources in one loop.
 
     ``sources`` has column ``id`` and may carry more columns; ``allowed`` may
     compare those with edge columns to bar edges per source. Weights must not
-    be negative; ``weight=None`` counts hops.
+    be negative; ``weight=None`` counts hops. Every fourth step the current distances
+    are written as one table, and the steps before it are dropped, so a step reads
+    the current state and at most three steps of improvements, however many steps there were.
     """
-    scratch = Scratch(edges.sparkSession, "sssp")
-    adjacency = Adjacency(edges)
+    with adjacency_of(edges) as adjacency:
+        return _shortest_paths(adjacency, Scratch(edges.sparkSession, "sssp"), sources, weight, allowed, max_steps)
+
+
+def _shortest_paths(
+    adjacency: Adjacency, scratch: Scratch, sources: DataFrame, weight: str | None, allowed: Column | None, max_steps: int | None
+) -> DataFrame:
     cost = F.col(weight).cast("double") if weight else F.lit(1.0)
     extra = [c for c in sources.columns if c != "id"]
     types = dict(sources.dtypes)
@@ -75,8 +122,14 @@ def shortest_paths(
     schema = ", ".join(["source bigint", "id bigint", *columns, "distance double", "step int"])
     carried = [F.first(c).alias(c) for c in extra]
     start = sources.withColumn("id", F.col("id").cast("long")).withColumns({"source": F.col("id").cast("long"), "distance": F.lit(0.0)})
-    frontier = scratch.save(start.select(*keep).distinct(), "improved/step=0")
-    for step in range(1, max_steps + 1):
+    frontier = scratch.save(start.select(*keep).distinct(), "state-0/step=0")
+    state, previous = "state-0", None
+
+    def current() -> DataFrame:
+        found = scratch.table(state, schema).groupBy(*pair).agg(F.min("distance").alias("distance"), *carried)
+        return found.select(*keep)
+
+    for step in steps(max_steps, "the search"):
         reach = adjacency.expand(frontier)
         if allowed is not None:
             reach = reach.filter(allowed)
@@ -85,27 +138,48 @@ def shortest_paths(
             .groupBy(*pair)
             .agg(F.min("distance").alias("distance"), *carried)
         )
-        best = scratch.table("improved", schema).groupBy(*pair).agg(F.min("distance").alias("best"))
+        best = current().select(*pair, F.col("distance").alias("best"))
         better = F.col("best").isNull() | (F.col("distance") < F.col("best"))
-        frontier = scratch.save(offers.join(best, pair, "left").filter(better).select(*keep), f"improved/step={step}")
+        frontier = scratch.save(offers.join(best, pair, "left").filter(better).select(*keep), f"{state}/step={step}")
         if frontier.isEmpty():
             break
-    adjacency.release()
-    found = scratch.table("improved", schema).groupBy(*pair).agg(F.min("distance").alias("distance"), *carried)
-    return found.select(*keep)
+        if step % COMPACT == 0:  # the frontier is read from the state before until the next step
+            scratch.save(current(), f"state-{step}/step={step}")
+            if previous:
+                scratch.drop(previous)
+            previous, state = state, f"state-{step}"
+    return current()
+
+
+SOURCES_TOGETHER = 256
 
 
 def harmonic_closeness(
-    edges: DataFrame, sources: DataFrame, weight: str | None = None, allowed: Column | None = None
+    edges: DataFrame, sources: DataFrame, weight: str | None = None, allowed: Column | None = None, batch: int = SOURCES_TOGETHER
 ) -> DataFrame:
-    """Sum of inverse distances from each source to the vertices it reaches."""
+    """Sum of inverse distances from each source to the vertices it reaches.
+
+    Sources advance together in batches of about ``batch``, so the state is that many times the
+    vertices at most; of a finished batch only the sums are kept.
+    """
+    scratch = Scratch(edges.sparkSession, "closeness")
     extra = [c for c in sources.columns if c != "id"]
     inverse = F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(0.0)
-    return (
-        shortest_paths(edges, sources, weight, allowed)
-        .groupBy(F.col("source").alias("id"), *extra)
-        .agg(F.sum(inverse).alias("closeness"))
-    )
+    batches = max(1, -(-sources.count() // batch))
+    out = None
+    with adjacency_of(edges) as adjacency:
+        for k in range(batches):
+            part = sources.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)
+            walk = Scratch(edges.sparkSession, "sssp")
+            sums = (
+                _shortest_paths(adjacency, walk, part, weight, allowed, None)
+                .groupBy(F.col("source").alias("id"), *extra)
+                .agg(F.sum(inverse).alias("closeness"))
+            )
+            saved = scratch.save(sums, f"batch={k}")
+            walk.drop("")
+            out = saved if out is None else out.unionByName(saved)
+    return out
 
 
 class Betweenness:
@@ -116,21 +190,26 @@ class Betweenness:
         self.edges = edges
 
 
-def betweenness(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Betweenness:
+def betweenness(edges: DataFrame, roots: DataFrame, max_steps: int | None = None) -> Betweenness:
     """Shortest-path credit from each root over directed edges (Brandes 2001).
 
     Forward, level by level, the number of shortest paths ``sigma``; backward,
     ``credit(v) = 1 + sum sigma(v)/sigma(w) * credit(w)`` over the next level.
     The root itself gets no credit row. All roots advance together.
     """
-    scratch = Scratch(edges.sparkSession, "betweenness")
-    adjacency = Adjacency(edges.select("src", "dst"))
+    with adjacency_of(edges.select("src", "dst")) as adjacency:
+        return _betweenness(adjacency, Scratch(edges.sparkSession, "betweenness"), edges, roots, max_steps)
+
+
+def _betweenness(
+    adjacency: Adjacency, scratch: Scratch, edges: DataFrame, roots: DataFrame, max_steps: int | None
+) -> Betweenness:
     targets = HotKeys(count_by(edges, "dst"), "dst")
     schema = "root bigint, id bigint, sigma double, level int"
     seed = roots.select(F.col("id").cast("long").alias("root"), F.col("id").cast("long"), F.lit(1.0).alias("sigma"))
     frontier = scratch.save(seed.distinct(), "reached/level=0")
     depth = 0
-    for level in range(1, max_depth + 1):
+    for level in steps(max_steps, "the forward pass"):
         seen = scratch.table("reached", schema).select("root", "id")
         step = (
             adjacency.expand(frontier.select("root", "id", "sigma"))
@@ -164,7 +243,6 @@ def betweenness(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> Be
             ),
             f"credit/level={level}",
         )
-    adjacency.release()
     credits = scratch.table("credit", credit_schema).filter("level > 0 or root <> id")
     if depth == 0:
         no_edges = edges.sparkSession.createDataFrame([], "root bigint, src bigint, dst bigint, credit double")

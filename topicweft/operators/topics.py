@@ -159,8 +159,14 @@ class LdaModel:
     """A trained state with its dictionary. The count tables are written once, on
     first use; the shares and reports are derived from them."""
 
-    def __init__(self, state: DataFrame, vocab: DataFrame, k: int, alpha: float, beta: float):
+    def __init__(
+        self, state: DataFrame, vocab: DataFrame, k: int, alpha: float, beta: float,
+        word_topics: DataFrame | None = None, doc_topics: DataFrame | None = None,
+    ):
         self.state, self.vocab, self.k, self.alpha, self.beta = state, vocab, k, alpha, beta
+        for name, saved in (("_word_topics", word_topics), ("_doc_topics", doc_topics)):
+            if saved is not None:
+                self.__dict__[name] = saved
         self._scratch = Scratch(state.sparkSession, "lda-counts")
 
     @cached_property
@@ -244,7 +250,7 @@ def fit_lda(
     beta: float = 0.01,
     sweeps: int = 100,
     seed: int = 11,
-    mode: str = "doc",
+    mode: str = "sync",
     resume: DataFrame | None = None,
     first_sweep: int = 1,
     keep_every: int = 10,
@@ -287,7 +293,7 @@ def infer_theta(
     alpha: float | None = None,
     sweeps: int = 50,
     seed: int = 11,
-    mode: str = "doc",
+    mode: str = "sync",
     oov: str = "drop",
 ) -> DataFrame:
     """Smoothed topic shares of new documents with the trained word shares fixed:

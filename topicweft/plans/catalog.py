@@ -16,7 +16,7 @@ from ..operators import mltopics as E
 from ..operators import paths as P
 from ..operators import relevance as R
 from ..operators import topics as T
-from ..sources import sinks, text
+from ..sources import models, sinks, text
 from . import tables as B
 from .scratch import Scratch
 from .skew import HotKeys
@@ -26,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 
 TOPICS = 4
 SEED = 11
-PEEL_ITERATIONS = 12
+SWEEPS = 20
 QUERY_WORDS = 20
 
 
@@ -149,6 +149,111 @@ def canonical_edges_text(spark, sf):
     return text.parse_edges(lines, canonical=True).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- files and models ----
+
+
+def _folder(spark, label):
+    """A folder of the run below the shared one, for tables that are written and read back."""
+    return Scratch(spark, label).base
+
+
+def _part_rows(spark, sf):
+    return B.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+
+
+def _parsed_parts(lines):
+    return text.parse_delimited(lines, "id bigint, size int, price double")
+
+
+@query
+def delimited_file_roundtrip(spark, sf):
+    """Rows to delimited text files and back."""
+    path = _folder(spark, "delimited")
+    sinks.write_delimited(_part_rows(spark, sf), path)
+    return _parsed_parts(text.read_lines(spark, path))
+
+
+@query
+def folder_scan(spark, sf):
+    """Two folders of lines read by one glob."""
+    path = _folder(spark, "folders")
+    rows = _part_rows(spark, sf)
+    sinks.write_delimited(rows.filter("p_size <= 25"), f"{path}/small")
+    sinks.write_delimited(rows.filter("p_size > 25"), f"{path}/large")
+    return _parsed_parts(text.read_lines(spark, f"{path}/*"))
+
+
+@query
+def single_file_report(spark, sf):
+    """A report of one line per source in one file."""
+    path = _folder(spark, "report")
+    report = B.table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_single_file(report, path)
+    return text.parse_delimited(text.read_lines(spark, path), "source string, n bigint")
+
+
+@query
+def snapshot_roundtrip(spark, sf):
+    """Snapshots of two iterations, one of them written twice; the edges of that one."""
+    path, g = _folder(spark, "snapshots"), B.graph(spark, sf)
+    models.write_snapshot(G.subgraph(g, edge=F.col("attr") > 25), 2, path)
+    for _ in range(2):
+        models.write_snapshot(g, 1, path)
+    return models.read_snapshot(spark, 1, path).edges
+
+
+@query
+def update_where_matched(spark, sf):
+    """Attribute a replaced by 0 for the vertices that are customers."""
+    g = _property_graph(spark, sf)
+    updates = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).cast("int").alias("a"))
+    return G.update_matching(g.vertices, updates, "a").select("id", F.col("a").cast("long"))
+
+
+@query
+def map_vertices(spark, sf):
+    total = F.col("a") + F.col("b") + F.col("c")
+    return _property_graph(spark, sf).map_vertices(total=total).vertices.select("id", "total")
+
+
+@query
+def map_edges(spark, sf):
+    return B.graph(spark, sf).map_edges(attr=F.col("attr") * 2 + 1).edges
+
+
+@query
+def model_save_load(spark, sf):
+    """A trained model saved, loaded, and its word counts."""
+    path = _folder(spark, "model")
+    models.save_model(_one_sweep(spark, sf)[1], path)
+    return T.by_topic(models.load_model(spark, path).word_topics(), "n").filter("n > 0")
+
+
+@query
+def model_text(spark, sf):
+    """The topic-word counts of a model as text lines, written and read back."""
+    path = _folder(spark, "model-text")
+    models.model_lines(_one_sweep(spark, sf)[1])["nkv"].write.text(path)
+    matrix = text.parse_matrix(text.read_lines(spark, path), ["word_id"])
+    rows = matrix.select(F.col("word_id").cast("long"), F.posexplode("values").alias("topic", "n"))
+    return rows.filter("n > 0").select("word_id", "topic", F.col("n").cast("long"))
+
+
+@query
+def lda_resume(spark, sf):
+    """One sweep, then one more from its saved state."""
+    docs, model = _one_sweep(spark, sf)
+    more = T.fit_lda(docs, k=TOPICS, sweeps=1, seed=SEED, resume=model.state, first_sweep=2)
+    return T.by_topic(more.word_topics(), "n").filter("n > 0")
+
+
+@query
+def weights_save_load(spark, sf):
+    path = _folder(spark, "weights")
+    L.save_weights(L.weight_table(spark, B.FEATURES, _weights(spark, sf)), path)
+    return _weight_rows(spark, L.load_weights(spark, path, B.FEATURES))
+
+
 # --- graph primitives ---------------------------------------------------------
 
 
@@ -240,13 +345,13 @@ def _root(edges):
 @query
 def bfs_hops(spark, sf):
     edges = B.graph(spark, sf).edges
-    return P.bfs(edges, _root(edges), max_depth=50).select("id", F.col("level").cast("long").alias("hops"))
+    return P.bfs(edges, _root(edges)).select("id", F.col("level").cast("long").alias("hops"))
 
 
 @query
 def bfs_levels_parents(spark, sf):
     edges = B.graph(spark, sf).edges
-    return P.bfs(edges, _root(edges), max_depth=10).select("id", F.col("level").cast("long"), "parents")
+    return P.bfs(edges, _root(edges)).select("id", F.col("level").cast("long"), "parents")
 
 
 @query
@@ -273,7 +378,7 @@ def edge_betweenness(spark, sf):
 
 def _peeled(spark, sf):
     g = B.graph(spark, sf)
-    return g, M.peel(g, PEEL_ITERATIONS)
+    return g, M.peel(g)
 
 
 @query
@@ -359,18 +464,31 @@ def harmonic_closeness(spark, sf):
     return rows.select("id", F.col("community").cast("long"), r6("closeness").alias("closeness"))
 
 
-@query
-def set_metrics(spark, sf):
+def _member_set(spark, sf):
     g = B.graph(spark, sf)
     members = G.with_properties(g.vertices, B.properties(spark, sf), B.PROPERTY_DEFAULTS).filter("a >= 10")
-    rows = M.set_metrics(g, members.select("id"))
+    return g, members.select("id")
+
+
+def _set_metrics(rows):
     return rows.select(F.col("m").cast("long"), "edges", "cs", r6("fd").alias("fd"), r6("q").alias("q"), r6("phi").alias("phi"))
 
 
+@query
+def set_metrics(spark, sf):
+    return _set_metrics(M.set_metrics(*_member_set(spark, sf)))
+
+
+@query
+def set_metrics_whole(spark, sf):
+    """Conductance with the whole graph's volume."""
+    return _set_metrics(M.set_metrics(*_member_set(spark, sf), whole_volume=True))
+
+
 @query
 def frontier_candidates(spark, sf):
     g = B.graph(spark, sf)
-    return M.frontier_candidates(g, P.bfs(g.edges, _root(g.edges), max_depth=10), 1)
+    return M.frontier_candidates(g, P.bfs(g.edges, _root(g.edges), depth=2), 1)
 
 
 @query
@@ -441,8 +559,9 @@ def lda_topic_report(spark, sf):
 
 @query
 def lda_fit(spark, sf):
-    """Document-sequential training, three sweeps, topic totals."""
-    return T.fit_lda(B.documents(spark, sf), k=10, sweeps=3, seed=SEED, mode="doc").topics()
+    """Twenty synchronous training sweeps: topic counts of words."""
+    model = T.fit_lda(B.documents(spark, sf), k=TOPICS, sweeps=SWEEPS, seed=SEED)
+    return T.by_topic(model.word_topics(), "n").filter("n > 0")
 
 
 @query
@@ -455,9 +574,10 @@ def lda_fold_in_step(spark, sf):
 
 @query
 def lda_fold_in(spark, sf):
-    """New texts, fifty document-sequential sweeps."""
+    """New texts, fifty synchronous sweeps."""
     _, model = _one_sweep(spark, sf)
-    return T.by_topic(T.infer_theta(B.new_texts(spark, sf), model, sweeps=50, seed=SEED), "theta")
+    theta = T.by_topic(T.infer_theta(B.new_texts(spark, sf), model, sweeps=50, seed=SEED), "theta")
+    return theta.withColumn("theta", r6("theta"))
 
 
 @query
@@ -476,19 +596,28 @@ def _em(spark, sf):
 
 @query
 def mllib_lda_topics(spark, sf):
+    """Ranks, distinct words and falling weights of each topic's ten heaviest words."""
     vocab, _, model = _em(spark, sf)
-    return E.topic_terms(model, vocab, 10)
+    rows = E.topic_terms(model, vocab, 10)
+    return rows.groupBy(F.col("topic").cast("long")).agg(
+        F.count_distinct("rank").alias("ranks"), F.count_distinct("word").alias("words"), (F.min("weight") > 0).alias("positive")
+    )
 
 
 @query
 def mllib_lda_sums(spark, sf):
-    return E.topic_sums(_em(spark, sf)[2])
+    """Every topic has a weight for every word, and they sum to 1."""
+    return E.topic_sums(_em(spark, sf)[2]).select(F.col("topic").cast("long"), F.col("terms").cast("long"), r6("weight").alias("weight"))
 
 
 @query
 def mllib_lda_theta(spark, sf):
+    """Topic shares of each document, by a model that was saved and loaded."""
     _, vectors, model = _em(spark, sf)
-    return T.by_topic(E.doc_topics(model, vectors), "theta")
+    path = _folder(spark, "em-model")
+    E.save_em_lda(model, path)
+    theta = T.by_topic(E.doc_topics(E.load_em_lda(path), vectors), "theta")
+    return theta.groupBy("doc_id").agg(F.count(F.lit(1)).alias("topics"), r6(F.sum("theta")).alias("total"))
 
 
 # --- relevance -----------------------------------------------------------------------
@@ -677,7 +806,7 @@ def _points(spark, sf):
 
 
 def _weights(spark, sf, **settings):
-    return L.linear_descent(_points(spark, sf), B.FEATURES, iterations=3, tolerance=0.0, **settings)
+    return L.linear_descent(_points(spark, sf), B.FEATURES, **settings)
 
 
 def _weight_rows(spark, weights):
@@ -724,8 +853,9 @@ def auc(spark, sf):
 
 
 def _confusion(spark, sf):
-    called = F.when(F.col("score") > 0, 1.0).otherwise(0.0)
-    return L.confusion(_scored(spark, sf).withColumn("prediction", called), "label", "prediction")
+    """Scores are of centred features, so the boundary is 0."""
+    prediction = L.called(F.col("score"), threshold=0.0)
+    return L.confusion(_scored(spark, sf).withColumn("prediction", prediction), "label", "prediction")
 
 
 @query

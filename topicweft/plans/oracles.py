@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators.community import alpha
-
 K = 4
 SEED = 11
-PEEL = 12
+PEEL = 70
+SWEEPS = 20
 LEVELS = 30
 ROUNDS = 40
 
@@ -146,7 +145,7 @@ def bfs(levels: int) -> str:
 
 
 SQL["bfs_hops"] = chain(EDGES, bfs(LEVELS)) + " SELECT id, level AS hops FROM reached"
-SQL["bfs_levels_parents"] = chain(EDGES, bfs(10)) + " SELECT id, level, parents FROM reached"
+SQL["bfs_levels_parents"] = chain(EDGES, bfs(LEVELS)) + " SELECT id, level, parents FROM reached"
 SQL["frontier_candidates"] = chain(EDGES, bfs(2)) + """
 SELECT id, parents FROM reached WHERE level = 2 AND parents < (
   SELECT max(d) FROM (SELECT x.id, count(*) AS d FROM ends x
@@ -195,6 +194,10 @@ SQL["edge_betweenness"] = chain(EDGES, brandes(LEVELS)) + "\n" + " UNION ALL ".j
 # --- communities ------------------------------------------------------------------
 
 
+def alpha(i: int) -> str:
+    return f"CASE WHEN {i} < 50 THEN 1 + {i} // 7 WHEN {i} < 80 THEN 2 + {i} // 7 WHEN {i} < 100 THEN 3 + {i} // 6 ELSE 4 + {i} // 5 END"
+
+
 def peel(iterations: int) -> str:
     out = ["a0 AS MATERIALIZED (SELECT id, coalesce(degree, 0) AS degree FROM v LEFT JOIN deg USING (id))"]
     for i in range(1, iterations + 1):
@@ -205,7 +208,9 @@ def peel(iterations: int) -> str:
           SELECT x.id, count(*) AS degree FROM ends x WHERE x.id IN (SELECT id FROM k{i}) AND x.other IN (SELECT id FROM k{i})
           GROUP BY x.id) d USING (id))""")
     union = " UNION ALL ".join(f"SELECT id, degree, {i} AS iter FROM a{i}" for i in range(iterations + 1))
-    steps = " UNION ALL ".join(f"SELECT {i} AS iter, {alpha(i)} AS alpha, smallest AS min_degree FROM m{i}" for i in range(1, iterations + 1))
+    steps = " UNION ALL ".join(
+        f"SELECT {i} AS iter, {alpha(i)} AS alpha, coalesce(smallest, 0) AS min_degree FROM m{i} WHERE EXISTS (SELECT 1 FROM a{i - 1})"
+        for i in range(1, iterations + 1))
     out.append(f"snap AS MATERIALIZED ({union})")
     out.append(f"steps AS MATERIALIZED ({steps})")
     out.append("last AS MATERIALIZED (SELECT id, max(iter) AS last_iter, arg_max(degree, iter) AS degree FROM snap GROUP BY id)")
@@ -228,7 +233,7 @@ lev AS MATERIALIZED (SELECT e.src, e.dst, least(s.last_iter, d.last_iter) AS lo,
 METRICS = f"""
 whole AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM lev WHERE lo >= 1),
 met AS MATERIALIZED (
-  SELECT s.iter, s.m, x.edges, x.edges::DOUBLE / (s.m::DOUBLE * (s.m - 1)) AS fd, s.dm, s.total::DOUBLE / s.m AS fa, 2 * x.cut AS cs,
+  SELECT s.iter, s.m, x.edges, x.edges::DOUBLE / nullif(s.m::DOUBLE * (s.m - 1), 0) AS fd, s.dm, s.total::DOUBLE / s.m AS fa, 2 * x.cut AS cs,
     x.edges / whole.n - 0.25::DOUBLE * pow((2 * x.edges + x.cut) / whole.n, 2) AS q,
     x.cut / nullif(least(2.0::DOUBLE * x.edges + x.cut, 2.0::DOUBLE * x.rest + x.cut), 0) AS phi
   FROM (SELECT iter, count(*) AS m, sum(degree) AS total, min(CASE WHEN degree > 0 THEN degree END) AS dm FROM snap WHERE iter > 1 GROUP BY iter) s
@@ -284,7 +289,9 @@ SQL["set_metrics"] = GP + """
   (count(*) FILTER (WHERE (src_a >= 10) <> (dst_a >= 10)))::DOUBLE AS cut, (SELECT count(*) FROM pv WHERE a >= 10)::DOUBLE AS m FROM tri)
 SELECT CAST(m AS BIGINT) AS m, CAST(edges AS BIGINT) AS edges, CAST(2 * cut AS BIGINT) AS cs, round(edges / (m * (m - 1)), 6) AS fd,
   round(edges / whole - 0.25::DOUBLE * pow((2 * edges + cut) / whole, 2), 6) AS q,
-  round(cut / least(2 * edges + cut, 2 * (whole - edges - cut) + cut), 6) AS phi FROM c"""
+  round(cut / least({volume}, 2 * (whole - edges - cut) + cut), 6) AS phi FROM c"""
+SQL["set_metrics_whole"] = SQL["set_metrics"].replace("{volume}", "2 * whole + cut")
+SQL["set_metrics"] = SQL["set_metrics"].replace("{volume}", "2 * edges + cut")
 
 # --- topic model -------------------------------------------------------------------
 
@@ -324,6 +331,40 @@ phi AS MATERIALIZED (SELECT word_id, {ks('nw.n{k} / nt.n{k}::DOUBLE AS p{k}')} F
 MODEL = chain(TOK, VOC, INIT, SWEEP)
 
 
+def sweeps(n: int) -> str:
+    """Training sweeps 1 to n: ``z{i}`` drawn against the counts of ``z{i - 1}``."""
+    own = "CASE WHEN z = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    out = [f"size AS MATERIALIZED (SELECT count(*)::DOUBLE * {B_} AS vb FROM voc)"]
+    for i in range(1, n + 1):
+        p = i - 1
+        weight = (f"(d{p}.n{{k}} - {own} + {A}) * (w{p}.n{{k}} - {own} + {B_}) / (t{p}.n{{k}} - {own} + size.vb) AS w{{k}}")
+        out += [
+            counts(f"z{p}", "word_id", f"w{p}"), counts(f"z{p}", "doc_id", f"d{p}"), counts(f"z{p}", "", f"t{p}"),
+            f"""q{i} AS (SELECT z{p}.doc_id, z{p}.pos, z{p}.word_id, {draw(f'z{p}.doc_id', f'z{p}.pos', f"'{i}'")} AS u, {ks(weight)}
+              FROM z{p} JOIN d{p} USING (doc_id) JOIN w{p} ON w{p}.word_id = z{p}.word_id, t{p}, size)""",
+            f"z{i} AS MATERIALIZED (SELECT doc_id, pos, word_id, {pick('')} AS z FROM q{i})",
+        ]
+    return ",\n".join([*out, counts(f"z{n}", "word_id", "trained")])
+
+
+def fold_ins(n: int) -> str:
+    """Sweeps 1 to n over the new texts with the word shares fixed."""
+    own = "CASE WHEN z = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    out = [f"""y0 AS MATERIALIZED (SELECT doc_id, pos, word_id, CAST(floor({draw('doc_id', 'pos', "'0'")} * {K}) AS INT) AS z
+      FROM new_tok JOIN voc USING (word))"""]
+    for i in range(1, n + 1):
+        p = i - 1
+        weight = f"phi.p{{k}} * (g{p}.n{{k}} - {own} + {A}) / ({' + '.join(f'g{p}.n{j}' for j in range(K))} - 1 + 1.8::DOUBLE) AS w{{k}}"
+        out += [
+            counts(f"y{p}", "doc_id", f"g{p}"),
+            f"""x{i} AS (SELECT y{p}.doc_id, y{p}.pos, y{p}.word_id, {draw(f'y{p}.doc_id', f'y{p}.pos', f"'{i}'")} AS u, {ks(weight)}
+              FROM y{p} JOIN g{p} USING (doc_id) JOIN phi ON phi.word_id = y{p}.word_id)""",
+            f"y{i} AS MATERIALIZED (SELECT doc_id, pos, word_id, {pick('')} AS z FROM x{i})",
+        ]
+    return ",\n".join([*out, counts(f"y{n}", "doc_id", "folded")])
+
+
+
 def long(table: str, key: str, column: str, name: str, where: str = "") -> str:
     """K columns as rows with a topic number."""
     return " UNION ALL ".join(
@@ -353,6 +394,9 @@ ys AS (SELECT y0.doc_id, y0.pos, {draw('y0.doc_id', 'y0.pos', "'1'")} AS u,
 y1 AS MATERIALIZED (SELECT doc_id, pos, {pick('')} AS z FROM ys),
 {counts('y1', 'doc_id', 'yd')}
 """ + long("yd", "doc_id", "round((n{k} + 0.45::DOUBLE) / (n0 + n1 + n2 + n3 + 1.8::DOUBLE), 6)", "theta")
+SQL["lda_fit"] = chain(TOK, VOC, INIT, sweeps(SWEEPS)) + "\n" + long("trained", "word_id", "n{k}", "n", "WHERE n{k} > 0")
+SQL["lda_fold_in"] = MODEL + "," + NEW + ",\n" + fold_ins(50) + "\n" + long(
+    "folded", "doc_id", "round((n{k} + 0.45::DOUBLE) / (n0 + n1 + n2 + n3 + 1.8::DOUBLE), 6)", "theta")
 SQL["new_text_tokens"] = chain(TOK, VOC, NEW) + f"""
 SELECT doc_id, pos, coalesce(word_id, CAST(floor({draw('doc_id', 'pos', "'-1'")} * (SELECT count(*) FROM voc)) AS BIGINT)) AS word_id
 FROM new_tok LEFT JOIN voc USING (word)"""
@@ -451,8 +495,9 @@ def weighted(table: str) -> str:
     return "(" + " + ".join(f"{table}.{f} * pts.{f}" for f in FEATURES) + ")"
 
 
-def descent(name: str, penalty: str | None = None, reg: float = 0.01, iterations: int = 3) -> str:
-    out = [f"{name}0 AS (SELECT " + ", ".join(f"0::DOUBLE AS {f}" for f in FEATURES) + ")"]
+def descent(name: str, penalty: str | None = None, reg: float = 0.01, iterations: int = 100) -> str:
+    """Unrolled descent; once a move is short enough, the weights stay."""
+    out = [f"{name}0 AS (SELECT " + ", ".join(f"0::DOUBLE AS {f}" for f in FEATURES) + ", false AS done)"]
     for i in range(1, iterations + 1):
         p, rate = f"{name}{i - 1}", f"(1.0::DOUBLE / sqrt({i}))"
         shrink = f" * (1 - {rate} * {reg}::DOUBLE)" if penalty == "l2" else ""
@@ -460,8 +505,12 @@ def descent(name: str, penalty: str | None = None, reg: float = 0.01, iterations
         if penalty == "l1":
             moved = {f: f"sign({m}) * greatest(0, abs({m}) - {rate} * {reg}::DOUBLE)" for f, m in moved.items()}
         grads = ", ".join(f"avg(({weighted(p)} - pts.label) * pts.{f}) AS {f}" for f in FEATURES)
-        out.append(f"{name}{i} AS MATERIALIZED (SELECT " + ", ".join(f"{m} AS {f}" for f, m in moved.items())
-                   + f" FROM {p}, (SELECT {grads} FROM pts, {p}) g)")
+        step = "sqrt(" + " + ".join(f"pow({f} - o_{f}, 2)" for f in FEATURES) + ")"
+        size = "sqrt(" + " + ".join(f"pow({f}, 2)" for f in FEATURES) + ")"
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT " + ", ".join(FEATURES)
+                   + f", was OR ({i} > 1 AND {step} < 0.001::DOUBLE * greatest({size}, 1.0::DOUBLE)) AS done FROM (SELECT "
+                   + ", ".join(f"CASE WHEN {p}.done THEN {p}.{f} ELSE {m} END AS {f}, {p}.{f} AS o_{f}" for f, m in moved.items())
+                   + f", {p}.done AS was FROM {p}, (SELECT {grads} FROM pts, {p} WHERE NOT {p}.done) g))")
     return ",\n".join(out)
 
 
@@ -469,9 +518,9 @@ def weight_rows(table: str, places: int = 6) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS feature, round({f}, {places}) AS weight FROM {table}" for f in FEATURES)
 
 
-SQL["linreg_gd"] = chain(POINTS, descent("w")) + "\n" + weight_rows("w3")
-SQL["ridge_gd"] = chain(POINTS, descent("w", "l2")) + "\n" + weight_rows("w3")
-SQL["lasso_gd"] = chain(POINTS, descent("w", "l1", 0.0005)) + "\n" + weight_rows("w3")
+SQL["linreg_gd"] = chain(POINTS, descent("w")) + "\n" + weight_rows("w100")
+SQL["ridge_gd"] = chain(POINTS, descent("w", "l2")) + "\n" + weight_rows("w100")
+SQL["lasso_gd"] = chain(POINTS, descent("w", "l1", 0.0005)) + "\n" + weight_rows("w100")
 
 
 def logistic(iterations: int) -> str:
@@ -486,7 +535,7 @@ def logistic(iterations: int) -> str:
 
 
 SQL["logreg_gd"] = chain(POINTS, logistic(5)) + "\n" + weight_rows("w5", 3)
-SCORED = chain(POINTS, descent("w"), f"scored AS MATERIALIZED (SELECT label, {weighted('w3')} AS score FROM pts, w3)")
+SCORED = chain(POINTS, descent("w"), f"scored AS MATERIALIZED (SELECT label, {weighted('w100')} AS score FROM pts, w100)")
 SQL["predictions"] = SCORED + " SELECT label, score > 0 AS above, count(*) AS n, round(sum(score), 6) AS total FROM scored GROUP BY 1, 2"
 SQL["auc"] = SCORED + """
 , g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY score),
@@ -503,5 +552,26 @@ SELECT class, round(CASE WHEN c > 0 THEN h / c ELSE 0 END, 6) AS precision, roun
   round((SELECT sum(n) FROM cm WHERE label = prediction)::DOUBLE / (SELECT sum(n) FROM cm), 6) AS accuracy FROM s"""
 SQL["mse"] = chain(POINTS, descent("w"), descent("r", "l2"), descent("l", "l1", 0.0005)) + "\n" + " UNION ALL ".join(
     f"SELECT '{name}' AS model, round(avg(pow(label - {weighted(t)}, 2)), 6) AS mse FROM pts, {t}"
-    for name, t in (("linear", "w3"), ("ridge", "r3"), ("lasso", "l3"))
+    for name, t in (("linear", "w100"), ("ridge", "r100"), ("lasso", "l100"))
 )
+
+# --- files and models --------------------------------------------------------------------
+
+SQL["delimited_file_roundtrip"] = """
+SELECT p_partkey AS id, CAST(p_size AS INT) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part"""
+SQL["folder_scan"] = SQL["delimited_file_roundtrip"]
+SQL["single_file_report"] = "SELECT source, count(*) AS n FROM documents GROUP BY source"
+SQL["snapshot_roundtrip"] = G + " SELECT src, dst, attr FROM e"
+SQL["update_where_matched"] = GP + """
+SELECT id, CAST(CASE WHEN id IN (SELECT c_custkey FROM customer) THEN 0 ELSE a END AS BIGINT) AS a FROM pv"""
+SQL["map_vertices"] = GP + " SELECT id, CAST(a + b + c AS BIGINT) AS total FROM pv"
+SQL["map_edges"] = G + " SELECT src, dst, attr * 2 + 1 AS attr FROM e"
+SQL["model_save_load"] = SQL["lda_one_sweep"]
+SQL["model_text"] = SQL["lda_one_sweep"]
+SQL["lda_resume"] = chain(TOK, VOC, INIT, sweeps(2)) + "\n" + long("trained", "word_id", "n{k}", "n", "WHERE n{k} > 0")
+SQL["weights_save_load"] = SQL["linreg_gd"]
+SQL["mllib_lda_topics"] = "SELECT unnest(range(3)) AS topic, CAST(10 AS BIGINT) AS ranks, CAST(10 AS BIGINT) AS words, true AS positive"
+SQL["mllib_lda_sums"] = chain(TOK, VOC) + """
+SELECT unnest(range(3)) AS topic, (SELECT count(*) FROM voc) AS terms, 1.0::DOUBLE AS weight"""
+SQL["mllib_lda_theta"] = chain(TOK) + """
+SELECT doc_id, CAST(3 AS BIGINT) AS topics, 1.0::DOUBLE AS total FROM (SELECT DISTINCT doc_id FROM tok)"""

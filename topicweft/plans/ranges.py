@@ -1,72 +1,43 @@
-"""Range buckets with fixed cut points, for global ranks without one big partition."""
+"""Global ranks and running sums over range partitions, at any number of them.
+
+Rows are range-partitioned by Spark and written with their partition's number, which is
+then fixed; each partition's totals are one row. No cut points are held by the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 20
-
-
-def cut_points(values: DataFrame, column: str, buckets: int) -> list:
-    """``buckets - 1`` (or fewer) splitters from a fixed-size hash-ordered sample
-    of distinct values; the sample has ``20 * buckets`` rows at most."""
-    sample = sorted(
-        r[0]
-        for r in values.select(column)
-        .orderBy(F.xxhash64(F.lit(0), column), column)
-        .limit(SAMPLE_PER_BUCKET * buckets)
-        .collect()
-    )
-    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
-
+from .scratch import Scratch
 
-def bucket_of(column: Column, cuts: list) -> Column:
-    """Number of cut points not above the value, as nested comparisons."""
-    if not cuts:
-        return F.lit(0)
+BUCKET = "_bucket"
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(cuts[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
 
-    return between(0, len(cuts))
+def ranged(df: DataFrame, column: str) -> DataFrame:
+    """The rows as a table, with the number of the range that holds them (ascending)."""
+    dealt = df.repartitionByRange(F.col(column)).withColumn(BUCKET, F.spark_partition_id())
+    return Scratch(df.sparkSession, "ranges").save(dealt, "rows")
 
 
-def with_bucket_offsets(df: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """Add, per row, the totals of the named columns over all lower buckets.
+def with_lower_totals(rows: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """Add, per row of ``ranged``, the totals of the named columns over all lower ranges.
 
-    ``sums`` maps an output column to the summed column. The running sum runs
-    over one row per bucket, a few hundred at most, and is broadcast.
+    ``sums`` maps an output column to the summed column. The running sum is over one
+    row per range; whether these are broadcast is left to their measured size.
     """
-    per_bucket = df.groupBy("bucket").agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "bucket", *[F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(o) for o in sums]
-    )
-    return df.join(F.broadcast(offsets), "bucket")
-
-
-def default_buckets(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input arrives in fewer splits than that; large
-    inputs have more splits than cores and pass unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    per_range = rows.groupBy(BUCKET).agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
+    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    lower = per_range.select(BUCKET, *[F.coalesce(F.sum(f"_{o}").over(before), F.lit(0)).alias(o) for o in sums])
+    return rows.join(lower, BUCKET)
 
 
-def dense_index(distinct_values: DataFrame, column: str, index: str, buckets: int | None = None) -> DataFrame:
+def dense_index(distinct_values: DataFrame, column: str, index: str) -> DataFrame:
     """0-based rank of each distinct value in ascending order."""
-    cuts = cut_points(distinct_values, column, buckets or default_buckets(distinct_values))
-    bucketed = distinct_values.withColumn("bucket", bucket_of(F.col(column), cuts)).withColumn("_one", F.lit(1))
-    inside = Window.partitionBy("bucket").orderBy(column)
+    rows = ranged(distinct_values.withColumn("_one", F.lit(1)), column)
+    inside = Window.partitionBy(BUCKET).orderBy(column)
     return (
-        with_bucket_offsets(bucketed, {"_before": "_one"})
+        with_lower_totals(rows, {"_before": "_one"})
         .withColumn(index, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("bucket", "_one", "_before")
+        .drop(BUCKET, "_one", "_before")
     )

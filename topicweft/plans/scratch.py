@@ -40,7 +40,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str) -> None:
-        """Delete a step of this run that later steps no longer read."""
+        """Delete a step of this run that later steps no longer read ("" for the whole run)."""
         context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 PIECE = "_piece"
 
 
 ROWS_PER_PIECE = 2_000_000
 FEWEST_ROWS = 50_000
-MOST_PARTS = 100_000
 
 
 class HotKeys:
     """Keys holding more than ``1/parts`` of the rows, with a piece count each.
 
-    ``counts`` has one row per key and its number of rows ``n``. Fewer than
-    ``parts`` keys can be hot, and ``parts`` is at most 100,000, which bounds the
-    broadcast of the hot-key table to a few megabytes. ``parts`` grows with the
-    data: the session's shuffle partitions, or one per two million rows.
+    ``counts`` has one row per key and its number of rows ``n``. ``parts`` grows
+    with the data: the session's shuffle partitions, or one per two million rows, so a
+    piece does not grow. Fewer than ``parts`` keys can be hot; their table is written, so
+    that joins with it are broadcast or shuffled by its measured size.
     """
 
     def __init__(self, counts: DataFrame, key: str, n: str = "n", parts: int | None = None):
@@ -28,14 +29,15 @@ class HotKeys:
         top = counts.agg(F.sum(n).alias("total"), F.max(n).alias("largest")).first()
         total = top["total"] or 0
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        self.parts = parts or min(max(2, shuffles, total // ROWS_PER_PIECE), MOST_PARTS)
+        self.parts = parts or max(2, shuffles, total // ROWS_PER_PIECE)
         fewest = max(spark.sparkContext.defaultParallelism, total // FEWEST_ROWS)
         self.width = min(self.parts, fewest)  # partitions worth keeping for this many rows
         self.any = total > 0 and top["largest"] * self.parts > total
         if self.any:
-            self.hot = counts.filter(F.col(n) * self.parts > total).select(
+            hot = counts.filter(F.col(n) * self.parts > total).select(
                 key, F.ceil(F.col(n) * self.parts / F.lit(float(total))).cast("int").alias("_pieces")
             )
+            self.hot = Scratch(spark, "hot").save(hot, "keys")
 
     def spread(self, big: DataFrame, *by: str) -> DataFrame:
         """Give each row of the large side its piece, by a hash of ``by``."""
@@ -43,7 +45,7 @@ class HotKeys:
             return big
         pieces = F.coalesce("_pieces", F.lit(1))
         return (
-            big.join(F.broadcast(self.hot), self.key, "left")
+            big.join(self.hot, self.key, "left")
             .withColumn(PIECE, F.pmod(F.xxhash64(*by), pieces).cast("int"))
             .drop("_pieces")
         )
@@ -54,7 +56,7 @@ class HotKeys:
             return small
         last = F.coalesce("_pieces", F.lit(1)) - 1
         return (
-            small.join(F.broadcast(self.hot), self.key, "left")
+            small.join(self.hot, self.key, "left")
             .withColumn(PIECE, F.explode(F.sequence(F.lit(0), last)))
             .drop("_pieces")
         )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators.graph import Graph
-from .ranges import spread_small
 from .scratch import Scratch
 
 
@@ -18,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus: user = source, document = doc_id, words of the whole text."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return C.corpus(spread_small(rows), "doc_id", "text", "source")
+    return C.corpus(rows, "doc_id", "text", "source")
 
 
 def new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

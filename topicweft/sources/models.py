@@ -10,28 +10,31 @@ from ..operators.topics import LdaModel
 
 
 def save_model(model: LdaModel, path: str) -> None:
-    """State, dictionary, counts and shares, one table each."""
+    """State, dictionary, counts and shares, one table each; a repeated save replaces them."""
     parts = {
         "state": model.state, "vocabulary": model.vocab, "word_topics": model.word_topics(),
         "doc_topics": model.doc_topics(), "topics": model.topics(), "theta": model.theta(), "phi": model.phi(),
     }
     for name, table in parts.items():
-        table.write.parquet(f"{path}/{name}")
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = model.state.sparkSession
     settings = [(model.k, model.alpha, model.beta)]
-    spark.createDataFrame(settings, "k int, alpha double, beta double").write.parquet(f"{path}/settings")
+    spark.createDataFrame(settings, "k int, alpha double, beta double").write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def load_model(spark: SparkSession, path: str) -> LdaModel:
+    """The model with the counts that were saved; no token is counted again."""
     s = spark.read.parquet(f"{path}/settings").first()
     state, vocab = spark.read.parquet(f"{path}/state"), spark.read.parquet(f"{path}/vocabulary")
-    return LdaModel(state, vocab, s["k"], s["alpha"], s["beta"])
+    counts = {name: spark.read.parquet(f"{path}/{name}") for name in ("word_topics", "doc_topics")}
+    return LdaModel(state, vocab, s["k"], s["alpha"], s["beta"], **counts)
 
 
 def write_snapshot(graph: Graph, iteration: int, path: str) -> None:
-    """Vertices and edges of one iteration, in a partition of their tables."""
+    """Vertices and edges of one iteration, in a partition of their tables; written again,
+    the partition is replaced."""
     for name, table in (("vertices", graph.vertices), ("edges", graph.edges)):
-        table.withColumn("iter", F.lit(iteration)).write.mode("append").partitionBy("iter").parquet(f"{path}/{name}")
+        table.write.mode("overwrite").parquet(f"{path}/{name}/iter={iteration}")
 
 
 def read_snapshot(spark: SparkSession, iteration: int, path: str) -> Graph:
