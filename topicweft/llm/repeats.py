@@ -9,10 +9,11 @@ symbols, and a row leaves Python per anchor, not per symbol.
 An anchor's *slice* is the text that its windows cover. Slices that occur twice are
 repeated throughout and need no closer look. Slices that occur once, but whose gram
 another slice has too, are fetched and given to the operator's own ``refine``
-function, which tells the repeated windows. Grams with very many different slices are
-not brought together: their windows are counted as rows, with partial aggregation.
+function, which tells the repeated windows. Slices of a gram with very many different ones are
+not brought together: they are dealt in blocks, each block sends its distinct windows'
+hashes, packed by ranges of hashes, and is told which of them another one has too.
 
-Equality is that of a 64-bit slice hash within a 64-bit gram hash (128 bits for counted windows).
+Equality is that of a 64-bit slice hash within a 64-bit gram hash (128 bits for windows of blocks).
 Rows are known by a hash of identifier and text, so rows may repeat.
 """
 
@@ -145,7 +146,7 @@ def repeated_spans(
     )
     if many:
         parts = scratch.save(parts, "parts")
-    groups = max(1, -(-few // per_group))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-few // per_group))
     kind = symbols(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].dtype
     found = (
         parts.filter(F.col("m") <= together)
@@ -155,10 +156,15 @@ def repeated_spans(
     found = scratch.save(found, "found")
     free_shuffles(spark)
     if many:
-        windows = parts.filter(F.col("m") > together).mapInArrow(_windows(width, kind), "a long, b long, row long, place long")
-        twice = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a", "b")
-        alike = windows.join(twice, ["a", "b"], "left_semi")
-        found = found.unionByName(alike.select("row", F.col("place").alias("first"), (F.col("place") + width).alias("last")))
+        blocks = -(-many // per_group)
+        crowded = parts.filter(F.col("m") > together).withColumn("block", F.pmod(F.xxhash64("row", "place"), F.lit(blocks)).cast("int"))
+        told = scratch.save(
+            crowded.groupBy("block").applyInArrow(_ask(width, kind, blocks), ASKED).groupBy("part").applyInArrow(_tell, TOLD), "told"
+        )
+        alike = crowded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+            _alike(width, kind, blocks), "row long, first long, last long"
+        )
+        found = found.unionByName(alike)
     whole = anchors.join(slices.filter("n > 1").select("gram", "slice"), ["gram", "slice"], "left_semi").select(
         "row", F.shiftright("place", 20).alias("first"), (F.shiftright("place", 20) + F.col("place").bitwiseAND(0xFFFFF) + width).alias("last")
     )
@@ -187,21 +193,86 @@ def _refined(refine: Refine, width: int, kind: np.dtype):
     return compare
 
 
-def _windows(width: int, kind: np.dtype):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, row, place, n in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "place", "n"))):
-                values = numbers(np.frombuffer(part, kind))
-                a = window_hashes(prefix_sums(values), width)
-                b = window_hashes(prefix_sums(values ^ U(0x5851F42D4C957F2D)), width)
-                # a slice that occurs several times counts for its windows that often
-                for k in range(min(n, 2)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), row)),
-                         pa.array(np.arange(len(a)) + (place >> 20))], ["a", "b", "row", "place"],
-                    )
-
-    return each
+ASKED = "part int, block int, a binary, b binary, n binary"
+TOLD = "part int, block int, again binary"
+
+
+def _block_windows(table: pa.Table, width: int, kind: np.dtype):
+    """All windows of a block's slices: two hashes each, sorted by them, the slice and the
+    place in it, and the index of each window's distinct pair of hashes."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for k, part in enumerate(table.column("part").to_pylist()):
+        values = numbers(np.frombuffer(part, kind))
+        a = window_hashes(prefix_sums(values), width)
+        b = window_hashes(prefix_sums(values ^ U(0x5851F42D4C957F2D)), width)
+        for column, value in zip(parts, (a, b, np.full(len(a), k), np.arange(len(a)))):
+            column.append(value)
+    a, b, piece, at = (np.concatenate(x) for x in parts)
+    order = np.lexsort((b, a))
+    a, b, piece, at = a[order], b[order], piece[order], at[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], piece, at, np.cumsum(new) - 1
+
+
+def range_starts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of the equal ranges of 64-bit values begins among the sorted keys."""
+    cuts = [(i << 64) // ranges for i in range(1, ranges)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(cuts, U)), [len(keys)]]).astype(np.int64)
+
+
+def _ask(width: int, kind: np.dtype, ranges: int):
+    def ask(table: pa.Table) -> pa.Table:
+        a, b, piece, _, distinct = _block_windows(table, width, kind)
+        often = np.minimum(table.column("n").to_numpy(), 2)  # a slice that occurs twice makes its windows repeated
+        n = np.minimum(np.bincount(distinct, often[piece], len(a)), 2).astype(np.uint8)
+        cut, block = range_starts(a, ranges), table.column("block")[0].as_py()
+        rows = [
+            {"part": p, "block": block, "a": a[x:y].tobytes(), "b": b[x:y].tobytes(), "n": n[x:y].tobytes()}
+            for p, (x, y) in enumerate(zip(cut, cut[1:])) if x < y
+        ]
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("block", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())]))
+
+    return ask
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """For each block's windows in a range, in its order: whether there are two of them anywhere."""
+    rows = table.to_pylist()
+    a, b = (np.concatenate([np.frombuffer(r[c], U) for r in rows]) for c in ("a", "b"))
+    n = np.concatenate([np.frombuffer(r["n"], np.uint8) for r in rows]).astype(np.int64)
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    distinct = np.empty(len(a), np.int64)
+    distinct[order] = np.cumsum(new) - 1
+    again = (np.bincount(distinct, n) > 1)[distinct]
+    ends = np.cumsum([0, *(len(r["n"]) for r in rows)])
+    return pa.table({
+        "part": pa.array([r["part"] for r in rows], pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()),
+        "again": pa.array([again[x:y].tobytes() for x, y in zip(ends, ends[1:])], pa.binary()),
+    })
+
+
+def _alike(width: int, kind: np.dtype, ranges: int):
+    def alike(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        """Stretches of repeated windows in a block's slices."""
+        _, _, piece, at, distinct = _block_windows(left, width, kind)
+        told = b"".join(r["again"] for r in sorted(right.to_pylist(), key=lambda r: r["part"]))
+        again = np.frombuffer(told, bool)[distinct]
+        order = np.lexsort((at[again], piece[again]))
+        piece, at = piece[again][order], at[again][order]
+        begin = np.ones(len(at), bool)
+        begin[1:] = (np.diff(at) > 1) | (np.diff(piece) > 0)
+        begin = np.flatnonzero(begin)
+        stop = np.concatenate([begin[1:], [len(at)]]).astype(np.int64)[: len(begin)] - 1
+        low = left.column("place").to_numpy() >> 20
+        return pa.table({
+            "row": left.column("row").to_numpy()[piece[begin]], "first": low[piece[begin]] + at[begin],
+            "last": low[piece[stop]] + at[stop] + width,
+        })
+
+    return alike
 
 
 def keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
