@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -13,7 +14,8 @@ def local_session(cores: str | None = None, partitions: int | None = None) -> Sp
         SparkSession.builder.master(f"local[{cores}]")
         .appName("topicweft")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="topicweft-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

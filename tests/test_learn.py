@@ -106,3 +106,22 @@ def test_hot_key_join_keeps_all_rows(spark):
     want = big.join(small, "k").groupBy("k", "v").count()
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     assert hot.join(big, small.filter("k > 3"), by=["id"], how="left").count() == 1000
+
+
+def test_dot_is_the_same_on_both_sides_of_its_switch(spark):
+    from topicweft.functions.arrays import dot
+
+    rng = random.Random(4)
+    for k in (1, 16, 17, 40):
+        a, b = ([rng.uniform(-1, 1) for _ in range(k)] for _ in range(2))
+        df = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
+        want = 0.0
+        for x, y in zip(a, b):
+            want += x * y
+        assert df.select(dot(F.col("a"), F.col("b"), k).alias("d")).first()["d"] == pytest.approx(want, abs=1e-12)
+
+
+def test_called_threshold(spark):
+    df = spark.createDataFrame([(0.2,), (0.5,), (0.7,)], "s double")
+    assert [r[0] for r in df.select(L.called(F.col("s"))).collect()] == [0.0, 0.0, 1.0]
+    assert [r[0] for r in df.select(L.called(F.col("s"), 0.1)).collect()] == [1.0] * 3

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from ..plans.skew import HotKeys
 from .graph import Graph, degrees, ends, triplets
 from .paths import Adjacency, adjacency_of, steps
 
@@ -359,9 +358,8 @@ def frontier_candidates(graph: Graph, levels: DataFrame, level: int) -> DataFram
     """Vertices one level out whose number of parents is below the largest degree
     of the subgraph up to ``level``; ``levels`` is the result of ``paths.bfs``."""
     inside = levels.filter(F.col("level") <= level).select("id")
-    hot_src = HotKeys(graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src")
-    hot_dst = HotKeys(graph.edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst")
-    kept = hot_src.join(graph.edges.select("src", "dst"), inside.withColumnRenamed("id", "src"), by=["dst"])
-    kept = hot_dst.join(kept, inside.withColumnRenamed("id", "dst"), by=["src"])
+    kept = graph.edges.select("src", "dst")
+    for end in ("src", "dst"):
+        kept = kept.join(inside.withColumnRenamed("id", end), end)
     largest = degrees(kept).agg(F.max("degree").alias("d")).scalar()
     return levels.filter((F.col("level") == level + 1) & (F.col("parents") < largest)).select("id", "parents")

@@ -12,8 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import HotKeys, count_by
-
 
 @dataclass(frozen=True)
 class Graph:
@@ -110,12 +108,11 @@ def _prefixed(vertices: DataFrame, side: str) -> DataFrame:
 def triplets(graph: Graph) -> DataFrame:
     """Edges with the attributes of both ends as ``src_<name>`` and ``dst_<name>``.
 
-    Edges of a vertex with very many of them are split over several tasks.
+    The two joins are plain ones: adaptive execution splits the partition of a vertex with
+    very many edges by its measured size, without counting them first.
     """
-    hot_src = HotKeys(count_by(graph.edges, "src"), "src")
-    hot_dst = HotKeys(count_by(graph.edges, "dst"), "dst")
-    half = hot_src.join(graph.edges, _prefixed(graph.vertices, "src"), by=["dst"])
-    return hot_dst.join(half, _prefixed(graph.vertices, "dst"), by=["src"])
+    half = graph.edges.join(_prefixed(graph.vertices, "src"), "src")
+    return half.join(_prefixed(graph.vertices, "dst"), "dst")
 
 
 def subgraph(graph: Graph, vertex: Column | None = None, edge: Column | None = None) -> Graph:
@@ -124,11 +121,10 @@ def subgraph(graph: Graph, vertex: Column | None = None, edge: Column | None = N
     edges = graph.edges.filter(edge) if edge is not None else graph.edges
     if vertex is not None:
         kept = vertices.select("id")
-        hot_src = HotKeys(count_by(edges, "src"), "src")
-        hot_dst = HotKeys(count_by(edges, "dst"), "dst")
         columns = edges.columns
-        edges = hot_src.join(edges, kept.withColumnRenamed("id", "src"), by=["dst"])
-        edges = hot_dst.join(edges, kept.withColumnRenamed("id", "dst"), by=["src"]).select(*columns)
+        for end in ("src", "dst"):
+            edges = edges.join(kept.withColumnRenamed("id", end), end)
+        edges = edges.select(*columns)
     return Graph(vertices, edges)
 
 

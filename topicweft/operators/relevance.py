@@ -6,10 +6,12 @@ come in as one-row scalar subqueries, so no join is spent on them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import total, zeros
+from ..functions.arrays import dot, total, zeros
 from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys, count_by
 from . import corpus as C
@@ -62,26 +64,53 @@ def word_similarity(vectors: DataFrame, seeds: DataFrame, n: int, value: str = "
     cosine between topic vectors, rounded to 12 places so that equal vectors tie
     whatever the order of summation; the smaller id comes first.
 
-    Words and seeds meet per topic. A topic holds most of the vocabulary, so it
-    is split into pieces by word and the seed rows are copied to every piece.
+    Few seeds (by the size of their vectors) go along with every word's row, which then
+    needs no shuffle before the best rows per seed. Else words and seeds meet per topic; a
+    topic holds most of the vocabulary, so it is split into pieces by word and the seed rows
+    are copied to every piece.
     """
+    few = vectors.join(seeds.select("word_id"), "word_id").select("word_id", value).limit(MOST_SEEDS + 1).collect()
+    if len(few) <= MOST_SEEDS and sum(len(r[value]) for r in few) <= MOST_SEED_VALUES:
+        products = _similar_to_few(vectors, few, value)
+    else:
+        products = _similar_to_many(vectors, seeds, value)
+    best = F.struct((-F.col("similarity")).alias("s"), F.col("word_id"))
+    return _smallest(products, "seed_id", best, n).select(
+        "seed_id", "b.word_id", (-F.col("b.s")).alias("similarity")
+    )
+
+
+MOST_SEEDS, MOST_SEED_VALUES = 100, 10_000
+
+
+def _similar_to_few(vectors: DataFrame, few: list, value: str) -> DataFrame:
+    items = [
+        F.struct(F.lit(r["word_id"]).cast("long").alias("id"), F.array(*map(F.lit, r[value])).alias("v"), F.lit(math.hypot(*r[value])).alias("norm"))
+        for r in few
+    ]
+    if not items:
+        return vectors.limit(0).select(F.col("word_id").alias("seed_id"), "word_id", F.lit(0.0).alias("similarity"))
+    k = len(few[0][value])
+    length = F.sqrt(dot(F.col(value), F.col(value), k))
+    rows = vectors.select("word_id", value, length.alias("norm"), F.explode(F.array(*items)).alias("seed")).filter("word_id <> seed.id")
+    cosine = F.round(dot(F.col(value), F.col("seed.v"), k) / (F.col("norm") * F.col("seed.norm")), 12)
+    return rows.select(F.col("seed.id").alias("seed_id"), "word_id", cosine.alias("similarity")).filter("similarity > 0")
+
+
+def _similar_to_many(vectors: DataFrame, seeds: DataFrame, value: str) -> DataFrame:
     length = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
     long = by_topic(vectors.select("word_id", value, length.alias("norm")), value).filter(F.col(value) > 0)
     seed = long.join(seeds.select("word_id"), "word_id").select(
         F.col("word_id").alias("seed_id"), "topic", F.col("norm").alias("_norm"), F.col(value).alias("_v")
     )
     part = F.col(value) * F.col("_v")
-    products = (
+    return (
         HotKeys(count_by(long, "topic"), "topic")
         .join(long, seed, by=["word_id"])
         .filter("word_id <> seed_id")
         .groupBy("seed_id", "word_id")
         .agg(F.round(F.sum(part) / (F.first("norm") * F.first("_norm")), 12).alias("similarity"))
     )
-    best = F.struct((-F.col("similarity")).alias("s"), F.col("word_id"))
-    return _smallest(products, "seed_id", best, n).select(
-        "seed_id", "b.word_id", (-F.col("b.s")).alias("similarity")
-    )
 
 
 def _smallest(df: DataFrame, key: str, item: Column, n: int) -> DataFrame:

@@ -149,6 +149,17 @@ def canonical_edges_text(spark, sf):
     return text.parse_edges(lines, canonical=True).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def edge_line_kinds(spark, sf):
+    """Order lines with the customer left out of some, and comment lines."""
+    lines = B.table(spark, sf, "orders").select(
+        F.when(F.col("o_custkey") % 7 == 0, F.col("o_orderkey").cast("string"))
+        .when(F.col("o_custkey") % 7 == 1, F.concat(F.lit("# "), F.col("o_orderkey").cast("string")))
+        .otherwise(F.concat_ws(" ", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))).alias("value")
+    )
+    return text.edge_line_kinds(lines)
+
+
 # --- files and models ----
 
 

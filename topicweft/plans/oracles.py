@@ -575,3 +575,5 @@ SQL["mllib_lda_sums"] = chain(TOK, VOC) + """
 SELECT unnest(range(3)) AS topic, (SELECT count(*) FROM voc) AS terms, 1.0::DOUBLE AS weight"""
 SQL["mllib_lda_theta"] = chain(TOK) + """
 SELECT doc_id, CAST(3 AS BIGINT) AS topics, 1.0::DOUBLE AS total FROM (SELECT DISTINCT doc_id FROM tok)"""
+SQL["edge_line_kinds"] = """
+SELECT CASE o_custkey % 7 WHEN 0 THEN 'short' WHEN 1 THEN 'comment' ELSE 'edge' END AS kind, count(*) AS n FROM orders GROUP BY 1"""

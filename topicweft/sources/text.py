@@ -77,6 +77,14 @@ def parse_edges(lines: DataFrame, canonical: bool = False, partitions: int | Non
     return edges.repartition(partitions) if partitions else edges
 
 
+def edge_line_kinds(lines: DataFrame) -> DataFrame:
+    """``kind, n``: how many lines are edges, comments, or too short to be one (these are
+    left out by ``parse_edges``; ids that are no numbers raise there)."""
+    short = F.size(words(F.col("value"))) < 2
+    kind = F.when(F.col("value").startswith("#"), "comment").when(short, "short").otherwise("edge")
+    return lines.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_edges(spark: SparkSession, path: str, canonical: bool = False, partitions: int | None = None) -> DataFrame:
     return parse_edges(read_lines(spark, path), canonical, partitions)
 
