@@ -19,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import NOT_SPACE, U, chunks, mixed, word_hashes
 from .common import Scratch, documents, remainder, small_batches, total, whole_text
-from .repeats import free_shuffles
+from .repeats import free_shuffles, range_starts
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 END = mixed(np.array([0x656E64], U))[0]
 TEST, HELD, KEPT = 0, 1, 2
 BUCKETS = 24  # of context counts: powers of two
@@ -52,13 +53,27 @@ def grams(token: np.ndarray) -> list[np.ndarray]:
     return [token, mixed(before * U(0x9FB21C651E98DF25) + token)]
 
 
-def range_starts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of the equal ranges of 64-bit values begins among the sorted keys."""
-    cuts = [(i << 64) // ranges for i in range(1, ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(cuts, U)), [len(keys)]]).astype(np.int64)
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes: high bytes of small numbers are all zero."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-ASK = "part int, kind int, block int, keys binary, counted binary, kept binary"
+def unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return packed(np.diff(keys, prepend=U(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, U), dtype=U)
+
+
+ASK = "part int, kind int, block int, keys binary, counted binary, deleted binary"
 
 
 def _ask(ranges: int):
@@ -70,13 +85,12 @@ def _ask(ranges: int):
         for kind, keys in enumerate(grams(token), 1):
             keys, inverse = np.unique(keys, return_inverse=True)
             counted = np.bincount(inverse[role != TEST], minlength=len(keys)).astype(np.int32)
-            kept = np.bincount(inverse[role == KEPT], minlength=len(keys)).astype(np.int32)
+            deleted = np.bincount(inverse[role == HELD], minlength=len(keys)).astype(np.int32)
             cut = range_starts(keys, ranges)
-            for p in range(ranges):
+            for p in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[p], cut[p + 1]
-                if a < b:
-                    rows.append((p, kind, block, keys[a:b].tobytes(), counted[a:b].tobytes(), kept[a:b].tobytes()))
-        return pa.Table.from_pylist([dict(zip(("part", "kind", "block", "keys", "counted", "kept"), r)) for r in rows], _schema(ASK))
+                rows.append((p, kind, block, packed_keys(keys[a:b]), packed(counted[a:b]), packed(deleted[a:b])))
+        return pa.Table.from_pylist([dict(zip(("part", "kind", "block", "keys", "counted", "deleted"), r)) for r in rows], _schema(ASK))
 
     return ask
 
@@ -99,21 +113,22 @@ def answer(table: pa.Table) -> pa.Table:
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
-        asked = [np.frombuffer(r["keys"], U) for r in own]
-        counted = [np.frombuffer(r["counted"], np.int32) for r in own]
-        kept = [np.frombuffer(r["kept"], np.int32) for r in own]
+        asked = [unpacked_keys(r["keys"]) for r in own]
+        counted = [unpacked(r["counted"], np.int32) for r in own]
+        deleted = [unpacked(r["deleted"], np.int32) for r in own]
         keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate(x), len(keys)).astype(np.int64) for x in (counted, kept)]
+        sums = [np.bincount(inverse, np.concatenate(x), len(keys)).astype(np.int64) for x in (counted, deleted)]
+        sums[1] = sums[0] - sums[1]  # without the deleted documents
         if kind == 1:
             out += [(use, own[0]["part"], kind, -1, None, None, int(s.sum()), int((s > 0).sum())) for use, s in zip((SIZE, SIZE_KEPT), sums)]
         at = 0
-        for r, k, n, m in zip(own, asked, counted, kept):
+        for r, k, held in zip(own, asked, deleted):
             mine = inverse[at : at + len(k)]
             at += len(k)
-            out.append((SCORE, r["part"], kind, r["block"], None, sums[0][mine].astype("<u4").tobytes(), None, None))
-            held = n > m
+            out.append((SCORE, r["part"], kind, r["block"], None, packed(sums[0][mine].astype("<u4")), None, None))
+            held = held > 0
             if held.any():
-                out.append((FIT, r["part"], kind, r["block"], k[held].tobytes(), sums[1][mine[held]].astype("<u4").tobytes(), None, None))
+                out.append((FIT, r["part"], kind, r["block"], packed_keys(k[held]), packed(sums[1][mine[held]].astype("<u4")), None, None))
     names = ("use", "part", "kind", "block", "keys", "counts", "total", "distinct")
     return pa.Table.from_pylist([dict(zip(names, r)) for r in out], _schema(ANSWER))
 
@@ -131,8 +146,9 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 
 def _gathered(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sorted((r for r in table.to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
-    keys = np.frombuffer(b"".join(r["keys"] or b"" for r in rows), U)
-    return keys, np.frombuffer(b"".join(r["counts"] for r in rows), "<u4").astype(np.int64)
+    keys = [unpacked_keys(r["keys"]) for r in rows if r["keys"] is not None]
+    counts = [unpacked(r["counts"], "<u4") for r in rows]
+    return np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
 CELL = "bucket int, two int, one int, n long"
