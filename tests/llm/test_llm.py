@@ -492,7 +492,7 @@ def test_pipeline_stages_on_tricky_rows(spark, rows, sf):
         seen[name] = [r.doc_id for r in docs.collect()]
         assert docs.columns == columns or name == "packing"
     kept = set(seen["exact_dedup"])
-    assert {7, 8, 9}.isdisjoint(kept) and 10 in kept and seen["exact_dedup"].count(10) == 1
+    assert {7, 9}.isdisjoint(kept) and {8, 10} <= kept and seen["exact_dedup"].count(10) == 1
     assert set(seen["packing"]) == set(seen["decontamination"]) <= set(seen["near_dedup"])
 
 
