@@ -225,8 +225,10 @@ def near_classes(
     )
     members = scratch.save(members.join(sizes, "component"), "blocked")
     free_shuffles(spark)
-    groups = max(1, -(-(members.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0) // GROUP_SHINGLES))
-    sets = texts.join(members.select("doc_id", "node", "component", "blocks", "copies"), "doc_id").mapInArrow(_sets(words), SETS)
+    shipped = members.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shipped // GROUP_SHINGLES))
+    wanted = members.select("doc_id", "node", "component", "blocks", "copies").hint("merge")  # grows with the input
+    sets = texts.join(wanted, "doc_id").mapInArrow(_sets(words), SETS)
     links = scratch.save(
         sets.withColumn("g", F.pmod(F.xxhash64("component", "pair"), F.lit(groups)).cast("int"))
         .groupBy("g").applyInArrow(_verify(threshold), LINKS), "links",
