@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +7,7 @@ from topicweft.operators import likelihood as K
 from topicweft.operators import mltopics as E
 from topicweft.operators import relevance as R
 from topicweft.operators import topics as T
+from topicweft.functions.draws import uniform
 from topicweft.plans import tables as B
 from topicweft.sources import models
 
@@ -85,23 +87,29 @@ def test_resume_equals_one_run(small):
     assert whole.state.exceptAll(rest.state.select(*whole.state.columns)).count() == 0
 
 
-def test_large_k_draws_match_small_k_rules(spark):
-    """The array form of the draw (K > 16) follows the same rule."""
-    from topicweft.functions.draws import pick
-
-    weights = [float((i * 7) % 5 + 1) for i in range(20)]
-    us = [(i + 0.5) / 50 for i in range(50)]
-    df = spark.createDataFrame([(u,) for u in us], "u double")
-    got = [r["z"] for r in df.select("u", pick([F.lit(w) for w in weights], F.col("u")).alias("z")).orderBy("u").collect()]
-    total = sum(weights)
-    want = []
-    for u in us:
-        run = 0.0
-        for i, w in enumerate(weights):
-            run += w
-            if run >= u * total:
-                want.append(i)
-                break
+def test_draws_take_the_first_running_sum_that_reaches_the_aim():
+    for k in (1, 3, 20):
+        weights = [float((i * 7) % 5) for i in range(k)]
+        us = [i / 50 for i in range(50)]
+        want = []
+        for u in us:
+            running, hit = 0.0, k - 1
+            for i, w in enumerate(weights):
+                running += w
+                if running >= u * sum(weights):
+                    hit = i
+                    break
+            want.append(hit)
+        assert T._draw(np.tile(weights, (50, 1)), np.array(us)).tolist() == want
+
+
+def test_drawn_numbers_are_the_same_in_both_forms(spark):
+    """Fold-in draws in Python what ``uniform`` draws in columns."""
+    import hashlib
+
+    df = spark.createDataFrame([(3, 4), (70, 0)], "d bigint, p int")
+    got = [r[0] for r in df.orderBy("d").select(uniform(11, F.col("d"), F.col("p"), 5)).collect()]
+    want = [(int.from_bytes(hashlib.md5(f"11:{d}:{p}:5".encode()).digest()[:7], "big") >> 4) / 2**52 for d, p in ((3, 4), (70, 0))]
     assert got == want
 
 

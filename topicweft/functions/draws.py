@@ -16,30 +16,3 @@ def uniform(seed: int, *key: Column | int) -> Column:
     ]
     digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / TWO_52
-
-
-def pick(weights: list[Column], u: Column) -> Column:
-    """Index of the first running sum that reaches ``u`` times the total."""
-    k = len(weights)
-    if k <= 16:
-        running = [weights[0]]
-        for w in weights[1:]:
-            running.append(running[-1] + w)
-        aim = u * running[-1]
-        out = F.when(running[0] >= aim, F.lit(0))
-        for i in range(1, k - 1):
-            out = out.when(running[i] >= aim, F.lit(i))
-        return out.otherwise(F.lit(k - 1)) if k > 1 else F.lit(0)
-    ws = F.array(*weights)
-    aim = u * F.aggregate(ws, F.lit(0.0), lambda a, w: a + w)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(-1).alias("hit"))
-    end = F.aggregate(
-        ws,
-        start,
-        lambda a, w: F.struct(
-            (a["sum"] + w).alias("sum"),
-            (a["seen"] + 1).alias("seen"),
-            F.when((a["hit"] < 0) & (a["sum"] + w >= aim), a["seen"]).otherwise(a["hit"]).alias("hit"),
-        ),
-    )
-    return F.when(end["hit"] < 0, F.lit(k - 1)).otherwise(end["hit"])

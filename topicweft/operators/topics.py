@@ -6,7 +6,8 @@ sweep all documents see the counts of the sweep's start (the AD-LDA
 approximation, Newman et al. 2009). Two modes:
 
 ``sync``  every token is drawn against the sweep-start counts with its own
-          count removed; pure column expressions.
+          count removed; arrays over blocks of documents, to which a word's K
+          counts go once however often the block has the word.
 ``doc``   tokens of a document are drawn one after the other and each draw sees
           the document's earlier ones; Arrow batches of whole documents.
 
@@ -15,16 +16,19 @@ No topic-word matrix is ever held by the driver or a single task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import counts_by_topic
-from ..functions.draws import pick, uniform
+from ..functions.draws import TWO_52, uniform
 from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys, count_by
 from . import corpus as C
@@ -57,30 +61,77 @@ def by_topic(df: DataFrame, value: str) -> DataFrame:
     return df.select(*rest, F.posexplode(value).alias("topic", value))
 
 
-def _sync_draws(rows: DataFrame, weights: list[Column], kept: list[str], seed: int, sweep: int) -> DataFrame:
-    """``kept`` columns of ``rows`` with a new ``z`` drawn from the weights."""
-    names = [f"_w{i}" for i in range(len(weights))]
-    staged = rows.select(*kept, *[w.alias(n) for w, n in zip(weights, names)])
-    u = uniform(seed, F.col("doc_id"), F.col("pos"), sweep)
-    return staged.select(*kept, pick([F.col(n) for n in names], u).alias("z"))
+BLOCK_TOKENS = 1_000_000
+CELLS = 1 << 22
+
+
+def block_of(blocks: int) -> Column:
+    """The block of a document: whole documents, about equal numbers of tokens."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+
+
+def blocks_for(tokens: DataFrame) -> int:
+    """Blocks grow in number with the tokens, not in size."""
+    return max(1, -(-tokens.count() // BLOCK_TOKENS))
+
+
+def _word_vectors(tokens: DataFrame, words: DataFrame, value: str, blocks: int) -> DataFrame:
+    """``part, word, vector``: a word's vector once for each block that has the word."""
+    pairs = tokens.select(block_of(blocks).alias("part"), F.col("word_id").alias("word")).distinct()
+    return pairs.join(words.select(F.col("word_id").alias("word"), F.col(value).alias("vector")), "word")
+
+
+def _draw(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Per row the first running sum that reaches ``u`` times the total."""
+    running = np.cumsum(weights, axis=1)
+    hit = running >= (u * running[:, -1])[:, None]
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), weights.shape[1] - 1)
+
+
+def _slices(n: int, k: int) -> Iterator[slice]:
+    step = max(1, CELLS // k)
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
+class _Block:
+    """The tokens of a block of documents as arrays, and the vectors of their words."""
+
+    def __init__(self, tokens: pa.Table, vectors: pa.Table):
+        self.doc = pc.dictionary_encode(tokens.column("doc_id").combine_chunks())
+        self.docs = self.doc.indices.to_numpy()
+        self.z = tokens.column("z").to_numpy().astype(np.int64)
+        words = vectors.column("word").to_numpy()
+        order = np.argsort(words)
+        self.row = order[np.searchsorted(words[order], tokens.column("word_id").to_numpy())]
+        flat = pc.list_flatten(vectors.column("vector").combine_chunks()).to_numpy(zero_copy_only=False)
+        self.vectors = flat.astype(float).reshape(len(words), -1)
+
+    def doc_counts(self, k: int) -> np.ndarray:
+        n = len(self.doc.dictionary)
+        return np.bincount(self.docs * k + self.z, minlength=n * k).reshape(n, k).astype(float)
 
 
 def _sync_sweep(
-    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys
+    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys, blocks: int
 ) -> DataFrame:
-    words = word_topic_counts(state, k).withColumnRenamed("n", "n_word")
-    docs = doc_topic_counts(state, k).withColumnRenamed("n", "n_doc")
-    totals = topic_totals(state, k).scalar()
-    rows = hot.join(state, words, by=["doc_id", "pos"]).join(docs, "doc_id")
-    rows = rows.withColumn("n_topic", totals)
-    own = [F.when(F.col("z") == i, 1.0).otherwise(0.0) for i in range(k)]
-    weights = [
-        (F.col("n_doc")[i] - own[i] + F.lit(alpha))
-        * (F.col("n_word")[i] - own[i] + F.lit(beta))
-        / (F.col("n_topic")[i] - own[i] + F.lit(v * beta))
-        for i in range(k)
-    ]
-    return _sync_draws(rows, weights, ["doc_id", "pos", "word_id"], seed, sweep)
+    totals = np.array(topic_totals(state, k).first()["n"], dtype=float)
+
+    def redraw(_, tokens: pa.Table, vectors: pa.Table) -> pa.Table:
+        block = _Block(tokens, vectors)
+        by_doc, u = block.doc_counts(k), tokens.column("u").to_numpy()
+        new = np.empty(len(u), np.int32)
+        for part in _slices(len(u), k):
+            own = np.zeros((len(u[part]), k))
+            own[np.arange(len(own)), block.z[part]] = 1.0
+            weights = (by_doc[block.docs[part]] - own + alpha) * (block.vectors[block.row[part]] - own + beta) / (totals - own + v * beta)
+            new[part] = _draw(weights, u[part])
+        return pa.table({"doc_id": tokens.column("doc_id"), "pos": tokens.column("pos"), "word_id": tokens.column("word_id"), "z": new})
+
+    u = uniform(seed, F.col("doc_id"), F.col("pos"), sweep)
+    tokens = state.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z", u.alias("u"))
+    vectors = _word_vectors(state, word_topic_counts(state, k), "n", blocks)
+    schema = f"doc_id {dict(state.dtypes)['doc_id']}, pos int, word_id bigint, z int"
+    return tokens.groupBy("block").cogroup(vectors.groupBy("part")).applyInArrow(redraw, schema)
 
 
 def _per_document(tokens: DataFrame, vector: str, k: int, columns: list[str], run, schema: str) -> DataFrame:
@@ -124,7 +175,7 @@ def _per_document(tokens: DataFrame, vector: str, k: int, columns: list[str], ru
 
 
 def _doc_sweep(
-    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys
+    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys, blocks: int
 ) -> DataFrame:
     totals = np.array(topic_totals(state, k).first()["n"], dtype=float)
     words = word_topic_counts(state, k).withColumnRenamed("n", "n_word")
@@ -268,9 +319,10 @@ def fit_lda(
     else:
         state = resume
     hot = HotKeys(vocab, "word_id")
+    blocks = blocks_for(state)
     sweep_once = _sync_sweep if mode == "sync" else _doc_sweep
     for sweep in range(first_sweep, first_sweep + sweeps):
-        state = scratch.save(sweep_once(state, k, alpha, beta, v, seed, sweep, hot), f"sweep={sweep}")
+        state = scratch.save(sweep_once(state, k, alpha, beta, v, seed, sweep, hot, blocks), f"sweep={sweep}")
         if sweep > first_sweep and (sweep - 1) % keep_every:
             scratch.drop(f"sweep={sweep - 1}")
     return LdaModel(state, vocab, k, alpha, beta)
@@ -297,32 +349,46 @@ def infer_theta(
     oov: str = "drop",
 ) -> DataFrame:
     """Smoothed topic shares of new documents with the trained word shares fixed:
-    ``doc_id, theta array``. Word vectors are joined to the tokens once."""
+    ``doc_id, theta array``. No document needs another one, so all sweeps of a block of
+    documents are one task's, and a word's vector goes to a block once."""
     k, a = model.k, model.alpha if alpha is None else alpha
     scratch = Scratch(corpus.sparkSession, "fold-in")
     tokens = random_topics(encode_new(corpus, model.vocab, oov, seed), k, seed)
-    hot = HotKeys(count_by(tokens, "word_id"), "word_id")
-    state = scratch.save(hot.join(tokens, model.phi(), by=["doc_id", "pos"]), "sweep=0")
     if mode == "sync":
-        for sweep in range(1, sweeps + 1):
-            docs = doc_topic_counts(state, k).withColumnRenamed("n", "n_doc")
-            length = sum((F.col("n_doc")[i] for i in range(1, k)), F.col("n_doc")[0])
-            weights = [
-                F.col("phi")[i]
-                * (F.col("n_doc")[i] - F.when(F.col("z") == i, 1.0).otherwise(0.0) + F.lit(a))
-                / (length - 1 + F.lit(k * a))
-                for i in range(k)
-            ]
-            drawn = _sync_draws(state.join(docs, "doc_id"), weights, ["doc_id", "pos", "word_id", "phi"], seed, sweep)
-            state = scratch.save(drawn, f"sweep={sweep}")
-            scratch.drop(f"sweep={sweep - 1}")
-        counts = doc_topic_counts(state, k)
+        counts = _fold_blocks(scratch.save(tokens, "tokens"), model.phi(), k, a, sweeps, seed)
     else:
+        hot = HotKeys(count_by(tokens, "word_id"), "word_id")
+        state = scratch.save(hot.join(tokens, model.phi(), by=["doc_id", "pos"]), "sweep=0")
         counts = _fold_documents(state, k, a, sweeps, seed)
     size = F.aggregate("n", F.lit(0.0), lambda acc, x: acc + x)
     return counts.select("doc_id", F.transform("n", lambda x: (x + F.lit(a)) / (size + F.lit(k * a))).alias("theta"))
 
 
+def _fold_blocks(tokens: DataFrame, phi: DataFrame, k: int, alpha: float, sweeps: int, seed: int) -> DataFrame:
+    """All synchronous sweeps over a block's documents; the draws are those of ``uniform``."""
+
+    def fold(_, own: pa.Table, vectors: pa.Table) -> pa.Table:
+        block = _Block(own, vectors)
+        names = [f"{seed}:{d}:{p}:".encode() for d, p in zip(own.column("doc_id").to_pylist(), own.column("pos").to_pylist())]
+        for sweep in range(1, sweeps + 1):
+            end = str(sweep).encode()
+            bits = [int.from_bytes(hashlib.md5(name + end).digest()[:7], "big") >> 4 for name in names]
+            u, by_doc, new = np.array(bits, float) / TWO_52, block.doc_counts(k), np.empty(len(names), np.int64)
+            length = by_doc.sum(axis=1)
+            for part in _slices(len(names), k):
+                mine = np.zeros((len(u[part]), k))
+                mine[np.arange(len(mine)), block.z[part]] = 1.0
+                docs = block.docs[part]
+                new[part] = _draw(block.vectors[block.row[part]] * (by_doc[docs] - mine + alpha) / (length[docs] - 1 + k * alpha)[:, None], u[part])
+            block.z = new
+        return pa.table({"doc_id": block.doc.dictionary, "n": pa.array(block.doc_counts(k).astype(np.int64).tolist(), pa.list_(pa.int64()))})
+
+    blocks = blocks_for(tokens)
+    rows = tokens.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z")
+    schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, n array<bigint>"
+    return rows.groupBy("block").cogroup(_word_vectors(tokens, phi, "phi", blocks).groupBy("part")).applyInArrow(fold, schema)
+
+
 def _fold_documents(state: DataFrame, k: int, alpha: float, sweeps: int, seed: int) -> DataFrame:
     """All sweeps of a document inside one task: with fixed word shares it needs
     nothing from any other document."""
