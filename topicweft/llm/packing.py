@@ -13,16 +13,18 @@ documents share is no task's burden.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,40 +34,54 @@ from .common import Scratch, documents, small_batches, whole_text
 
 SEQUENCE = 1024
 END_ID = 2
-CACHE_ROWS = 300_000
-BLANK = r"[ \t\n\r\x0b\x0c]"
-#: White space beyond ASCII (and the separators 1C-1F, on which libraries differ) and special strings
-ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]|<\\|")
-PIECES = re.compile(rf"{BLANK}*[^ \t\n\r\x0b\x0c]+|{BLANK}+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Common letters and marks, about whose classes all libraries agree; other texts take the slow way
+COMMON = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u0391-\u03c9\u0400-\u045f\u2013-\u2026\u20ac\u4e00-\u9fa5]*")
+
+
+def byte_characters() -> dict[str, int]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids as merge ranks, if the file is a byte-level BPE with the usual pattern whose ids
+    follow its merges. Then the pair with the lowest id of what it makes is the pair
+    with the first merge: a token's bytes come to the same last pair in any context."""
+    model = json.loads(Path(path).read_text("utf-8"))
+    bpe, split = model["model"], model["pre_tokenizer"] or {}
+    plain = (
+        bpe["type"] == "BPE" and not model["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex")
+        and not split.get("add_prefix_space") and not bpe.get("dropout") and not bpe.get("ignore_merges")
+    )
+    if not plain:
+        return None
+    vocabulary, merges = bpe["vocab"], ["".join(m.split(" ") if isinstance(m, str) else m) for m in bpe["merges"]]
+    order = [vocabulary[m] for m in merges]
+    special = {t["content"] for t in model["added_tokens"]}
+    table, named = byte_characters(), set(merges)
+    singles = [t for t in vocabulary if t not in named and t not in special]
+    if order != sorted(set(order)) or any(len(t) > 1 or vocabulary[t] >= order[0] for t in singles) or len(singles) != 256:
+        return None
+    return {bytes(table[c] for c in t): i for t, i in vocabulary.items() if t not in special}
 
 
-class Ids(dict):
-    """Token ids (little-endian unsigned 32-bit) of pre-tokens, for one worker."""
+class Ids:
+    """Token ids (little-endian unsigned 32-bit) of whole texts, for one worker."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.encoder = Tokenizer.from_file(path)
-
-    def learn(self, words) -> None:
-        if len(self) > CACHE_ROWS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, found in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. White space belongs to what follows it, so a text is cut
-        after each run of other characters; texts with odd characters go whole."""
-        split = [None if ODD.search(t) else PIECES.findall(t) for t in texts]
-        self.learn(set(chain.from_iterable(x for x in split if x)))
-        look = self.__getitem__
-        return [
-            b"".join(map(look, words)) if words is not None
-            else np.array(self.encoder.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, words in zip(texts, split)
-        ]
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        ranks = merge_ranks(path)
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """By merge ranks where that is known to give the library's ids, else by the library."""
+        if self.fast and COMMON.fullmatch(text) and not any(s in text for s in self.special):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _WORKER: dict[str, Ids] = {}
@@ -91,17 +107,16 @@ def pieces_of(docs: DataFrame, doc: str, text: str, vocabulary: str, size: int)
             texts = batch.column(1).to_pylist()
             owner: list[int] = []
             columns: list[list[int]] = [[] for _ in range(6)]
-            for first in range(0, len(texts), 200):
-                for row, found in enumerate(ids.encode(texts[first : first + 200]), first):
-                    found += end
-                    n = len(found) // 4
-                    head = n % size or size
-                    bounds = [0, *range(head, n + 1, size)]
-                    for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                        owner.append(row)
-                        for column, value in zip(columns, (piece, a, b - a, zlib.crc32(found[4 * a : 4 * b]), task, ranks[b - a])):
-                            column.append(value)
-                        ranks[b - a] += 1
+            for row, text in enumerate(texts):
+                found = ids.encode(text) + end
+                n = len(found) // 4
+                head = n % size or size
+                bounds = [0, *range(head, n + 1, size)]
+                for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    owner.append(row)
+                    for column, value in zip(columns, (piece, a, b - a, zlib.crc32(found[4 * a : 4 * b]), task, ranks[b - a])):
+                        column.append(value)
+                    ranks[b - a] += 1
             kinds = [pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names
