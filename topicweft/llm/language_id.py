@@ -39,6 +39,7 @@ MOST_LANGUAGES = 256
 LONGEST_SAMPLE = 1 << 16
 MOST_ERRORS = 0.01
 MOST_REJECTED = 0.002
+MAJORITY = 0.5  # a language with more than half of the probability is never rejected
 UNKNOWN = "und"
 
 
@@ -140,8 +141,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
 
 
 def rejection(probability: np.ndarray, truth: np.ndarray) -> float:
-    """The least confidence at which accepted rows have few enough errors, but never
-    one that rejects more than a small share of the calibration rows."""
+    """The least confidence at which accepted rows have few enough errors, but never one
+    that rejects more than a small share of the calibration rows, or a majority."""
     if not len(truth):
         return 0.0
     best, right = probability.max(axis=1), probability.argmax(axis=1) == truth
@@ -149,7 +150,7 @@ def rejection(probability: np.ndarray, truth: np.ndarray) -> float:
     wrong = np.cumsum(~right[order][::-1])[::-1]
     fits = np.flatnonzero(wrong <= MOST_ERRORS * np.arange(len(order), 0, -1))
     first = min(int(fits[0]) if len(fits) else len(order), int(MOST_REJECTED * len(order)))
-    return float(best[order[first]]) if first else 0.0
+    return min(MAJORITY, float(best[order[first]])) if first else 0.0
 
 
 def sampled(labelled: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
