@@ -10,7 +10,6 @@ over the bounded sample that fills the broadcast table, which affects speed alon
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -76,9 +75,13 @@ def count_texts(texts: list[str], lengths: Lengths) -> list[int]:
     return out
 
 
-def frequent_pretokens(docs: DataFrame, text: str, sample_rows: int, table_rows: int) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample of rows (any sample gives the same counts)."""
-    sample = docs.select(whole_text(text).alias("_t")).filter(F.octet_length("_t") < 100_000).limit(sample_rows)
+def frequent_pretokens(docs: DataFrame, doc: str, text: str, sample_rows: int, table_rows: int) -> list[str]:
+    """The most frequent pre-tokens of a sample of about so many rows, chosen by a hash of
+    identifier and text (any sample gives the same counts)."""
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.select(F.col(doc).alias("_d"), whole_text(text).alias("_t")).filter(
+        (F.pmod(F.xxhash64("_d", "_t"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length("_t") < 100_000)
+    )
     words = sample.select(F.explode(F.split("_t", f"[{BLANKS}]+")).alias("w")).filter(F.length("w").between(1, 64))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(table_rows)
     return [r["w"] for r in top.select("w").collect()]
@@ -98,7 +101,7 @@ def token_counts(
     spark = docs.sparkSession
     small_batches(spark)
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    words = frequent_pretokens(docs, text, sample_rows, table_rows)
+    words = frequent_pretokens(docs, doc, text, sample_rows, table_rows)
     found = Tokenizer.from_file(path).encode_batch_fast(words, add_special_tokens=False)
     table = spark.sparkContext.broadcast({"": 0} | {w: len(x) for w, x in zip(words, found)})
 
