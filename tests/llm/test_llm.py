@@ -166,6 +166,17 @@ def test_near_classes_are_those_of_all_pairs(spark, rows, block_rows):
     assert Counter(map(tuple, got)) == Counter(brute_links(rows))
 
 
+@pytest.mark.parametrize("block_shingles", [150, 60, 20])
+def test_near_classes_with_empty_blocks(spark, block_shingles):
+    rng = random.Random(6)
+    near = []
+    for k in range(4):
+        base = [f"v{rng.randrange(400)}" for _ in range(120)]
+        near += [(10 * k + c, " ".join(base[: 120 - c])) for c in range(3)]
+    got = near_join.near_classes(frame(spark, near), block_shingles=block_shingles).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == Counter(brute_links(near))
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         bands, size = near_join.bands_for(0.8, recall)

@@ -31,6 +31,7 @@ MOST_HASHES = 128
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 18
 GROUP_SHINGLES = 1 << 20
+BLOCK_MASK = (1 << 31) - 1  # a pair of blocks is one number, the lower block above these bits
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -119,7 +120,7 @@ def _sets(words: int):
                 block = int(mixed(np.array([node]).view(U))[0] % U(blocks))
                 for other in range(blocks):
                     low, high = min(block, other), max(block, other)
-                    for column, value in zip(out, (node, component, low * blocks + high, block, copies, own.tobytes())):
+                    for column, value in zip(out, (node, component, low << 31 | high, block, copies, own.tobytes())):
                         column.append(value)
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], SET_NAMES)
@@ -132,14 +133,15 @@ SETS = "node long, component long, pair long, block long, copies long, grams bin
 LINKS = "node long, root long, links long"
 
 
-def linked(sets: list[np.ndarray], blocks: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """For each set the later ones with at least that Jaccard similarity; sets of two
-    blocks are compared across the blocks only."""
+def linked(sets: list[np.ndarray], blocks: np.ndarray, threshold: float, across: bool) -> list[np.ndarray]:
+    """For each set the later ones with at least that Jaccard similarity, only those of
+    another block if ``across``. A group of two blocks is across even where one of them is empty."""
+    if across and (blocks == blocks[0]).all():
+        return [np.zeros(0, np.int64)] * len(sets)
     sizes = np.array([len(s) for s in sets])
     _, member = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.concatenate([[0], np.cumsum(sizes)])
     flags = np.zeros(member.max() + 1, np.int32)
-    across = len(set(blocks.tolist())) > 1
     out = []
     for i in range(len(sets)):
         rest = first[i + 1]
@@ -164,7 +166,7 @@ def _verify(threshold: float):
         for node, component, pair, block, copies, grams in zip(*columns):
             groups.setdefault((component, pair), {})[node] = (block, copies, np.frombuffer(grams, U))
         out: list[tuple[int, int, int]] = []
-        for members in groups.values():
+        for (_, pair), members in groups.items():
             nodes = sorted(members)
             copies = np.array([members[n][1] for n in nodes])
             links, root = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
@@ -175,7 +177,8 @@ def _verify(threshold: float):
                     x = root[x]
                 return x
 
-            found = linked([members[n][2] for n in nodes], np.array([members[n][0] for n in nodes]), threshold)
+            blocks, across = np.array([members[n][0] for n in nodes]), pair >> 31 != pair & BLOCK_MASK
+            found = linked([members[n][2] for n in nodes], blocks, threshold, across)
             for i, partners in enumerate(found):
                 links[i] += copies[partners].sum()
                 links[partners] += copies[i]
