@@ -392,6 +392,31 @@ def test_rejection_keeps_nearly_all_calibration_rows():
     assert (p.max(axis=1) < threshold).sum() <= language_id.MOST_REJECTED * 1000
 
 
+@pytest.mark.parametrize("languages", [2, 4])
+def test_unlearned_and_noise_texts_are_rejected(spark, languages):
+    rng = random.Random(11)
+    voices = [("bdfglm", "aou"), ("kprstv", "eiy"), ("chjnwz", "aei"), ("qxbñçl", "oué"), ("þðgmßw", "äöü")]
+    word = lambda c, v: "".join(rng.choice(c) + rng.choice(v) for _ in range(rng.randint(1, 3)))
+    vocabulary = [[word(c, v) for _ in range(80)] for c, v in voices]
+    prose = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(prose(k, rng.randint(5, 60)), f"l{k}") for _ in range(100) for k in range(languages)]
+    model = language_id.train(*map(list, zip(*rows)))
+    foreign = [prose(4, 40) for _ in range(40)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(40)]
+    known = [prose(k, 40) for k in range(languages) for _ in range(40)]
+    texts = spark.createDataFrame(list(enumerate(known + foreign + noise)), "doc_id long, text string")
+    gone = {r.doc_id for r in language_id.identify_languages(texts, model).collect() if r.rejected}
+    first = len(known)
+    assert not gone & set(range(first)) and len(gone) >= 0.9 * 80
+
+
+def test_rejection_does_not_depend_on_the_number_of_rows():
+    p = np.array([[0.99, 0.01], [0.02, 0.98]])
+    for n in (5, 100, 5000):
+        threshold = language_id.rejection(np.tile(p, (n, 1)), np.tile([0, 1], n))
+        assert 0.5 < threshold < 0.98
+
+
 # --- 9 benchmark passages -----------------------------------------------------------------------
 
 

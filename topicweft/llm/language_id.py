@@ -39,7 +39,6 @@ MOST_LANGUAGES = 256
 LONGEST_SAMPLE = 1 << 16
 MOST_ERRORS = 0.01
 MOST_REJECTED = 0.002
-MAJORITY = 0.5  # a language with more than half of the probability is never rejected
 UNKNOWN = "und"
 
 
@@ -141,16 +140,31 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
 
 
 def rejection(probability: np.ndarray, truth: np.ndarray) -> float:
-    """The least confidence at which accepted rows have few enough errors, but never one
-    that rejects more than a small share of the calibration rows, or a majority."""
+    """Half way, in log-odds, from chance to the least confident right calibration row: no
+    right one is rejected, at any number of rows. Where accepted rows would have too many
+    errors it is the least confidence at which they have few enough, but one that rejects
+    no more than a small share (interpolated) of the calibration rows. 0 where chance is
+    not exceeded."""
     if not len(truth):
         return 0.0
     best, right = probability.max(axis=1), probability.argmax(axis=1) == truth
+    chance = 1 / probability.shape[1]
+    threshold = 0.0
+    if right.any() and chance < 1:
+        odds = (log_odds(chance) + log_odds(best[right].min())) / 2
+        threshold = float(1 / (1 + np.exp(-odds)))
     order = np.argsort(best)
     wrong = np.cumsum(~right[order][::-1])[::-1]
     fits = np.flatnonzero(wrong <= MOST_ERRORS * np.arange(len(order), 0, -1))
-    first = min(int(fits[0]) if len(fits) else len(order), int(MOST_REJECTED * len(order)))
-    return min(MAJORITY, float(best[order[first]])) if first else 0.0
+    first = int(fits[0]) if len(fits) else len(order) - 1
+    if first:
+        threshold = max(threshold, min(float(best[order[first]]), float(np.quantile(best, MOST_REJECTED))))
+    return threshold if threshold > chance else 0.0
+
+
+def log_odds(p: float) -> float:
+    p = min(p, 1 - 1e-12)
+    return float(np.log(p / (1 - p)))
 
 
 def sampled(labelled: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
