@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, lm_scoring, near_join, packing, substring_dedup, suffix_dedup, token_counts
+from . import (
+    decontaminate, exact_dedup, language_id, licenses, line_dedup, lm_scoring, near_join, packing, phrases, substring_dedup,
+    suffix_dedup, token_counts,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +18,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_packing": packing.op10_packing,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
 }
 SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
+    "op12_phrase_collocations": phrases.OP12_SQL,
 }
