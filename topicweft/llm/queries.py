@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import (
-    decontaminate, exact_dedup, language_id, licenses, line_dedup, lm_scoring, near_join, packing, phrases, substring_dedup,
-    suffix_dedup, token_counts,
+    decontaminate, exact_dedup, language_id, licenses, line_dedup, lm_scoring, near_join, packing, phrases, spelling,
+    substring_dedup, suffix_dedup, token_counts,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_phrase_collocations": phrases.op12_phrase_collocations,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
