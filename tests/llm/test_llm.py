@@ -177,6 +177,17 @@ def test_near_classes_with_empty_blocks(spark, block_shingles):
     assert Counter(map(tuple, got)) == Counter(brute_links(near))
 
 
+def test_rows_without_identifier_are_linked(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:99], "x"]), " ".join([*words[:99], "y"])]
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, "alone and null"), (None, None), (5, "")]
+    got = near_join.near_classes(frame(spark, rows)).collect()
+    assert sorted((r.class_id or 0, r.n_links, r.class_size) for r in got) == [(0, 0, 1), (0, 0, 1), (1, 2, 3), (1, 2, 3), (1, 2, 3), (5, 0, 1)]
+    assert sorted((r.doc_id or 0) for r in got if r.first) == [0, 0, 1, 5]
+    got = near_join.near_classes(frame(spark, [(None, t) for t in texts])).collect()
+    assert [(r.class_id, r.n_links, r.class_size) for r in got] == [(None, 2, 3)] * 3 and sum(r.first for r in got) == 1
+
+
 def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.9999):
         bands, size = near_join.bands_for(0.8, recall)
@@ -453,6 +464,20 @@ def test_benchmark_windows_are_found(spark, docs, rows, shard_bytes):
     assert Counter((r.doc_id, r.n_words, tuple(r.hits), tuple(r.item_ids)) for r in got) == brute_hits(rows, items)
 
 
+def test_items_without_identifier_count(spark, docs, rows):
+    items = [(None, rows[13][1]), (None, "one"), (2, "one")]
+    for size in (1 << 20, 10):
+        got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), shard_bytes=size).collect()
+        want = Counter((d, n, hits, len(set(found))) for d, n, hits, found in brute_hits(rows, items).elements())
+        assert Counter((r.doc_id, r.n_words, tuple(r.hits), len(r.item_ids)) for r in got) == want
+    assert {tuple(r.item_ids) for r in got} >= {("2", None), (None,)}
+
+
+def test_no_documents_to_search(spark, empty):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.contamination(empty, bench).count() == 0
+
+
 def test_no_benchmark_no_hits(spark, docs, rows):
     got = decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(got) == len(rows) and not any(r.hits or r.item_ids for r in got)
@@ -532,6 +557,49 @@ def test_pipeline_stages_on_tricky_rows(spark, rows, sf):
     assert set(seen["packing"]) == set(seen["decontamination"]) <= set(seen["near_dedup"])
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, lang_pred long, row long, key string, hits int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", None, 0.5, "r", 7, 8, "k", 9) for d, t in rows], CLASHING)
+
+
+def test_pipeline_stages_decide_by_row(spark, sf):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    shared = [(1, "one text under an identifier"), (1, "and another text under it"), (None, "no id"), (None, "No id"), (3, "no ID"), (None, "alone")]
+    got = stages["exact_dedup"](spark, clashing(spark, [*shared, shared[0]]), sf).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([*shared[:2], shared[4], shared[5]])
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 100").first().text
+    mixed = [(1, item), (1, "clean"), (None, item), (None, "clean too"), (2, "x " + item), (4, None)]
+    got = stages["decontamination"](spark, clashing(spark, mixed), sf).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([mixed[1], mixed[3], mixed[5]])
+    words = " ".join(f"w{i}" for i in range(100))
+    near = [(1, words), (1, "quite another text with no copy"), (2, words + " z"), (None, words + " y"), (None, "nobody's"), (4, None)]
+    got = stages["near_dedup"](spark, clashing(spark, near), sf).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([near[0], near[1], near[4], near[5]])
+    for r in got:
+        assert (r.score, r.rejected, r.lang_pred, r.row, r.key, r.hits) == (0.5, "r", 7, 8, "k", 9)
+
+
+def test_language_stage_keeps_clashing_columns(spark, sf):
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"score": F.lit(0.25), "rejected": F.lit("r"), "lang_pred": F.lit(7)})
+    kept = corpus_pipeline.language(spark, rows, sf)
+    assert kept.columns == rows.columns and kept.count() > 100
+    assert kept.select("score", "rejected", "lang_pred").distinct().collect() == [(0.25, "r", 7)]
+
+
+def test_pipeline_stages_on_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    docs = clashing(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+
+
 def test_pipeline_equals_its_parts(spark, sf):
     import corpus_pipeline
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, LOWERED, U, chunks, mixed, word_hashes
-from .common import benchmark, documents, small_batches, whole_text
+from .common import Scratch, benchmark, documents, small_batches, total, whole_text
 
 WORDS = 10
 SHARD_BYTES = 8 << 20
@@ -141,15 +141,16 @@ def contamination(
 
     Words are runs of letters and digits (and anything beyond ASCII) after lower-casing
     A-Z; windows are ``words`` words of an item, or the whole item if it has fewer but
-    not none. Null and empty texts have no words; items without identifier or words match
-    nothing. Rows with equal identifiers are rows of their own. An empty benchmark gives
-    no hits. A benchmark above ``shard_bytes`` is searched in several passes.
+    not none. Null and empty texts have no words. The windows of items without an identifier count;
+    they stand in ``item_ids`` as one null at the end. Rows with equal identifiers are rows of their own. An empty benchmark gives
+    no hits, an empty table no rows; a text of any length is searched whole. A benchmark above ``shard_bytes`` is searched in several passes, each
+    of which is written before the next one's tables are broadcast. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = bench.select(F.col(item).cast("string").alias("i"), whole_text(item_text).alias("t")).filter("i is not null")
-    size = items.agg(F.sum(F.octet_length("t") + 16), F.max(F.octet_length("t"))).first()
-    shards = max(1, -(-(size[0] or 0) // shard_bytes))
+    items = bench.select(F.col(item).cast("string").alias("i"), whole_text(item_text).alias("t"))
+    shards = max(1, -(-total(items, F.octet_length("t") + 16) // shard_bytes))
+    scratch = Scratch(spark, "decontaminate")
     rows = docs.select(F.col(doc).alias("doc_id"), whole_text(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
@@ -163,6 +164,11 @@ def contamination(
         out = out.mapInArrow(
             _pass(tables, last), f"doc_id {kind}, {'' if last else 'text string, '}n_words long, hits array<long>, item_ids array<string>"
         )
+        if not last:
+            out = scratch.save(out, f"pass-{shard}")
+            tables.destroy()
+            if shard:
+                scratch.drop(f"pass-{shard - 1}")
     return out
 
 
@@ -181,7 +187,7 @@ def _pass(tables, last: bool):
             columns = [
                 batch.column("doc_id"), *([] if last else [batch.column("text")]), pa.array(np.diff(first), pa.int64()),
                 pa.array([sorted(x) for x in hits], pa.list_(pa.int64())),
-                pa.array([sorted(x, key=lambda s: s.encode()) for x in found], pa.list_(pa.string())),
+                pa.array([sorted(x, key=lambda s: (s is None, (s or "").encode())) for x in found], pa.list_(pa.string())),
             ]
             yield pa.RecordBatch.from_arrays(
                 columns, ["doc_id", *([] if last else ["text"]), "n_words", "hits", "item_ids"]

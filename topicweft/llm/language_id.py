@@ -35,7 +35,6 @@ DIMENSIONS = 16
 EPOCHS = 6
 RATE = 0.5
 ROWS_PER_LANGUAGE = 750
-MOST_LANGUAGES = 256
 LONGEST_SAMPLE = 1 << 16
 MOST_ERRORS = 0.01
 MOST_REJECTED = 0.002
@@ -168,20 +167,24 @@ def log_odds(p: float) -> float:
 
 
 def sampled(labelled: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
-    """At most about ``per_language`` rows of each language, chosen by a hash of the identifier."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    """About ``per_language`` rows of each language, chosen by a hash of the identifier; should identifiers repeat so that
+    more than twice as many are chosen, the first by hash, identifier and text."""
+    counts = labelled.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return [], []
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
+    cuts = counts.select("lang", F.floor(share * (1 << 30)).alias("cut"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < int((1 << 30) * min(1.0, per_language / r["count"]))))
-    rows = labelled.filter(chosen).limit(2 * per_language * len(counts)).select("doc_id", "text", "lang").collect()
+    chosen = labelled.withColumn("place", place).join(cuts, "lang").filter("place < cut")
+    rows = chosen.orderBy("place", "doc_id", "text").limit(2 * per_language * languages).select("doc_id", "text", "lang").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def fit_languages(docs: DataFrame, doc: str, text: str, lang: str, learn, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
+    """A model of all languages of the rows that ``learn`` chooses, from about ``per_language`` rows of each with a letter and at
+    most ``LONGEST_SAMPLE`` bytes; None without such rows."""
     rows = docs.filter(learn).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     return train(*sampled(
         rows.filter((F.col("lang") != "") & (F.octet_length("text") <= LONGEST_SAMPLE) & F.col("text").rlike(r"\p{L}")),

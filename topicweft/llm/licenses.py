@@ -215,12 +215,12 @@ def train(corpus_lines: list[str], seed: int = 11) -> Model:
 
 
 def corpus_sample(docs: DataFrame, doc: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """Lines of a bounded sample of rows, chosen by a hash of the identifier."""
+    """Lines of about ``rows`` rows of at most ``LONGEST_SAMPLE`` bytes, chosen by a hash of the identifier (the first by hash,
+    identifier and text should repeated identifiers choose more than twice as many)."""
     n = docs.count()
-    chosen = docs.filter(
-        (F.pmod(F.xxhash64(F.col(doc), F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(n, 1))))
-        & (F.octet_length(text) <= LONGEST_SAMPLE)
-    ).limit(2 * rows)
+    place = F.pmod(F.xxhash64(F.col(doc), F.lit(5)), F.lit(1 << 30))
+    chosen = docs.filter((place < int((1 << 30) * min(1.0, rows / max(n, 1)))) & (F.octet_length(text) <= LONGEST_SAMPLE))
+    chosen = chosen.orderBy(place, doc, text).limit(2 * rows)
     texts = sorted(r[0] for r in chosen.select(text).collect() if r[0])
     return [line for t in texts for line in t.split("\n") if line.strip()]
 

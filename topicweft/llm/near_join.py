@@ -93,9 +93,9 @@ def _sketch(words: int, bands: int, rows: int):
                 keys = band_keys(code, np.append(first[:-1][full], len(code)), bands, rows)
             offsets = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node, mask=size == 0), pa.array(size, pa.int64()),
+                [batch.column("doc_id"), batch.column("row"), pa.array(node, mask=size == 0), pa.array(size, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
-                ["doc_id", "node", "size", "keys"],
+                ["doc_id", "row", "node", "size", "keys"],
             )
 
     return sketch
@@ -116,7 +116,7 @@ def _sets(words: int):
             for r, (node, component, blocks, copies) in enumerate(rows):
                 own = code[first[r] : first[r + 1]]
                 if not len(own) or int(set_hashes(own, np.zeros(1, np.int64)).view(np.int64)[0]) != node:
-                    continue  # another text under the same identifier
+                    continue  # another text under the same hash
                 block = int(mixed(np.array([node]).view(U))[0] % U(blocks))
                 for other in range(blocks):
                     low, high = min(block, other), max(block, other)
@@ -195,7 +195,8 @@ def near_classes(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
     recall: float = RECALL, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest identifier of its class), n_links, class_size.
+    """One row per input row: doc_id, class_id (smallest identifier of its class), n_links, class_size,
+    row (a hash of identifier and text) and first (the row stands for its class).
 
     Rows are linked if the sets of their ``words``-grams (words between ASCII white space,
     A-Z lower-cased; a text of fewer words is one n-gram) have a Jaccard similarity of
@@ -203,20 +204,25 @@ def near_classes(
     rows linked to this one, copies included. A pair at the threshold becomes a
     candidate with probability ``recall``; all pairs within the candidates' components are
     verified, and none is left out for the size of its group. Texts without words (null, blank) are linked to
-    nothing and are classes of their own, as are null identifiers' rows if alone.
-    Identifiers are integers; other columns are ignored.
+    nothing and are classes of their own. A row without an identifier is linked like any other; a class of such rows
+    only has a null ``class_id``. The first row of a class is that of the smallest identifier (null last), then of the smallest
+    ``row``; rows that repeat identifier and text are first together. Identifiers are integers; other columns are ignored. An
+    empty table gives no rows, and a text of any length is one set.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near-join")
     bands, rows = bands_for(threshold, recall)
-    texts = docs.select(F.col(doc).cast("long").alias("doc_id"), lower_ascii(whole_text(text)).alias("text"))
+    texts = docs.select(F.col(doc).cast("long").alias("doc_id"), whole_text(text).alias("text")).select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("row"), lower_ascii(F.col("text")).alias("text")
+    )
     sketches = scratch.save(
-        texts.mapInArrow(_sketch(words, bands, rows), "doc_id long, node long, size long, keys array<long>"), "sketches"
+        texts.mapInArrow(_sketch(words, bands, rows), "doc_id long, row long, node long, size long, keys array<long>"), "sketches"
     )
     known = sketches.filter("node is not null")
     nodes = scratch.save(
-        known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "nodes"
+        known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+        .select("node", "best", "best.row", "copies", "size"), "nodes"
     )
     banded = known.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center <> other")
@@ -230,8 +236,8 @@ def near_classes(
     free_shuffles(spark)
     shipped = members.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shipped // GROUP_SHINGLES))
-    wanted = members.select("doc_id", "node", "component", "blocks", "copies").hint("merge")  # grows with the input
-    sets = texts.join(wanted, "doc_id").mapInArrow(_sets(words), SETS)
+    wanted = members.select("row", "node", "component", "blocks", "copies").hint("merge")  # grows with the input
+    sets = texts.select("row", "text").join(wanted, "row").mapInArrow(_sets(words), SETS)
     links = scratch.save(
         sets.withColumn("g", F.pmod(F.xxhash64("component", "pair"), F.lit(groups)).cast("int"))
         .groupBy("g").applyInArrow(_verify(threshold), LINKS), "links",
@@ -243,15 +249,16 @@ def near_classes(
         nodes.join(classes, "node", "left").join(counts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    named = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = of_node.groupBy("component").agg(F.min("best").alias("head"), F.sum("copies").alias("class_size"))
     of_node = of_node.join(named, "component").select(
-        "node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "node", "head", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return sketches.select("doc_id", "node").join(of_node, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+    return sketches.select("doc_id", "row", "node").join(of_node, "node", "left").select(
+        "doc_id", F.coalesce("head.doc_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "row", F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("first"),
     )
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(documents(spark, sf_dir))
+    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "class_size")
