@@ -284,10 +284,9 @@ def collocations(
     words = scratch.save(found.groupBy("lang", "w", "word").agg(F.sum("n").alias("n")), "words")
     frequent = words.filter(F.col("n") >= least)
     passing = spark.sparkContext.broadcast(word_filter(frequent))
-    windows = scratch.save(texts.mapInArrow(_windows(passing, block), "lang long, w1 long, w2 long, w3 long, w4 long, n long"), "windows")
-    passing.unpersist()
+    windows = texts.mapInArrow(_windows(passing, block), "lang long, w1 long, w2 long, w3 long, w4 long, n long")
     grams = phrase_counts(windows, least, scratch)
-    scratch.drop("windows")
+    passing.unpersist()
     prefix = _stream(grams, scratch, "prefix")
     suffix = _stream(grams.select("lang", *_turned(), "m", "f"), scratch, "suffix")
     held = _shorter(prefix, share).unionByName(_shorter(suffix, share).select(*_turned(), "m")).select(*WORDS).distinct()
