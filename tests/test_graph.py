@@ -311,10 +311,9 @@ def test_hub_edges_are_split_and_kept(spark):
     """One source with most edges: same result as without a hub."""
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1, 20)]
     e = spark.createDataFrame(edges, "src bigint, dst bigint")
-    adjacency = P.Adjacency(e)
-    assert adjacency.hot.any
-    assert adjacency.expand(spark.createDataFrame([(0,), (5,)], "id bigint")).count() == 200
-    adjacency.release()
+    with P.adjacency_of(e) as adjacency:
+        assert adjacency.hot.any
+        assert adjacency.expand(spark.createDataFrame([(0,), (5,)], "id bigint")).count() == 200
     found = P.bfs(e, spark.createDataFrame([(0,)], "id bigint"))
     assert found.filter("level = 1").count() == 199
     assert G.triplets(G.Graph.from_edges(e)).count() == len(edges)

@@ -14,6 +14,7 @@ from ..operators import learn as L
 from ..operators import likelihood as K
 from ..operators import mltopics as E
 from ..operators import paths as P
+from ..operators import programs as V
 from ..operators import relevance as R
 from ..operators import topics as T
 from ..sources import models, sinks, text
@@ -384,6 +385,29 @@ def edge_betweenness(spark, sf):
     return P.betweenness(edges, _root(edges)).edges.select("src", "dst", r6("credit").alias("credit"))
 
 
+@query
+def sampled_betweenness(spark, sf):
+    """Credit of vertices summed over a sample of two in a thousand of them as roots."""
+    return _sampled(spark, sf).vertices.select("id", "roots", r6("credit").alias("credit"))
+
+
+@query
+def sampled_edge_betweenness(spark, sf):
+    return _sampled(spark, sf).edges.select("src", "dst", r6("credit").alias("credit"))
+
+
+def _sampled(spark, sf):
+    g = B.graph(spark, sf)
+    return P.betweenness_totals(g.edges, C.sample_by_key(g.vertices, "id", 0.002, SEED))
+
+
+@query
+def vertex_ranks(spark, sf):
+    """A vertex program: rank passed on along edges until the gains are small."""
+    g = B.graph(spark, sf)
+    return V.rank_to_tolerance(g.edges, g.vertices, tolerance=1e-3).withColumn("rank", r6("rank"))
+
+
 # --- communities ----------------------------------------------------------------
 
 

@@ -191,6 +191,47 @@ SQL["edge_betweenness"] = chain(EDGES, brandes(LEVELS)) + "\n" + " UNION ALL ".j
     f"SELECT src, dst, round(credit, 6) AS credit FROM x{i}" for i in range(LEVELS)
 )
 
+
+
+def sampled_brandes(levels: int) -> str:
+    out = [f"f0 AS MATERIALIZED (SELECT id AS root, id, 1::DOUBLE AS sigma FROM v WHERE {draw('id')} < 0.002)",
+           "s0 AS MATERIALIZED (SELECT root, id FROM f0)"]
+    for i in range(1, levels + 1):
+        p = i - 1
+        out.append(f"""f{i} AS MATERIALIZED (SELECT root, e.dst AS id, sum(sigma) AS sigma FROM f{p} JOIN e ON e.src = f{p}.id
+          WHERE NOT EXISTS (SELECT 1 FROM s{p} WHERE s{p}.root = f{p}.root AND s{p}.id = e.dst) GROUP BY root, e.dst)""")
+        out.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{p} UNION ALL SELECT root, id FROM f{i})")
+    out.append(f"c{levels} AS MATERIALIZED (SELECT root, id, sigma, 1::DOUBLE AS credit FROM f{levels})")
+    for i in range(levels - 1, -1, -1):
+        n = i + 1
+        out.append(f"""x{i} AS MATERIALIZED (SELECT f{i}.root, e.src, e.dst, f{i}.sigma / c{n}.sigma * c{n}.credit AS credit
+          FROM f{i} JOIN e ON e.src = f{i}.id JOIN c{n} ON c{n}.id = e.dst AND c{n}.root = f{i}.root)""")
+        out.append(f"""c{i} AS MATERIALIZED (SELECT f{i}.root, f{i}.id, f{i}.sigma, 1 + coalesce(g.credit, 0) AS credit FROM f{i}
+          LEFT JOIN (SELECT root, src, sum(credit) AS credit FROM x{i} GROUP BY root, src) g ON g.root = f{i}.root AND g.src = f{i}.id)""")
+    return ",\n".join(out)
+
+
+SQL["sampled_betweenness"] = chain(EDGES, sampled_brandes(LEVELS)) + "\nSELECT id, count(*) AS roots, round(sum(credit), 6) AS credit FROM (" + (
+    " UNION ALL ".join(f"SELECT id, credit FROM c{i}" for i in range(1, LEVELS + 1))
+) + ") GROUP BY id"
+SQL["sampled_edge_betweenness"] = chain(EDGES, sampled_brandes(LEVELS)) + "\nSELECT src, dst, round(sum(credit), 6) AS credit FROM (" + (
+    " UNION ALL ".join(f"SELECT src, dst, credit FROM x{i}" for i in range(LEVELS))
+) + ") GROUP BY src, dst"
+
+
+def ranks(rounds: int) -> str:
+    out = ["fans AS MATERIALIZED (SELECT src AS id, count(*) AS fan FROM e GROUP BY src)",
+           "g0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE - 0.85::DOUBLE AS gain FROM v)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""g{i} AS MATERIALIZED (SELECT e.dst AS id, 0.85::DOUBLE * sum(g.gain / fan) AS gain
+          FROM g{i - 1} g JOIN fans USING (id) JOIN e ON e.src = g.id WHERE g.gain > 0.001::DOUBLE GROUP BY e.dst)""")
+    return ",\n".join(out)
+
+
+SQL["vertex_ranks"] = chain(EDGES, ranks(ROUNDS)) + "\nSELECT id, round(sum(gain), 6) AS rank FROM (" + (
+    " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(ROUNDS + 1))
+) + ") GROUP BY id"
+
 # --- communities ------------------------------------------------------------------
 
 

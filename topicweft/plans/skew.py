@@ -39,6 +39,13 @@ class HotKeys:
             )
             self.hot = Scratch(spark, "hot").save(hot, "keys")
 
+    @classmethod
+    def known(cls, key: str, hot: DataFrame | None) -> HotKeys:
+        """Hot keys found before: the table of the keys and their pieces, None without any."""
+        self = cls.__new__(cls)
+        self.key, self.any, self.hot = key, hot is not None, hot
+        return self
+
     def spread(self, big: DataFrame, *by: str) -> DataFrame:
         """Give each row of the large side its piece, by a hash of ``by``."""
         if not self.any:
