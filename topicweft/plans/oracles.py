@@ -325,6 +325,27 @@ def closeness(rounds: int) -> str:
 SQL["harmonic_closeness"] = PEELED + "," + LEVELED + "," + closeness(20) + """
 SELECT CAST(source AS BIGINT) AS id, CAST(community AS BIGINT) AS community,
   round(sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d ELSE 0 END), 6) AS closeness FROM b20 GROUP BY 1, 2"""
+
+
+def greedy(weight: str, rounds: int) -> str:
+    """Rounds of removing all current minima until the target has the smallest score; nothing changes from then on."""
+    out = [f"""weighted AS MATERIALIZED (SELECT src AS id, dst AS other, {weight} AS w FROM tri UNION ALL SELECT dst, src, {weight} FROM tri)""",
+           "target AS MATERIALIZED (SELECT min(src) AS id FROM e)",
+           "r0 AS MATERIALIZED (SELECT v.id, CAST(coalesce(sum(w), 0) AS BIGINT) AS score FROM v LEFT JOIN weighted USING (id) GROUP BY v.id)"]
+    for i in range(1, rounds + 1):
+        p = i - 1
+        out.append(f"m{i} AS MATERIALIZED (SELECT min(score) AS lo, max(score) FILTER (WHERE r{p}.id = target.id) AS own FROM r{p}, target)")
+        out.append(f"k{i} AS MATERIALIZED (SELECT r{p}.id FROM r{p}, m{i} WHERE own <= lo OR score > lo)")
+        out.append(f"""r{i} AS MATERIALIZED (SELECT k{i}.id, CAST(coalesce(x.score, 0) AS BIGINT) AS score FROM k{i} LEFT JOIN (
+          SELECT weighted.id, sum(w) AS score FROM weighted SEMI JOIN k{i} a ON a.id = weighted.id SEMI JOIN k{i} b ON b.id = weighted.other
+          GROUP BY weighted.id) x USING (id))""")
+    return ",\n".join(out)
+
+
+SQL["greedy_degree_community"] = chain(EDGES, PROPS, greedy("1", 40)) + " SELECT id, score FROM r40"
+SQL["greedy_overlap_community"] = chain(EDGES, PROPS, greedy("least(src_a, dst_a) + least(src_b, dst_b) + least(src_c, dst_c)", 200)) + (
+    " SELECT id, score FROM r200"
+)
 SQL["set_metrics"] = GP + """
 , c AS (SELECT count(*)::DOUBLE AS whole, (count(*) FILTER (WHERE src_a >= 10 AND dst_a >= 10))::DOUBLE AS edges,
   (count(*) FILTER (WHERE (src_a >= 10) <> (dst_a >= 10)))::DOUBLE AS cut, (SELECT count(*) FROM pv WHERE a >= 10)::DOUBLE AS m FROM tri)
