@@ -34,6 +34,12 @@ def word_probability(vocab: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def own_probability(vocab: DataFrame) -> DataFrame:
+    """``word_id, word, p``: share of a dictionary's own counts ``n``; no join, as the count is on the row."""
+    everything = vocab.agg(F.sum("n").alias("n")).scalar()
+    return vocab.select("word_id", "word", (F.col("n") / everything).alias("p"))
+
+
 def word_topic_lift(phi: DataFrame, topics: DataFrame, words: DataFrame, posterior: bool = False) -> DataFrame:
     """``word_id, word, lift array``: ``phi / p(z) / p(w)`` per topic, or with
     ``posterior`` ``phi * p(z) / p(w)``. Words of probability 0 are left out."""

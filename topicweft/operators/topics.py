@@ -61,7 +61,8 @@ def by_topic(df: DataFrame, value: str) -> DataFrame:
     return df.select(*rest, F.posexplode(value).alias("topic", value))
 
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS, LEAST_TOKENS, BLOCKS_PER_CORE = 1_000_000, 20_000, 4
+BLOCK_BYTES = 128 << 20  # of the vectors of a block's words
 CELLS = 1 << 22
 
 
@@ -70,14 +71,22 @@ def block_of(blocks: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
 
 
-def blocks_for(tokens: DataFrame) -> int:
-    """Blocks grow in number with the tokens, not in size."""
-    return max(1, -(-tokens.count() // BLOCK_TOKENS))
+def blocks_for(tokens: DataFrame, v: int, k: int) -> int:
+    """Blocks grow in number with the tokens, not in size: small enough for the K-vectors of their words (at most one
+    per token, and ``v``) to fit, and a few per core where there are tokens enough."""
+    n = tokens.count()
+    most = min(BLOCK_TOKENS, max(1, BLOCK_BYTES // (8 * k))) if v * k * 8 > BLOCK_BYTES else BLOCK_TOKENS
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // most), min(BLOCKS_PER_CORE * cores, n // LEAST_TOKENS))
 
 
-def _word_vectors(tokens: DataFrame, words: DataFrame, value: str, blocks: int) -> DataFrame:
+def block_words(tokens: DataFrame, blocks: int) -> DataFrame:
+    """``part, word``: the distinct words of each block."""
+    return tokens.select(block_of(blocks).alias("part"), F.col("word_id").alias("word")).distinct()
+
+
+def _word_vectors(pairs: DataFrame, words: DataFrame, value: str) -> DataFrame:
     """``part, word, vector``: a word's vector once for each block that has the word."""
-    pairs = tokens.select(block_of(blocks).alias("part"), F.col("word_id").alias("word")).distinct()
     return pairs.join(words.select(F.col("word_id").alias("word"), F.col(value).alias("vector")), "word")
 
 
@@ -112,7 +121,7 @@ class _Block:
 
 
 def _sync_sweep(
-    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys, blocks: int
+    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, pairs: DataFrame, blocks: int
 ) -> DataFrame:
     totals = np.array(topic_totals(state, k).first()["n"], dtype=float)
 
@@ -129,7 +138,7 @@ def _sync_sweep(
 
     u = uniform(seed, F.col("doc_id"), F.col("pos"), sweep)
     tokens = state.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z", u.alias("u"))
-    vectors = _word_vectors(state, word_topic_counts(state, k), "n", blocks)
+    vectors = _word_vectors(pairs, word_topic_counts(state, k), "n")
     schema = f"doc_id {dict(state.dtypes)['doc_id']}, pos int, word_id bigint, z int"
     return tokens.groupBy("block").cogroup(vectors.groupBy("part")).applyInArrow(redraw, schema)
 
@@ -175,7 +184,7 @@ def _per_document(tokens: DataFrame, vector: str, k: int, columns: list[str], ru
 
 
 def _doc_sweep(
-    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys, blocks: int
+    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, hot: HotKeys
 ) -> DataFrame:
     totals = np.array(topic_totals(state, k).first()["n"], dtype=float)
     words = word_topic_counts(state, k).withColumnRenamed("n", "n_word")
@@ -318,11 +327,13 @@ def fit_lda(
         state = scratch.save(random_topics(C.encoded_tokens(corpus, vocab), k, seed), "sweep=0")
     else:
         state = resume
-    hot = HotKeys(vocab, "word_id")
-    blocks = blocks_for(state)
-    sweep_once = _sync_sweep if mode == "sync" else _doc_sweep
+    if mode == "sync":  # the words of a block never change
+        blocks = blocks_for(state, v, k)
+        sweep_once, with_ = _sync_sweep, (scratch.save(block_words(state, blocks), "block-words"), blocks)
+    else:
+        sweep_once, with_ = _doc_sweep, (HotKeys(vocab, "word_id"),)
     for sweep in range(first_sweep, first_sweep + sweeps):
-        state = scratch.save(sweep_once(state, k, alpha, beta, v, seed, sweep, hot, blocks), f"sweep={sweep}")
+        state = scratch.save(sweep_once(state, k, alpha, beta, v, seed, sweep, *with_), f"sweep={sweep}")
         if sweep > first_sweep and (sweep - 1) % keep_every:
             scratch.drop(f"sweep={sweep - 1}")
     return LdaModel(state, vocab, k, alpha, beta)
@@ -383,10 +394,10 @@ def _fold_blocks(tokens: DataFrame, phi: DataFrame, k: int, alpha: float, sweeps
             block.z = new
         return pa.table({"doc_id": block.doc.dictionary, "n": pa.array(block.doc_counts(k).astype(np.int64).tolist(), pa.list_(pa.int64()))})
 
-    blocks = blocks_for(tokens)
+    blocks = blocks_for(tokens, phi.count(), k)
     rows = tokens.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z")
     schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, n array<bigint>"
-    return rows.groupBy("block").cogroup(_word_vectors(tokens, phi, "phi", blocks).groupBy("part")).applyInArrow(fold, schema)
+    return rows.groupBy("block").cogroup(_word_vectors(block_words(tokens, blocks), phi, "phi").groupBy("part")).applyInArrow(fold, schema)
 
 
 def _fold_documents(state: DataFrame, k: int, alpha: float, sweeps: int, seed: int) -> DataFrame:

@@ -673,8 +673,7 @@ def word_probability(spark, sf):
 
 def _lift(spark, sf, posterior=False):
     docs, model = _one_sweep(spark, sf)
-    words = R.word_probability(model.vocab, model.vocab.select("word", "n"))
-    return docs, model, R.word_topic_lift(model.phi(), model.topics(), words, posterior)
+    return docs, model, R.word_topic_lift(model.phi(), model.topics(), R.own_probability(model.vocab), posterior)
 
 
 @query
