@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import community as M
 from ..operators import corpus as C
+from ..operators import emtopics as X
 from ..operators import graph as G
 from ..operators import learn as L
 from ..operators import likelihood as K
@@ -25,7 +26,7 @@ from .skew import HotKeys
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TOPICS = 4
+TOPICS, EM_TOPICS = 4, 3
 SEED = 11
 SWEEPS = 20
 QUERY_WORDS = 20
@@ -655,6 +656,37 @@ def mllib_lda_theta(spark, sf):
     return theta.groupBy("doc_id").agg(F.count(F.lit(1)).alias("topics"), r6(F.sum("theta")).alias("total"))
 
 
+def _em_rows(spark, sf):
+    docs = B.documents(spark, sf)
+    vocab = C.vocabulary(docs)
+    return vocab, X.fit_em(C.doc_term_matrix(docs, vocab), k=EM_TOPICS, iterations=2, seed=SEED)
+
+
+@query
+def em_word_topics(spark, sf):
+    """Expected counts of words after two steps, the topic matrix as rows."""
+    return T.by_topic(_em_rows(spark, sf)[1].word_topics, "n").withColumn("n", F.round("n", 5))
+
+
+@query
+def em_doc_topics(spark, sf):
+    theta = T.by_topic(_em_rows(spark, sf)[1].theta(), "theta")
+    return theta.withColumn("theta", r6("theta"))
+
+
+@query
+def em_topic_sums(spark, sf):
+    return _em_rows(spark, sf)[1].topic_sums().withColumn("weight", r6("weight"))
+
+
+@query
+def em_new_texts(spark, sf):
+    """Topic shares of new texts after three steps with the words' shares fixed."""
+    vocab, model = _em_rows(spark, sf)
+    theta = T.by_topic(X.infer_em(C.doc_term_matrix(B.new_texts(spark, sf), vocab), model, iterations=3), "theta")
+    return theta.withColumn("theta", r6("theta"))
+
+
 # --- relevance -----------------------------------------------------------------------
 
 

@@ -463,6 +463,57 @@ SQL["new_text_tokens"] = chain(TOK, VOC, NEW) + f"""
 SELECT doc_id, pos, coalesce(word_id, CAST(floor({draw('doc_id', 'pos', "'-1'")} * (SELECT count(*) FROM voc)) AS BIGINT)) AS word_id
 FROM new_tok LEFT JOIN voc USING (word)"""
 
+
+def em(steps: int, k: int = 3) -> str:
+    each = lambda item: ", ".join(item.format(k=i) for i in range(k))
+    more, below = f"({50.0 / k}::DOUBLE)", "(0.1::DOUBLE)"
+    total = " + ".join(f"w{i}" for i in range(k))
+    out = ["terms AS MATERIALIZED (SELECT doc_id, word_id, count(*) AS n FROM tok JOIN voc USING (word) GROUP BY doc_id, word_id)"]
+    for step in range(steps + 1):
+        p = step - 1
+        if step:
+            weights = each(f"(nw{p}.n{{k}} + {below}) * (nd{p}.n{{k}} + {more}) / (nt{p}.n{{k}} + (SELECT count(*) FROM voc) * {below}) AS w{{k}}")
+            source = f"terms JOIN nw{p} USING (word_id) JOIN nd{p} USING (doc_id), nt{p}"
+        else:
+            weights, source = ", ".join(f"{draw('word_id', repr(str(i)))} AS w{i}" for i in range(k)), "terms"
+        out.append(f"""em{step} AS MATERIALIZED (SELECT doc_id, word_id, {each(f'n * w{{k}} / ({total}) AS g{{k}}')}
+          FROM (SELECT doc_id, word_id, n, {weights} FROM {source}))""")
+        sums = each("sum(g{k}) AS n{k}")
+        out.append(f"nw{step} AS MATERIALIZED (SELECT word_id, {sums} FROM em{step} GROUP BY word_id)")
+        out.append(f"nd{step} AS MATERIALIZED (SELECT doc_id, {sums} FROM em{step} GROUP BY doc_id)")
+        out.append(f"nt{step} AS MATERIALIZED (SELECT {sums} FROM em{step})")
+    return ",\n".join(out)
+
+
+def em_new(steps: int, k: int = 3) -> str:
+    each = lambda item: ", ".join(item.format(k=i) for i in range(k))
+    more, total = f"({50.0 / k}::DOUBLE)", " + ".join(f"w{i}" for i in range(k))
+    out = ["new_terms AS MATERIALIZED (SELECT doc_id, word_id, count(*) AS n FROM new_tok JOIN voc USING (word) GROUP BY doc_id, word_id)",
+           f"d0 AS MATERIALIZED (SELECT doc_id, {each(f'sum(n) / {k}::DOUBLE AS n{{k}}')} FROM new_terms GROUP BY doc_id)"]
+    for step in range(1, steps + 1):
+        weights = each(
+            f"(nw2.n{{k}} + 0.1::DOUBLE) / (nt2.n{{k}} + (SELECT count(*) FROM voc) * 0.1::DOUBLE) * (d{step - 1}.n{{k}} + {more}) AS w{{k}}"
+        )
+        out.append(f"""d{step} AS MATERIALIZED (SELECT doc_id, {each(f'sum(n * w{{k}} / ({total})) AS n{{k}}')} FROM (
+          SELECT doc_id, n, {weights} FROM new_terms JOIN nw2 USING (word_id) JOIN d{step - 1} USING (doc_id), nt2) GROUP BY doc_id)""")
+    return ",\n".join(out)
+
+
+def em_shares(table: str, k: int = 3) -> str:
+    size = " + ".join(f"n{i}" for i in range(k))
+    return " UNION ALL ".join(
+        f"SELECT doc_id, CAST({i} AS INT) AS topic, round((n{i} + {50.0 / k}::DOUBLE) / ({size} + 50.0::DOUBLE), 6) AS theta FROM {table}" for i in range(k)
+    )
+
+
+EM = chain(TOK, VOC, em(2))
+SQL["em_word_topics"] = EM + " " + " UNION ALL ".join(f"SELECT word_id, CAST({i} AS INT) AS topic, round(n{i}, 5) AS n FROM nw2" for i in range(3))
+SQL["em_doc_topics"] = EM + " " + em_shares("nd2")
+SQL["em_topic_sums"] = EM + " " + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS topic, count(*) AS terms, round(sum(nw2.n{i} / nt2.n{i}), 6) AS weight FROM nw2, nt2 WHERE nw2.n{i} > 0" for i in range(3)
+)
+SQL["em_new_texts"] = chain(TOK, VOC, em(2), NEW, em_new(3)) + " " + em_shares("d3")
+
 # --- relevance -----------------------------------------------------------------------
 
 TOTAL = "(" + " + ".join(f"nt.n{k}" for k in range(K)) + ")"
