@@ -71,6 +71,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_single_file(df, str(tmp_path / "one"))
     assert {r[0] for r in text.read_lines(spark, str(tmp_path / "many")).collect()} == {"1 a", "2 b"}
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    with pytest.raises(ValueError, match="too many"):
+        sinks.write_single_file(df, str(tmp_path / "large"), most_bytes=5)
+    assert not (tmp_path / "large").exists()
 
 
 def test_snapshots_read_one_partition(spark, tmp_path):

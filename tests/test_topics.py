@@ -213,3 +213,22 @@ def test_long_document_spans_batches(spark, partitions):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert whole.state.count() == cut.state.count() == 204
     assert whole.state.exceptAll(cut.state.select(*whole.state.columns)).count() == 0
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_similarity_of_signed_vectors_in_both_forms(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_SEEDS", most)
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(30, 4)), 3) * (rng.random((30, 4)) > 0.3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors) if v.any()], "word_id bigint, phi array<double>")
+    seeds = spark.createDataFrame([(0,), (3,), (8,)], "word_id bigint")
+    got = {(r.seed_id, r.word_id): r.similarity for r in R.word_similarity(df, seeds, 6).collect()}
+    want = {}
+    for s in (0, 3, 8):
+        cosine = {}
+        for i, v in enumerate(vectors):
+            if i != s and v.any() and vectors[s].any():
+                cosine[i] = round(float(v @ vectors[s] / (np.linalg.norm(v) * np.linalg.norm(vectors[s]))), 12)
+        best = sorted((-c, i) for i, c in cosine.items() if c > 0)[:6]
+        want |= {(s, i): -c for c, i in best}
+    assert got == pytest.approx(want, abs=1e-9)

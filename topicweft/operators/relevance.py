@@ -68,7 +68,7 @@ def query_words(scores: DataFrame, n: int) -> DataFrame:
 def word_similarity(vectors: DataFrame, seeds: DataFrame, n: int, value: str = "phi") -> DataFrame:
     """``seed_id, word_id, similarity``: per seed word the ``n`` words of largest
     cosine between topic vectors, rounded to 12 places so that equal vectors tie
-    whatever the order of summation; the smaller id comes first.
+    whatever the order of summation; the smaller id comes first. Values may have either sign; words whose cosine is not above 0 are left out.
 
     Few seeds (by the size of their vectors) go along with every word's row, which then
     needs no shuffle before the best rows per seed. Else words and seeds meet per topic; a
@@ -105,7 +105,7 @@ def _similar_to_few(vectors: DataFrame, few: list, value: str) -> DataFrame:
 
 def _similar_to_many(vectors: DataFrame, seeds: DataFrame, value: str) -> DataFrame:
     length = F.sqrt(F.aggregate(value, F.lit(0.0), lambda a, x: a + x * x))
-    long = by_topic(vectors.select("word_id", value, length.alias("norm")), value).filter(F.col(value) > 0)
+    long = by_topic(vectors.select("word_id", value, length.alias("norm")), value).filter(F.col(value) != 0)
     seed = long.join(seeds.select("word_id"), "word_id").select(
         F.col("word_id").alias("seed_id"), "topic", F.col("norm").alias("_norm"), F.col(value).alias("_v")
     )
@@ -116,6 +116,7 @@ def _similar_to_many(vectors: DataFrame, seeds: DataFrame, value: str) -> DataFr
         .filter("word_id <> seed_id")
         .groupBy("seed_id", "word_id")
         .agg(F.round(F.sum(part) / (F.first("norm") * F.first("_norm")), 12).alias("similarity"))
+        .filter("similarity > 0")
     )
 
 

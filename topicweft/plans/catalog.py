@@ -252,6 +252,45 @@ def model_text(spark, sf):
     return rows.filter("n > 0").select("word_id", "topic", F.col("n").cast("long"))
 
 
+def _exported(spark, sf, name):
+    """A table of a model as text lines, written and read back."""
+    path = _folder(spark, "model-text")
+    models.model_lines(_one_sweep(spark, sf)[1])[name].write.text(path)
+    return text.read_lines(spark, path)
+
+
+def _exported_matrix(spark, sf, name, key, value):
+    matrix = text.parse_matrix(_exported(spark, sf, name), [key])
+    return matrix.select(F.col(key).cast("long"), F.posexplode("values").alias("topic", value))
+
+
+@query
+def model_text_theta(spark, sf):
+    return _exported_matrix(spark, sf, "theta", "doc_id", "theta").withColumn("theta", r6(F.col("theta").cast("double")))
+
+
+@query
+def model_text_phi(spark, sf):
+    rows = _exported_matrix(spark, sf, "phi", "word_id", "p").withColumn("p", F.col("p").cast("double"))
+    return rows.filter("p > 0").withColumn("p", F.round("p", 9))
+
+
+@query
+def model_text_nmk(spark, sf):
+    return _exported_matrix(spark, sf, "nmk", "doc_id", "n").withColumn("n", F.col("n").cast("long"))
+
+
+@query
+def model_text_nk(spark, sf):
+    return text.parse_delimited(_exported(spark, sf, "nk"), "topic int, n bigint")
+
+
+@query
+def model_text_words(spark, sf):
+    """The word map; words hold no blanks, so a line has two fields."""
+    return text.parse_delimited(_exported(spark, sf, "wordMap"), "word_id bigint, word string")
+
+
 @query
 def lda_resume(spark, sf):
     """One sweep, then one more from its saved state."""

@@ -681,6 +681,9 @@ SQL["map_vertices"] = GP + " SELECT id, CAST(a + b + c AS BIGINT) AS total FROM
 SQL["map_edges"] = G + " SELECT src, dst, attr * 2 + 1 AS attr FROM e"
 SQL["model_save_load"] = SQL["lda_one_sweep"]
 SQL["model_text"] = SQL["lda_one_sweep"]
+for _name, _same in (("theta", "lda_theta"), ("phi", "lda_phi"), ("nmk", "lda_doc_topics"), ("nk", "lda_topic_totals")):
+    SQL[f"model_text_{_name}"] = SQL[_same]
+SQL["model_text_words"] = chain(TOK, VOC) + " SELECT word_id, word FROM voc"
 SQL["lda_resume"] = chain(TOK, VOC, INIT, sweeps(2)) + "\n" + long("trained", "word_id", "n{k}", "n", "WHERE n{k} > 0")
 SQL["weights_save_load"] = SQL["linreg_gd"]
 SQL["mllib_lda_topics"] = "SELECT unnest(range(3)) AS topic, CAST(10 AS BIGINT) AS ranks, CAST(10 AS BIGINT) AS words, true AS positive"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import list_text
+from ..plans.scratch import Scratch
 
 
 def as_lines(df: DataFrame, sep: str = " ") -> DataFrame:
@@ -17,9 +18,21 @@ def write_delimited(df: DataFrame, path: str, sep: str = " ") -> None:
     as_lines(df, sep).write.text(path)
 
 
-def write_single_file(df: DataFrame, path: str, sep: str = " ") -> None:
-    """One output file; for small results such as reports."""
-    as_lines(df, sep).coalesce(1).write.text(path)
+ONE_FILE_BYTES = 256 << 20
+
+
+def write_single_file(df: DataFrame, path: str, sep: str = " ", most_bytes: int = ONE_FILE_BYTES) -> None:
+    """One output file, for results that one task can write. The lines are written in parallel first and their size is
+    looked at; above ``most_bytes`` a ``ValueError`` says so and nothing is left at ``path``. Rows keep no order."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "one-file")
+    lines = scratch.save(as_lines(df, sep), "lines")
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    if size > most_bytes:
+        scratch.drop("")
+        raise ValueError(f"{size} bytes are too many for a single file; use write_delimited or raise most_bytes")
+    lines.coalesce(1).write.text(path)
+    scratch.drop("")
 
 
 def matrix_lines(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
