@@ -4,7 +4,9 @@ The trie is a table of edges (level, node, ch): the node is the prefix itself, a
 empty ``ch``. States (word, position, node, edits) are joined with the edges level by
 level, each level written to the shared folder. A state without an edit is a word on its own path, so
 it needs no join to go on; it turns into a one-edit state where it leaves out the word's next
-character, or takes another child of its node. A one-edit state must go on by the word's next character;
+character, or takes another child of its node. The latter is followed at once along the next ``AHEAD`` edges, as few of the
+children lead on: the words below a node are grouped by the characters that come after the changed one, and a group's
+characters there are the children that can be taken. A one-edit state must go on by the word's next character;
 where it meets the end of a word there, the two are neighbours. One of two neighbours leaves out a
 character of the longer word or takes the greater character, so each pair is found once
 and turned round afterwards; an inserted character is the other word's left-out one.
@@ -35,6 +37,7 @@ FEWEST = 2
 FACTOR = 10
 MUTATED = 31
 DEEPEST = 64
+AHEAD = 3  # edges that a replaced character is followed at once
 CACHE_BYTES = 32 << 20
 TO_LOWER = LOWERED.tobytes()
 
@@ -94,23 +97,26 @@ def trie_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     paths = words.select("word", F.explode(F.sequence(F.lit(0), "length")).alias("level"))
     paths = paths.select("level", F.expr("substring(word, 1, level)").alias("node"), _char("level").alias("ch"))
     edges = scratch.save(paths.distinct().repartitionByRange("level", "node").sortWithinPartitions("level", "node"), "edges")
-    state = None
+    ahead: dict[int, list[DataFrame]] = {}  # one-edit states by the level they have reached
     for level in range(longest + 1):
         here = edges.filter(F.col("level") == level).select("node", "ch")
         own = words.filter(F.col("length") > level).select("word", F.expr(f"substring(word, 1, {level})").alias("node"), _char(level).alias("own"))
         fresh = own.filter(F.col("own") != F.expr(f"substring(word, {level}, 1)")) if level else own
         moving = fresh.select("word", F.lit(level + 1).alias("position"), "node")
-        if state is not None:
-            moving = state.unionByName(moving)
+        for states in ahead.pop(level, []):
+            moving = moving.unionByName(states)
         done = F.col("ch") == ""
         kept = moving.withColumn("ch", _char("position")).join(here, ["node", "ch"]).select(
             "word", (F.col("position") + F.when(done, 0).otherwise(1)).alias("position"), F.concat("node", "ch").alias("node"), done.alias("done")
         )
-        children = here.filter(~done).groupBy("node").agg(F.collect_list("ch").alias("chars")).filter(F.size("chars") > 1)
-        other = own.join(children, "node").select("word", "node", F.explode(F.filter("chars", lambda c: c > F.col("own"))).alias("ch"))
-        taken = other.select("word", F.lit(level + 1).alias("position"), F.concat("node", "ch").alias("node"), F.lit(False).alias("done"))
-        step = scratch.save(kept.unionByName(taken), f"states/step={level}")
-        state = step.filter("not done").select("word", "position", "node")
+        after = own.withColumn("next", F.expr(f"substring(word, {level + 2}, {AHEAD})"))
+        children = after.groupBy("node", "next").agg(F.collect_set("own").alias("chars")).filter(F.size("chars") > 1)
+        other = after.join(children, ["node", "next"]).select("word", "node", "next", F.explode(F.filter("chars", lambda c: c > F.col("own"))).alias("ch"))
+        taken = other.select("word", F.lit(level + 1 + AHEAD).alias("position"), F.concat("node", "ch", "next").alias("node"), (F.length("next") < AHEAD).alias("done"))
+        rows = kept.withColumn("reached", F.lit(level + 1)).unionByName(taken.withColumn("reached", F.lit(level + 1 + AHEAD)))
+        step = scratch.save(rows, f"states/step={level}").filter("not done")
+        for reached in (level + 1, level + 1 + AHEAD):
+            ahead.setdefault(reached, []).append(step.filter(F.col("reached") == reached).select("word", "position", "node"))
     states = scratch.table("states", "word string, position int, node string, done boolean, step int")
     return states.filter("done").select("word", F.col("node").alias("other"))
 
