@@ -291,6 +291,23 @@ def test_repeated_words_are_those_of_all_windows(docs, rows, width, gram):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in got) == want
 
 
+def test_whole_table_of_repeated_bytes(spark, sf):
+    """Every 400-byte window of every document of the small table."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = Counter(hash(t[i : i + 400]) for t in docs.values() for i in range(len(t) - 399))
+    want = {}
+    for d, t in docs.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want[d] = (len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = entry.queries()["op4_suffix_dedup"](spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert sum(w[1] for w in want.values()) > 1000
+
+
 def test_crowded_grams_are_counted_as_rows(spark):
     """More slices of one gram than may meet: the same result by counted windows."""
     rng = random.Random(9)
