@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bytetext import CHUNK, LOWERED, buffer_of, chunks
-from .common import documents, remainder, small_batches, whole_text
+from .common import Scratch, documents, remainder, small_batches, whole_text
 
 BITS = 16
 SIZES = (3, 4)
@@ -169,7 +169,7 @@ def log_odds(p: float) -> float:
 def sampled(labelled: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
     """About ``per_language`` rows of each language, chosen by a hash of the identifier; should identifiers repeat so that
     more than twice as many are chosen, the first by hash, identifier and text."""
-    counts = labelled.groupBy("lang").count()
+    counts = Scratch(labelled.sparkSession, "languages").save(labelled.groupBy("lang").count(), "counts")  # its measured size decides on the join
     languages = counts.count()
     if not languages:
         return [], []
