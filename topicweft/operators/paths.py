@@ -77,10 +77,8 @@ def _settled(
     edges: DataFrame, start: DataFrame, keys: list[str], cost: Column, allowed: Column | None, max_steps: int | None, width: float | None
 ) -> DataFrame:
     store = Store(edges.sparkSession, "sssp")
-    try:
+    with store.loop():
         return _DeltaStepping(store, edges, start, keys, cost, allowed, max_steps, width).run()
-    finally:
-        store.close()
 
 
 class _DeltaStepping:

@@ -109,10 +109,8 @@ def iterate(
     Vertices need a row in ``start`` only if they have a state before any message; an empty start ends at once.
     """
     store = Store(edges.sparkSession, label, resume)
-    try:
+    with store.loop():
         return _iterate(store, edges, start, program, max_steps, stop_after, each_step, counts)
-    finally:
-        store.close()
 
 
 def _iterate(store, edges, start, program, max_steps, stop_after, each_step, counts) -> Iteration:

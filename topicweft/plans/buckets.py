@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .scratch import checkpoint_root
 
 
-MOST_RUNS, FEWEST_MERGED = 4, 3
+MOST_RUNS, FEWEST_MERGED = 6, 4
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
 class Store:
@@ -33,6 +36,21 @@ class Store:
         self.buckets = last["buckets"] if last else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self._tables: dict[str, str] = {}
 
+    @contextmanager
+    def loop(self) -> Iterator[None]:
+        """Around a loop: each bucket is written by a task of its own (merging small partitions would only make
+        one task write all buckets one by one), and in the end the tables leave the catalog."""
+        before = self.spark.conf.get(COALESCE, None)
+        self.spark.conf.set(COALESCE, "false")
+        try:
+            yield
+        finally:
+            if before is None:
+                self.spark.conf.unset(COALESCE)
+            else:
+                self.spark.conf.set(COALESCE, before)
+            self.close()
+
     def save(self, df: DataFrame, name: str, keys: list[str], deal: bool = False) -> DataFrame:
         """Write the rows as a bucketed table, and read it. ``deal`` shuffles them by the key first, which
         rows that come from a grouping or join on the key do not need."""
