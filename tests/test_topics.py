@@ -7,7 +7,7 @@ from topicweft.operators import likelihood as K
 from topicweft.operators import mltopics as E
 from topicweft.operators import relevance as R
 from topicweft.operators import topics as T
-from topicweft.functions.draws import uniform
+from topicweft.functions.draws import remix, remixed, uniform
 from topicweft.plans import tables as B
 from topicweft.sources import models
 
@@ -46,7 +46,7 @@ def test_dense_index_on_any_partitioning(spark, sf, partitions, n):
     assert [r["word"] for r in vocab] == sorted(r["word"] for r in vocab)
 
 
-@pytest.mark.parametrize("mode", ["sync", "doc"])
+@pytest.mark.parametrize("mode", ["sync", "doc", "alias"])
 def test_counts_stay_whole(spark, sf, mode):
     docs = B.documents(spark, sf)
     tokens = C.token_total(docs).first()[0]
@@ -59,7 +59,7 @@ def test_counts_stay_whole(spark, sf, mode):
     assert [r["s"] for r in phi.collect()] == pytest.approx([1.0] * 3)
 
 
-@pytest.mark.parametrize("mode", ["sync", "doc"])
+@pytest.mark.parametrize("mode", ["sync", "doc", "alias"])
 def test_same_draws_on_any_partitioning(small, partitions, mode):
     states = []
     for n in (1, 4, 16):
@@ -69,11 +69,12 @@ def test_same_draws_on_any_partitioning(small, partitions, mode):
     assert states[0] == states[1] == states[2]
 
 
-def test_training_raises_likelihood(spark, sf):
+@pytest.mark.parametrize("mode", ["doc", "alias"])
+def test_training_raises_likelihood(spark, sf, mode):
     docs = B.documents(spark, sf)
 
     def score(sweeps):
-        m = T.fit_lda(docs, k=4, sweeps=sweeps, mode="doc")
+        m = T.fit_lda(docs, k=4, sweeps=sweeps, mode=mode)
         pairs = K.word_pairs(C.encoded_tokens(docs, m.vocab))
         return K.perplexity(K.token_likelihood(pairs, m.theta(), m.phi(), 4)).first()["perplexity"]
 
@@ -103,8 +104,76 @@ def test_draws_take_the_first_running_sum_that_reaches_the_aim():
         assert T._draw(np.tile(weights, (50, 1)), np.array(us)).tolist() == want
 
 
-def test_drawn_numbers_are_the_same_in_both_forms(spark):
-    """Fold-in draws in Python what ``uniform`` draws in columns."""
+def test_alias_tables_hold_the_weights():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 17):
+        weights = np.concatenate([rng.random((40, k)) ** 8 + 1e-9, np.ones((2, k)), np.eye(k) + 1e-12])
+        share, other = T.alias_tables(weights)
+        held = share.copy()
+        for c in range(k):
+            np.add.at(held, (np.arange(len(held)), other[:, c]), 1 - share[:, c])
+        assert np.allclose(held / k, weights / weights.sum(axis=1, keepdims=True), atol=1e-12)
+
+
+@pytest.mark.parametrize("place", [0, 2, 3])
+def test_alias_draws_follow_the_conditional(place):
+    """Many copies of one document, only one token of which is free to move: its topics come in the shares of the exact
+    conditional, own count left out."""
+    k, alpha, beta, v, copies = 5, 0.3, 0.1, 6, 40_000
+    words, z0 = np.array([0, 2, 0, 1]), np.array([1, 4, 1, 0])
+    vectors = np.array([[3, 9, 0, 1, 2], [5, 0, 0, 0, 4], [0, 1, 7, 7, 2]], float)
+    totals = np.array([20.0, 15.0, 9.0, 30.0, 12.0])
+    own = np.eye(k)[z0[place]]
+    # tokens before the place are drawn first; the conditional is that of the topics they got
+    n = len(words)
+    docs = np.repeat(np.arange(copies), n)
+    bits = np.random.default_rng(5).integers(0, 2**52, copies * n)
+    new = T.alias_pass(docs, np.tile(words, copies), np.tile(z0, copies), vectors, totals, alpha, beta, v, bits, 1, cycles=12).reshape(copies, n)
+    current = np.tile(z0, (copies, 1))
+    current[:, :place] = new[:, :place]
+    by_doc = np.stack([np.bincount(r, minlength=k) for r in current]) - own
+    weights = (by_doc + alpha) * (vectors[words[place]] - own + beta) / (totals - own + v * beta)
+    want = (weights / weights.sum(axis=1, keepdims=True)).mean(axis=0)
+    got = np.bincount(new[:, place], minlength=k) / copies
+    assert np.all(np.abs(got - want) < 4.5 * np.sqrt(want * (1 - want) / copies) + 1e-4), (got, want)
+
+
+def test_alias_pass_without_tokens_and_with_single_ones():
+    none = np.empty(0, np.int64)
+    assert len(T.alias_pass(none, none, none, np.empty((0, 3)), np.ones(3), 0.1, 0.1, 2, none, 1)) == 0
+    one = T.alias_pass(np.arange(4), np.zeros(4, int), np.zeros(4, int), np.full((1, 1), 4.0), np.array([4.0]), 0.1, 0.1, 1, np.arange(4), 1)
+    assert one.tolist() == [0, 0, 0, 0]
+
+
+def test_remixed_draws_in_all_forms(spark):
+    import duckdb
+
+    from topicweft.plans.oracles import remix as as_sql
+
+    keys = [0, 1, 2**52 - 1, 2**26, 123_456_789_012_345]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(keys)], "i int, b bigint")
+    for counter in (0, 1, 50, 2**31 - 1):
+        want = remix(np.array(keys, np.int64), counter).tolist()
+        assert [r[0] for r in df.orderBy("i").select(remixed(F.col("b"), counter)).collect()] == want
+        sql = f"SELECT u FROM (SELECT b, {as_sql('b', counter)} FROM (SELECT unnest({keys}::BIGINT[]) AS b))"
+        assert [r[0] for r in duckdb.sql(sql).fetchall()] == want
+
+
+def test_remixed_draws_are_even_and_unrelated():
+    rng = np.random.default_rng(7)
+    for keys in (np.arange(200_000), rng.integers(0, 2**52, 200_000)):
+        draws = [remix(keys.astype(np.int64), c) for c in (0, 1, 2, 40)]
+        for i, u in enumerate(draws):
+            assert len(np.unique(u)) == len(np.unique(keys))
+            cells = np.bincount((u * 100).astype(int), minlength=100)
+            assert ((cells - 2000) ** 2 / 2000).sum() < 170  # chi-square of 99 degrees, about 1 in 10,000
+            assert abs(np.corrcoef(u[1:], u[:-1])[0, 1]) < 0.01
+            for other in draws[:i]:
+                grid = np.bincount((u * 10).astype(int) * 10 + (other * 10).astype(int), minlength=100)
+                assert ((grid - 2000) ** 2 / 2000).sum() < 170
+
+
+def test_uniform_draws_are_bits_of_the_keys_hash(spark):
     import hashlib
 
     df = spark.createDataFrame([(3, 4), (70, 0)], "d bigint, p int")

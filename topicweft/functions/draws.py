@@ -3,16 +3,55 @@ partitioning, after any retry."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_52 = float(2**52)
+HALF, PRIME = 26, 2**31 - 1
+ROUNDS = ((1_103_515_245, 12_345_701), (69_069_069, 362_437_069), (1_664_525_011, 1_013_904_223), (134_775_813, 521_288_629))
 
 
-def uniform(seed: int, *key: Column | int) -> Column:
-    """Uniform in [0, 1) from the first 52 bits of an md5 over the key."""
+def bits(seed: int, *key: Column | int) -> Column:
+    """The first 52 bits of an md5 over the key, as a long."""
     parts = [F.lit(str(seed))] + [
         F.lit(str(k)) if isinstance(k, int) else k.cast("string") for k in key
     ]
     digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / TWO_52
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def uniform(seed: int, *key: Column | int) -> Column:
+    """Uniform in [0, 1) from the first 52 bits of an md5 over the key."""
+    return bits(seed, *key).cast("double") / TWO_52
+
+
+def remix(values: np.ndarray, counter: int) -> np.ndarray:
+    """Uniform draws in [0, 1), one per 52-bit value and counter (0 to 2**31 - 1).
+
+    Four Feistel rounds on the two halves of a value, so that the draws of one counter are
+    a permutation of the values. All products stay below 2**63: ``remixed`` and SQL on 64-bit integers give the same.
+    """
+    left, right = values >> HALF, values & ((1 << HALF) - 1)
+    for number, (by, step) in enumerate(ROUNDS):
+        x = (right * by + (counter * step + number)) % PRIME
+        left, right = right, left ^ (x * x % PRIME >> 5)
+    return ((left << HALF) + right) / TWO_52
+
+
+def remixed(value: Column, counter: Column | int) -> Column:
+    """``remix`` in columns. Each round reads the previous ones by name, so the expression does not double."""
+    count = F.lit(counter).cast("long") if isinstance(counter, int) else counter.cast("long")
+    state = F.struct(F.shiftright(value, HALF).alias("l"), value.bitwiseAND(F.lit((1 << HALF) - 1)).alias("r"), count.alias("c"))
+
+    def turn(s: Column, step: Column) -> Column:
+        x = (s["r"] * step["by"] + (s["c"] * step["step"] + step["number"])) % F.lit(PRIME)
+        mixed = F.transform(F.array(x), lambda y: s["l"].bitwiseXOR(F.shiftright(y * y % F.lit(PRIME), 5)))[0]
+        return F.struct(s["r"].alias("l"), mixed.alias("r"), s["c"].alias("c"))
+
+    rounds = F.array(*[
+        F.struct(F.lit(by).cast("long").alias("by"), F.lit(step).cast("long").alias("step"), F.lit(i).cast("long").alias("number"))
+        for i, (by, step) in enumerate(ROUNDS)
+    ])
+    done = lambda s: (F.shiftleft(s["l"], HALF) + s["r"]).cast("double") / TWO_52
+    return F.aggregate(rounds, state, turn, done)

@@ -3,20 +3,22 @@
 State: one row per token, ``doc_id, pos, word_id, z``. Counts per word, document
 and topic are derived from it, so they can never disagree with it. Within a
 sweep all documents see the counts of the sweep's start (the AD-LDA
-approximation, Newman et al. 2009). Two modes:
+approximation, Newman et al. 2009). Three modes:
 
 ``sync``  every token is drawn against the sweep-start counts with its own
           count removed; arrays over blocks of documents, to which a word's K
           counts go once however often the block has the word.
 ``doc``   tokens of a document are drawn one after the other and each draw sees
           the document's earlier ones; Arrow batches of whole documents.
+``alias`` as ``doc`` within a document, but a draw costs the same for any number of
+          topics: proposals from alias tables of the word's sweep-start counts and
+          from the document's own topics, accepted by Metropolis-Hastings.
 
 No topic-word matrix is ever held by the driver or a single task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import counts_by_topic
-from ..functions.draws import TWO_52, uniform
+from ..functions.draws import bits, remix, uniform
 from ..plans.scratch import Scratch
 from ..plans.skew import HotKeys, count_by
 from . import corpus as C
@@ -215,6 +217,108 @@ def _doc_sweep(
     return _per_document(tokens, "n_word", k, ["word_id", "z", "u"], redraw, schema)
 
 
+CYCLES = 4  # proposals per token: each cycle one from the word and one from the document
+
+
+def _alias_sweep(
+    state: DataFrame, k: int, alpha: float, beta: float, v: int, seed: int, sweep: int, pairs: DataFrame, blocks: int
+) -> DataFrame:
+    totals = np.array(topic_totals(state, k).first()["n"], dtype=float)
+
+    def redraw(_, tokens: pa.Table, vectors: pa.Table) -> pa.Table:
+        tokens = tokens.sort_by([("doc_id", "ascending"), ("pos", "ascending")])
+        block = _Block(tokens, vectors)
+        new = alias_pass(block.docs, block.row, block.z, block.vectors, totals, alpha, beta, v, tokens.column("bits").to_numpy(), sweep)
+        return pa.table({"doc_id": tokens.column("doc_id"), "pos": tokens.column("pos"), "word_id": tokens.column("word_id"), "z": new.astype(np.int32)})
+
+    key = bits(seed, F.col("doc_id"), F.col("pos")).alias("bits")
+    tokens = state.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z", key)
+    vectors = _word_vectors(pairs, word_topic_counts(state, k), "n")
+    schema = f"doc_id {dict(state.dtypes)['doc_id']}, pos int, word_id bigint, z int"
+    return tokens.groupBy("block").cogroup(vectors.groupBy("part")).applyInArrow(redraw, schema)
+
+
+def alias_tables(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of positive weights ``share, other``: of a column chosen evenly, keep it with
+    ``share``, else take ``other``. All rows are filled side by side, a column per step."""
+    n, k = weights.shape
+    rest = weights * (k / weights.sum(axis=1, keepdims=True))
+    share, other = np.ones((n, k)), np.tile(np.arange(k), (n, 1))
+    order = np.argsort(rest >= 1, axis=1, kind="stable")
+    few = (rest < 1).sum(axis=1)
+    rows = np.flatnonzero((few > 0) & (few < k))
+    now, small, large = order[rows, 0], np.ones(len(rows), np.int64), few[rows].copy()
+    while len(rows):
+        giver = order[rows, large]
+        share[rows, now], other[rows, now] = rest[rows, now], giver
+        left = rest[rows, giver] - (1 - rest[rows, now])
+        rest[rows, giver] = left
+        spent = left < 1
+        large += spent
+        more = small < few[rows]
+        now = np.where(spent, giver, order[rows, np.minimum(small, k - 1)])
+        small += ~spent
+        go = np.where(spent, large < k, more)
+        rows, now, small, large = rows[go], now[go], small[go], large[go]
+    return share, other
+
+
+def alias_pass(
+    docs: np.ndarray, row: np.ndarray, z: np.ndarray, vectors: np.ndarray, totals: np.ndarray,
+    alpha: float, beta: float, v: int, own_bits: np.ndarray, sweep: int, cycles: int = CYCLES,
+) -> np.ndarray:
+    """New topics of a block's tokens, which are in order of document and position; ``row`` is a token's row of ``vectors``.
+
+    A token's topic is drawn from (its document's current counts + alpha) x (the word's sweep-start counts + beta) / (topic
+    totals + v beta), itself left out of all three. Documents are walked side by side, the tokens of one in order; what a
+    draw costs does not depend on the number of topics, only the tables of the block's words do.
+    """
+    k, n = len(totals), len(docs)
+    cuts = np.flatnonzero(np.diff(docs)) + 1
+    starts = np.concatenate(([0], cuts)) if n else np.empty(0, np.int64)
+    lengths = np.diff(np.concatenate((starts, [n])))
+    by_length = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[by_length], lengths[by_length]
+    doc_row = np.repeat(np.arange(len(starts)), lengths)
+    where = np.repeat(starts, lengths) + np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    by_doc = np.bincount(doc_row * k + z[where], minlength=len(starts) * k).reshape(-1, k)
+    proposal = (vectors + beta) / (totals + v * beta)
+    share, other = alias_tables(proposal)
+    us = [remix(own_bits, (sweep * cycles + c) * 4 + j) for c in range(cycles) for j in range(4)]
+    new, active = z.copy(), len(starts)
+    for i in range(int(lengths[0]) if n else 0):
+        while lengths[active - 1] <= i:
+            active -= 1
+        d, at, size = np.arange(active), starts[:active] + i, lengths[:active] - 1
+        w, first = row[at], z[at]
+
+        def word_part(t):
+            mine = t == first
+            return (vectors[w, t] - mine + beta) / (totals[t] - mine + v * beta)
+
+        now = first
+        by_doc[d, now] -= 1
+        of_now = word_part(now)
+        for c in range(cycles):
+            pick, accept, pick_doc, accept_doc = (u[at] for u in us[4 * c:4 * c + 4])
+            column = (pick * k).astype(np.int64)
+            t = np.where(pick * k - column < share[w, column], column, other[w, column])
+            of_t = word_part(t)
+            up = (by_doc[d, t] + alpha) * of_t * proposal[w, now]
+            take = accept * ((by_doc[d, now] + alpha) * of_now * proposal[w, t]) < up
+            now, of_now = np.where(take, t, now), np.where(take, of_t, of_now)
+            spot = pick_doc * (size + k * alpha)
+            mate = np.minimum(spot.astype(np.int64), np.maximum(size - 1, 0))
+            mate = np.minimum(mate + (mate >= i), size)
+            t = np.where(spot < size, new[starts[:active] + mate], np.clip((spot - size) / alpha, 0, k - 1).astype(np.int64))
+            of_t = word_part(t)
+            take = accept_doc * of_now < of_t
+            now, of_now = np.where(take, t, now), np.where(take, of_t, of_now)
+        by_doc[d, now] += 1
+        new[at] = now
+    return new
+
+
 class LdaModel:
     """A trained state with its dictionary. The count tables are written once, on
     first use; the shares and reports are derived from them."""
@@ -318,8 +422,8 @@ def fit_lda(
     """Train by ``sweeps`` Gibbs sweeps. A sweep's state is a table in the shared
     checkpoint folder; the last one and every ``keep_every``-th stay, and one of
     them may be given as ``resume`` to go on from it."""
-    if mode not in ("doc", "sync"):
-        raise ValueError("mode is 'doc' or 'sync'")
+    if mode not in ("doc", "sync", "alias"):
+        raise ValueError("mode is 'doc', 'sync' or 'alias'")
     scratch = Scratch(corpus.sparkSession, "lda")
     vocab = scratch.save(C.vocabulary(corpus), "vocabulary")
     v = vocab.count()
@@ -327,9 +431,9 @@ def fit_lda(
         state = scratch.save(random_topics(C.encoded_tokens(corpus, vocab), k, seed), "sweep=0")
     else:
         state = resume
-    if mode == "sync":  # the words of a block never change
+    if mode != "doc":  # the words of a block never change
         blocks = blocks_for(state, v, k)
-        sweep_once, with_ = _sync_sweep, (scratch.save(block_words(state, blocks), "block-words"), blocks)
+        sweep_once, with_ = _sync_sweep if mode == "sync" else _alias_sweep, (scratch.save(block_words(state, blocks), "block-words"), blocks)
     else:
         sweep_once, with_ = _doc_sweep, (HotKeys(vocab, "word_id"),)
     for sweep in range(first_sweep, first_sweep + sweeps):
@@ -376,17 +480,15 @@ def infer_theta(
 
 
 def _fold_blocks(tokens: DataFrame, phi: DataFrame, k: int, alpha: float, sweeps: int, seed: int) -> DataFrame:
-    """All synchronous sweeps over a block's documents; the draws are those of ``uniform``."""
+    """All synchronous sweeps over a block's documents; a token's key is hashed once, its draw of a sweep is a ``remix`` of it."""
 
     def fold(_, own: pa.Table, vectors: pa.Table) -> pa.Table:
         block = _Block(own, vectors)
-        names = [f"{seed}:{d}:{p}:".encode() for d, p in zip(own.column("doc_id").to_pylist(), own.column("pos").to_pylist())]
+        own_bits = own.column("bits").to_numpy()
         for sweep in range(1, sweeps + 1):
-            end = str(sweep).encode()
-            bits = [int.from_bytes(hashlib.md5(name + end).digest()[:7], "big") >> 4 for name in names]
-            u, by_doc, new = np.array(bits, float) / TWO_52, block.doc_counts(k), np.empty(len(names), np.int64)
+            u, by_doc, new = remix(own_bits, sweep), block.doc_counts(k), np.empty(len(own_bits), np.int64)
             length = by_doc.sum(axis=1)
-            for part in _slices(len(names), k):
+            for part in _slices(len(own_bits), k):
                 mine = np.zeros((len(u[part]), k))
                 mine[np.arange(len(mine)), block.z[part]] = 1.0
                 docs = block.docs[part]
@@ -395,7 +497,8 @@ def _fold_blocks(tokens: DataFrame, phi: DataFrame, k: int, alpha: float, sweeps
         return pa.table({"doc_id": block.doc.dictionary, "n": pa.array(block.doc_counts(k).astype(np.int64).tolist(), pa.list_(pa.int64()))})
 
     blocks = blocks_for(tokens, phi.count(), k)
-    rows = tokens.select(block_of(blocks).alias("block"), "doc_id", "pos", "word_id", "z")
+    key = bits(seed, F.col("doc_id"), F.col("pos")).alias("bits")
+    rows = tokens.select(block_of(blocks).alias("block"), "doc_id", "word_id", "z", key)
     schema = f"doc_id {dict(tokens.dtypes)['doc_id']}, n array<bigint>"
     return rows.groupBy("block").cogroup(_word_vectors(block_words(tokens, blocks), phi, "phi").groupBy("part")).applyInArrow(fold, schema)
 

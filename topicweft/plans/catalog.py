@@ -639,6 +639,17 @@ def lda_fit(spark, sf):
     return T.by_topic(model.word_topics(), "n").filter("n > 0")
 
 
+@query
+def lda_alias_totals(spark, sf):
+    """Three sweeps of the alias sampler: tokens per word and per document, summed from the topic counts."""
+    model = T.fit_lda(B.documents(spark, sf), k=TOPICS, sweeps=3, seed=SEED, mode="alias")
+    size = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")
+    words = model.word_topics().join(model.vocab.select("word_id", "word"), "word_id")
+    return words.select(F.lit("word").alias("kind"), F.col("word").alias("item"), size).unionByName(
+        model.doc_topics().select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("item"), size)
+    )
+
+
 @query
 def lda_fold_in_step(spark, sf):
     """New texts, one synchronous sweep."""

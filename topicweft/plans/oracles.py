@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import draws
+
 K = 4
 SEED = 11
 PEEL = 70
@@ -20,6 +22,15 @@ def draw(*key: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
+def remix(bits: str, counter: int) -> str:
+    """Columns h1 to h6 and u: the draw of a 52-bit key and a counter, by four Feistel rounds on its halves."""
+    out = [f"({bits} >> {draws.HALF}) AS h1", f"({bits} & {2 ** draws.HALF - 1}) AS h2"]
+    for i, (by, step) in enumerate(draws.ROUNDS):
+        out.append(f"((h{i + 2} * {by}::BIGINT + {counter * step + i}::BIGINT) % {draws.PRIME}) AS x{i}")
+        out.append(f"xor(h{i + 1}, ((x{i} * x{i}) % {draws.PRIME}) >> 5) AS h{i + 3}")
+    return ", ".join([*out, f"((h5 * {2 ** draws.HALF} + h6)::DOUBLE / 4503599627370496.0::DOUBLE) AS u"])
+
+
 def ks(item: str, sep: str = ", ") -> str:
     return sep.join(item.format(k=k) for k in range(K))
 
@@ -412,16 +423,16 @@ def sweeps(n: int) -> str:
 def fold_ins(n: int) -> str:
     """Sweeps 1 to n over the new texts with the word shares fixed."""
     own = "CASE WHEN z = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
-    out = [f"""y0 AS MATERIALIZED (SELECT doc_id, pos, word_id, CAST(floor({draw('doc_id', 'pos', "'0'")} * {K}) AS INT) AS z
-      FROM new_tok JOIN voc USING (word))"""]
+    out = [f"""y0 AS MATERIALIZED (SELECT doc_id, pos, word_id, CAST(floor({draw('doc_id', 'pos', "'0'")} * {K}) AS INT) AS z,
+      CAST({draw('doc_id', 'pos')} * 4503599627370496.0::DOUBLE AS BIGINT) AS bits FROM new_tok JOIN voc USING (word))"""]
     for i in range(1, n + 1):
         p = i - 1
         weight = f"phi.p{{k}} * (g{p}.n{{k}} - {own} + {A}) / ({' + '.join(f'g{p}.n{j}' for j in range(K))} - 1 + 1.8::DOUBLE) AS w{{k}}"
         out += [
             counts(f"y{p}", "doc_id", f"g{p}"),
-            f"""x{i} AS (SELECT y{p}.doc_id, y{p}.pos, y{p}.word_id, {draw(f'y{p}.doc_id', f'y{p}.pos', f"'{i}'")} AS u, {ks(weight)}
+            f"""x{i} AS (SELECT y{p}.doc_id, y{p}.pos, y{p}.word_id, bits, {remix('bits', i)}, {ks(weight)}
               FROM y{p} JOIN g{p} USING (doc_id) JOIN phi ON phi.word_id = y{p}.word_id)""",
-            f"y{i} AS MATERIALIZED (SELECT doc_id, pos, word_id, {pick('')} AS z FROM x{i})",
+            f"y{i} AS MATERIALIZED (SELECT doc_id, pos, word_id, bits, {pick('')} AS z FROM x{i})",
         ]
     return ",\n".join([*out, counts(f"y{n}", "doc_id", "folded")])
 
@@ -447,18 +458,13 @@ top AS MATERIALIZED (SELECT * FROM (SELECT topic, word_id, n, p, row_number() OV
 SQL["lda_top_words"] = MODEL + "," + TOP + " SELECT topic, rank, word, top.n, round(p, 9) AS p FROM top JOIN voc USING (word_id)"
 SQL["lda_topic_report"] = MODEL + "," + TOP + """
 SELECT topic, string_agg('n(' || word || ')=' || top.n, ' ' ORDER BY rank) AS words FROM top JOIN voc USING (word_id) GROUP BY topic"""
-SQL["lda_fold_in_step"] = MODEL + "," + NEW + f""",
-y0 AS MATERIALIZED (SELECT doc_id, pos, word_id, CAST(floor({draw('doc_id', 'pos', "'0'")} * {K}) AS INT) AS z FROM new_tok JOIN voc USING (word)),
-{counts('y0', 'doc_id', 'yd0')},
-ys AS (SELECT y0.doc_id, y0.pos, {draw('y0.doc_id', 'y0.pos', "'1'")} AS u,
-  {ks('phi.p{k} * (yd0.n{k} - CASE WHEN z = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.45::DOUBLE) / (yd0.n0 + yd0.n1 + yd0.n2 + yd0.n3 - 1 + 1.8::DOUBLE) AS w{k}')}
-  FROM y0 JOIN yd0 USING (doc_id) JOIN phi ON phi.word_id = y0.word_id),
-y1 AS MATERIALIZED (SELECT doc_id, pos, {pick('')} AS z FROM ys),
-{counts('y1', 'doc_id', 'yd')}
-""" + long("yd", "doc_id", "round((n{k} + 0.45::DOUBLE) / (n0 + n1 + n2 + n3 + 1.8::DOUBLE), 6)", "theta")
 SQL["lda_fit"] = chain(TOK, VOC, INIT, sweeps(SWEEPS)) + "\n" + long("trained", "word_id", "n{k}", "n", "WHERE n{k} > 0")
-SQL["lda_fold_in"] = MODEL + "," + NEW + ",\n" + fold_ins(50) + "\n" + long(
-    "folded", "doc_id", "round((n{k} + 0.45::DOUBLE) / (n0 + n1 + n2 + n3 + 1.8::DOUBLE), 6)", "theta")
+SQL["lda_alias_totals"] = chain(TOK) + """
+SELECT 'word' AS kind, word AS item, count(*) AS n FROM tok GROUP BY word
+UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), count(*) FROM tok GROUP BY doc_id"""
+for _name, _sweeps in (("lda_fold_in_step", 1), ("lda_fold_in", 50)):
+    SQL[_name] = MODEL + "," + NEW + ",\n" + fold_ins(_sweeps) + "\n" + long(
+        "folded", "doc_id", "round((n{k} + 0.45::DOUBLE) / (n0 + n1 + n2 + n3 + 1.8::DOUBLE), 6)", "theta")
 SQL["new_text_tokens"] = chain(TOK, VOC, NEW) + f"""
 SELECT doc_id, pos, coalesce(word_id, CAST(floor({draw('doc_id', 'pos', "'-1'")} * (SELECT count(*) FROM voc)) AS BIGINT)) AS word_id
 FROM new_tok LEFT JOIN voc USING (word)"""
