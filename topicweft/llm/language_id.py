@@ -197,7 +197,8 @@ def identify_languages(docs: DataFrame, model: Model | None, text: str = "text",
 
     Rows whose text is null or has no letter get ``und``, score 0 and rejected; so does
     every row if there was nothing to learn from. A row is rejected too where its
-    calibrated probability is below the model's threshold. Input columns of these
+    calibrated probability is below the model's threshold. An empty table gives no rows, a text of any
+    length is judged whole. Input columns of these
     three names are replaced; repeated rows get equal predictions.
     """
     spark = docs.sparkSession

@@ -237,7 +237,8 @@ def score_texts(
     after lower-casing A-Z, and one end; null and blank texts have the end only.
     ``base_score`` is the add-one unigram score, ``score`` the mixture's, both as sums of
     log10. Without training rows every token is as likely as the unknown one. Rows with
-    null or repeated identifiers are rows of their own; other columns are ignored.
+    null or repeated identifiers are rows of their own; an empty table gives no rows, a text of
+    any length is scored whole. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

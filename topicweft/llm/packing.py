@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of documents into sequences, in rounds over classes of equal length.
 
 Lengths are whole numbers up to the sequence size, so all documents of a length, and all
 sequences with an equal gap, are interchangeable and are ranges of ranks: the range-sorted
@@ -6,7 +6,8 @@ documents and gaps are two short sorted tables (at most one row per length or ga
 the ranks of the rows. A round takes the longest documents left, sweeps to the
 successor gap (the smallest that is large enough), lets the documents of lowest rank have
 those sequences, moves the sequences to their new gap, and repeats; what fits nowhere
-opens sequences. Only the two tables of classes take part in rounds. Ranks come from the
+opens sequences. Only the two tables of classes take part in rounds, which are a loop on the driver (at most ``size`` classes each,
+whatever the input), in place of distributed sweeps over rows. Ranks come from the
 tasks' own numbering plus the totals of the tasks before, so a length that a third of all
 documents share is no task's burden.
 """
@@ -185,7 +186,8 @@ def pack(
     A document is its whole text's ids and the end id; a null or empty text is the end
     id alone. Documents longer than ``size`` are cut into pieces of that length, the
     first one shorter if need be. Every input row is placed, rows with null or repeated
-    identifiers too (each as a document of its own); other columns are ignored.
+    identifiers too (each as a document of its own); an empty table gives no pieces, a text of any
+    length is cut whole. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

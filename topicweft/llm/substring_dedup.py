@@ -62,7 +62,8 @@ def repeated_words(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     of ``width`` words that covers it also starts at another place of any row, its own
     included; windows are judged on the input and never cross rows. Null and blank texts
     have no words; rows that repeat as a whole, also with one identifier, lose every
-    word if they have ``width`` words. Other columns are ignored.
+    word if they have ``width`` words. An empty table gives no rows, a text of any length is
+    judged whole, rows without identifier are rows like others. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = keyed(docs, doc, text)

@@ -69,7 +69,8 @@ def repeated_bytes(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     place of any row, its own included; strings are judged on the input and never cross
     rows. Null and short texts lose nothing for themselves. Rows that repeat as a whole,
     also with one identifier, lose every byte if they have ``width`` bytes. ``kept`` is
-    binary, as what remains may part a character. Other columns are ignored.
+    binary, as what remains may part a character. An empty table gives no rows, a text of any
+    length is judged whole, rows without identifier are rows like others. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = keyed(docs, doc, text)

@@ -96,7 +96,8 @@ def token_counts(
     The counts are those of the whole text by the tokenizer file ``vocabulary`` without
     begin, end or added special tokens, nothing cut; special strings in a text count as
     the library's default has them. Null and empty texts have 0 bytes and tokens. Rows
-    with repeated or null identifiers are rows of their own; other columns are ignored.
+    with repeated or null identifiers are rows of their own; an empty table gives no rows, a text of
+    any length is counted whole. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
