@@ -301,3 +301,39 @@ def test_similarity_of_signed_vectors_in_both_forms(spark, monkeypatch, most):
         best = sorted((-c, i) for i, c in cosine.items() if c > 0)[:6]
         want |= {(s, i): -c for c, i in best}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_token_draws_in_numpy_equal_the_columns(spark):
+    """Keys of any length, without a key, any position; messages beyond one md5 block too."""
+    from topicweft.functions.draws import bits, token_bits
+
+    keys = ["0", "12345", None, "é" * 9, "x" * 49, "y" * 70]
+    pos = [0, 7, 9, 10, 99, 100, 12345]
+    doc = np.repeat(np.arange(len(keys)), len(pos))
+    rows = spark.createDataFrame([(k, p) for k in keys for p in pos], "k string, p int")
+    for last in ((), (0,), (17,)):
+        want = [r[0] for r in rows.select(bits(11, F.col("k"), F.col("p"), *last)).collect()]
+        assert token_bits(11, keys, doc, np.array(pos * len(keys)), *last).tolist() == want
+
+
+def test_words_of_one_block_stay_in_it(small, monkeypatch):
+    """Only words that several blocks have are sent between sweeps, and the counts do not depend on the blocks."""
+    found = []
+    for blocks in (1, 3):
+        monkeypatch.setattr(T, "_blocks", lambda spark, n, v, k, blocks=blocks: blocks)
+        model = T.fit_lda(small, k=2, sweeps=3)
+        found.append(sorted((r["word_id"], r["n"]) for r in model.word_topics().collect()))
+        sent, pairs = model._blocks.vectors(True, False), model._blocks.pairs
+        alone = pairs.groupBy("word_id").count().filter("count = 1")
+        assert alone.count() > 0 and sent.join(alone, "word_id").count() == 0
+    assert found[0] == found[1]
+
+
+def test_repeated_and_missing_identifiers(spark):
+    """Rows of one identifier are one document; texts without words give no row."""
+    texts = [(1, "a b a"), (1, "b c"), (2, ""), (3, None), (None, "a c")]
+    docs = C.corpus(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text")
+    for mode in ("sync", "alias"):
+        model = T.fit_lda(docs, k=2, sweeps=2, mode=mode)
+        assert sorted((r["doc_id"] or 0, sum(r["n"])) for r in model.doc_topics().collect()) == [(0, 2), (1, 5)]
+        assert model.state.count() == 7
