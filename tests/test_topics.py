@@ -320,7 +320,7 @@ def test_words_of_one_block_stay_in_it(small, monkeypatch):
     """Only words that several blocks have are sent between sweeps, and the counts do not depend on the blocks."""
     found = []
     for blocks in (1, 3):
-        monkeypatch.setattr(T, "_blocks", lambda spark, n, v, k, blocks=blocks: blocks)
+        monkeypatch.setattr(T, "_blocks", lambda spark, n, v, k, per_core=4, blocks=blocks: blocks)
         model = T.fit_lda(small, k=2, sweeps=3)
         found.append(sorted((r["word_id"], r["n"]) for r in model.word_topics().collect()))
         sent, pairs = model._blocks.vectors(True, False), model._blocks.pairs
