@@ -210,6 +210,24 @@ def test_greedy_overlap_brute_force(spark):
     assert as_dict(M.greedy_community(g, 3, ["a", "b"])) == greedy(edges, weights, 3)
 
 
+@pytest.mark.parametrize("links", [25, 10**6])
+def test_greedy_steps_do_not_grow_with_its_rounds(spark, monkeypatch, links):
+    """A chain leaves end by end, 40 rounds of one vertex each, before the target in a denser part is reached; blocks of few links
+    settle against each other."""
+    monkeypatch.setattr(M, "LINKS_PER_BLOCK", links)
+    runs, settle = [], M._Links.core_numbers
+    monkeypatch.setattr(M._Links, "core_numbers", lambda self: runs.append(1) or settle(self))
+    chain = [(100 + i, 101 + i) for i in range(40)]
+    part = [(a, b) for a in range(5) for b in range(a)] + [(4, 5), (3, 5), (5, 140)]
+    edges = chain + part
+    attrs = {v: (v * 7) % 5 + 1 for e in edges for v in e}
+    g = G.Graph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint").withColumn("attr", F.lit(1)))
+    g = G.Graph(spark.createDataFrame(list(attrs.items()), "id bigint, a bigint"), g.edges)
+    assert as_dict(M.greedy_community(g, 2)) == greedy(edges, [1] * len(edges), 2)
+    assert len(runs) <= 4
+    assert as_dict(M.greedy_community(g, 2, ["a"])) == greedy(edges, [min(attrs[a], attrs[b]) for a, b in edges], 2)
+
+
 def test_greedy_needs_a_vertex(community):
     with pytest.raises(ValueError):
         M.greedy_community(community, 99)

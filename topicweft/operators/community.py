@@ -7,14 +7,17 @@ question about every community at once.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from .graph import Graph, degrees, ends, triplets
-from .paths import Adjacency, adjacency_of, steps
+from .paths import adjacency_of, steps
 
 LEFT = "id bigint, degree bigint, last_iter int"
 SIZES = "iter int, vertices bigint, degree_sum bigint, lo bigint, hi bigint"
@@ -287,6 +290,90 @@ def overlap_score(graph: Graph, columns: list[str]) -> DataFrame:
     return graph.vertices.select("id").join(received, "id", "left").na.fill(0, ["score"])
 
 
+LINKS_PER_BLOCK = 2_000_000
+
+
+def _leave_order(src: np.ndarray, dst: np.ndarray, w: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The core bounds of the vertices ``src``, which have all their links here: the smallest score leaves first, and a vertex
+    from elsewhere (only in ``dst``) when its own bound is the smallest value."""
+    ids, s = np.unique(src, return_inverse=True)
+    n = len(ids)
+    everyone, d = np.unique(np.concatenate([ids, dst]), return_inverse=True)
+    place = np.full(len(everyone), -1)
+    place[d[:n]] = np.arange(n)
+    others = np.flatnonzero(place < 0)
+    place[others] = np.arange(n, n + len(others))
+    d = place[d[n:]]
+    value = np.zeros(n + len(others), np.int64)
+    np.add.at(value, s, w)
+    far = d >= n
+    value[d[far]] = bound[far]
+    order = np.argsort(d, kind="stable")
+    first = np.searchsorted(d[order], np.arange(len(value) + 1)).tolist()
+    s, w, value = s[order], w[order], value.tolist()
+    waiting = [(x, v) for v, x in enumerate(value)]
+    heapq.heapify(waiting)
+    left, core, level = [False] * len(value), [0] * n, 0
+    while waiting:
+        x, v = heapq.heappop(waiting)
+        if left[v] or x != value[v]:
+            continue
+        left[v], level = True, max(level, x)
+        if v < n:
+            core[v] = level
+        part = slice(first[v], first[v + 1])
+        for u, lost in zip(s[part].tolist(), w[part].tolist()):
+            if not left[u]:
+                value[u] -= lost
+                heapq.heappush(waiting, (value[u], u))
+    return ids, np.array(core, np.int64)
+
+
+def _block_bounds(links: pa.Table) -> pa.Table:
+    ids, core = _leave_order(*[links.column(c).to_numpy() for c in ("src", "dst", "w", "bound")])
+    return pa.table({"id": ids, "bound": core})
+
+
+class _Links:
+    """Weighted links in both directions, ``src, dst, w`` and a ``bound`` that the core number of ``dst`` does not exceed."""
+
+    def __init__(self, scratch: Scratch, rows: DataFrame):
+        self.scratch, self.made = scratch, 0
+        self.rows, self.name, self.n, _ = self._save(rows, F.lit(0))
+
+    def _save(self, df: DataFrame, measure: Column) -> tuple[DataFrame, str, int, int]:
+        self.made += 1
+        seen, name = Observation(), f"links-{self.made}"
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(measure), F.lit(0)).alias("m"))
+        return self.scratch.save(counted, name), name, seen.get["n"], seen.get["m"]
+
+    def replace(self, rows: DataFrame, measure: Column | None = None) -> int:
+        before = self.name
+        self.rows, self.name, self.n, found = self._save(rows, F.lit(0) if measure is None else measure)
+        self.scratch.drop(before)
+        return found
+
+    def core_numbers(self) -> tuple[DataFrame, str]:
+        """``id, bound``: the core number of every vertex that has links, and the name of the table.
+
+        A core number is the largest value that the links to vertices of at least that value add up to. A block of vertices settles
+        its own bounds against those of the others; blocks repeat this until no bound falls. They grow in number with the links.
+        """
+        blocks = max(1, -(-self.n // LINKS_PER_BLOCK))
+        while True:
+            self.made += 1
+            name = f"bounds-{self.made}"
+            dealt = self.rows.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(blocks)))
+            found = self.scratch.save(dealt.groupBy("block").applyInArrow(_block_bounds, "id bigint, bound bigint"), name)
+            if blocks == 1:
+                return found, name
+            news = found.select(F.col("id").alias("dst"), F.col("bound").alias("_new"))
+            joined = self.rows.join(news, "dst").select("src", "dst", "w", F.col("_new").alias("bound"), (F.col("_new") < F.col("bound")).cast("int").alias("fell"))
+            if not self.replace(joined, F.col("fell")):
+                return found, name
+            self.scratch.drop(name)
+
+
 def greedy_community(graph: Graph, target: int, columns: list[str] | None = None) -> DataFrame:
     """``id, score`` left when the vertices of smallest score are removed round
     by round until the target has the smallest score.
@@ -296,62 +383,43 @@ def greedy_community(graph: Graph, target: int, columns: list[str] | None = None
 
     Every vertex outside the target's core, the largest set in which all scores
     reach the highest value the target can keep, leaves before any vertex inside
-    it. So the core is found first, by bisection over whole-threshold peels, and
-    only the rounds inside it are run one minimum at a time.
+    it. This holds in every round, so a step drops all that is outside the core
+    and then the minima inside it: the cascade of small rounds that
+    a removal sets off is part of the next step's core numbers.
     """
-    spark = graph.edges.sparkSession
-    scratch = Scratch(spark, "greedy")
+    scratch = Scratch(graph.edges.sparkSession, "greedy")
     if columns:
         weighted = triplets(graph).select("src", "dst", overlap(columns).alias("w"))
     else:
         weighted = graph.edges.select("src", "dst", F.lit(1).cast("long").alias("w"))
     both = weighted.unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    with adjacency_of(both) as adjacency:
-        return _greedy(graph, target, scratch, adjacency)
-
-
-def _greedy(graph: Graph, target: int, scratch: Scratch, adjacency: Adjacency) -> DataFrame:
-    scores = adjacency.edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("score"))
-    start = graph.vertices.select("id").join(scores, "id", "left").na.fill(0, ["score"])
-    alive = scratch.save(start, "round=0")
-    rounds = 0
-
-    def drop(current: DataFrame, limit: int) -> DataFrame:
-        nonlocal rounds
-        rounds += 1
-        gone = current.filter(F.col("score") < limit).select("id")
-        lost = adjacency.expand(gone).groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("lost"))
-        return scratch.save(
-            current.filter(F.col("score") >= limit)
-            .join(lost, "id", "left")
-            .select("id", (F.col("score") - F.coalesce("lost", F.lit(0))).alias("score")),
-            f"round={rounds}",
-        )
-
-    def state(current: DataFrame) -> tuple[int | None, int | None]:
-        row = current.agg(
-            F.min("score").alias("smallest"), F.max(F.when(F.col("id") == target, F.col("score"))).alias("target")
-        ).first()
-        return row["smallest"], row["target"]
-
-    smallest, own = state(alive)
-    if own is None:
+    summed = scratch.save(both.groupBy("src", "dst").agg(F.sum("w").alias("w")).filter("w <> 0"), "weighted")
+    scores = summed.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("bound"))
+    links = _Links(scratch, summed.join(scores, "dst").select("src", "dst", "w", "bound"))
+    scratch.drop("weighted")
+    alive = graph.vertices.select(F.col("id").cast("long"))
+    if alive.filter(F.col("id") == target).isEmpty():
         raise ValueError("the target is not a vertex of the graph")
-    high = own + 1
-    while smallest + 1 < high and smallest < own:
-        limit = (smallest + high) // 2
-        trial, low, kept = alive, smallest, own
-        while kept is not None and kept >= limit and low < limit:
-            trial = drop(trial, limit)
-            low, kept = state(trial)
-        if kept is not None and kept >= limit:
-            alive, smallest, own = trial, low, kept
-        else:
-            high = limit
-    while smallest < own:
-        alive = drop(alive, smallest + 1)
-        smallest, own = state(alive)
-    return alive
+    for i in steps(None, "the search"):
+        bounds, made = links.core_numbers()
+        mine = bounds.filter(F.col("id") == target).first()
+        level = mine["bound"] if mine else 0
+        core = alive.select("id").join(bounds, "id", "left").na.fill(0, ["bound"]).filter(F.col("bound") >= level)
+        inside = bounds.filter(F.col("bound") >= level)
+        ends_inside = links.rows.select("src", "dst", "w").join(inside.select(F.col("id").alias("dst")), "dst")
+        sums = ends_inside.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("score"))
+        seen = Observation()
+        scored = core.join(sums, "id", "left").na.fill(0, ["score"]).select("id", "score", "bound")
+        own = F.max(F.when(F.col("id") == target, F.col("score"))).alias("own")
+        alive = scratch.save(scored.observe(seen, F.min("score").alias("smallest"), own), f"alive-{i}")
+        scratch.drop(made)
+        scratch.drop(f"alive-{i - 1}")
+        if seen.get["own"] <= seen.get["smallest"]:
+            return alive.select("id", "score")
+        alive = alive.filter(F.col("score") > seen.get["smallest"])
+        kept = links.rows.select("src", "dst", "w").join(alive.select(F.col("id").alias("src")), "src")
+        links.replace(kept.join(alive.select(F.col("id").alias("dst"), "bound"), "dst").select("src", "dst", "w", "bound"))
+    raise AssertionError
 
 
 def frontier_candidates(graph: Graph, levels: DataFrame, level: int) -> DataFrame:
