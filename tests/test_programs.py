@@ -195,3 +195,34 @@ def test_betweenness_totals_are_sums_over_roots(spark, together):
     assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
     links = {(r.src, r.dst): r.c for r in whole.edges.groupBy("src", "dst").agg(F.sum("credit").alias("c")).collect()}
     assert {(r.src, r.dst): r.credit for r in totals.edges.collect()} == pytest.approx(links)
+
+
+def test_betweenness_totals_keep_no_row_per_root_and_vertex(spark):
+    """Rows per vertex and level, not per vertex and root: 60 roots that all reach the same long way."""
+    from topicweft.operators import credit
+
+    rows, saved = [], credit.Scratch.save
+
+    def counted(self, df, name):
+        out = saved(self, df, name)
+        if name.startswith("reached"):
+            rows.append(out.count())
+        return out
+
+    edges = spark.createDataFrame([(r, 100) for r in range(60)] + [(100 + i, 101 + i) for i in range(5)], "src bigint, dst bigint")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(credit.Scratch, "save", counted)
+        patch.setattr(credit, "FEWEST_LINKS", 10)
+        totals = P.betweenness_totals(edges, spark.range(60))
+    assert rows == [60, 1, 1, 1, 1, 1, 1, 0]
+    assert {r.id: (r.roots, r.credit) for r in totals.vertices.collect()} == {100 + i: (60, 60.0 * (6 - i)) for i in range(6)}
+    links = {(r.src, r.dst): r.credit for r in totals.edges.collect()}
+    assert links == {(r, 100): 6.0 for r in range(60)} | {(100 + i, 101 + i): 60.0 * (5 - i) for i in range(5)}
+
+
+def test_betweenness_totals_without_roots_or_edges(spark):
+    edges = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
+    none = P.betweenness_totals(edges, spark.range(0))
+    assert none.vertices.count() == none.edges.count() == 0
+    alone = P.betweenness_totals(edges.limit(0), spark.range(3))
+    assert alone.vertices.count() == alone.edges.count() == 0
