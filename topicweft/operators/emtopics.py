@@ -112,12 +112,13 @@ def fit_em(doc_terms: DataFrame, k: int, iterations: int, alpha: float | None =
     alpha = 50.0 / k + 1 if alpha is None else alpha
     scratch = Scratch(doc_terms.sparkSession, "em")
     kind = dict(doc_terms.dtypes)["doc_id"]
+    rows = scratch.save(doc_terms.select("doc_id", F.col("word_id").cast("long"), "n"), "rows")
     drawn = F.array(*[uniform(seed, F.col("word_id"), i) for i in range(k)])
-    words = scratch.save(doc_terms.select("word_id").distinct().withColumn("n", drawn), "shares")
+    words = scratch.save(rows.select("word_id").distinct().withColumn("n", drawn), "shares")
     v = words.count()
-    blocks = blocks_for(doc_terms, v, k)
-    rows = scratch.save(doc_terms.select(block_of(blocks).alias("block"), "doc_id", F.col("word_id").cast("long"), "n"), "rows")
+    blocks = blocks_for(rows, v, k)
     pairs = scratch.save(block_words(rows, blocks), "block-words")
+    rows = rows.withColumn("block", block_of(blocks))
     docs = rows.select("doc_id").limit(0).withColumn("n", F.array(F.lit(0.0)))
     totals: list[float] = []
 
