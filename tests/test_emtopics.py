@@ -66,6 +66,33 @@ def test_words_of_two_themes_part(spark):
     assert theta[1][best[3]] > 0.9 and theta[2][best[15]] > 0.9
 
 
+def test_only_shared_words_pass_between_blocks(spark, monkeypatch):
+    """Five documents in a block each: words of one document stay with it, and the rows are computed once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(X, "blocks_for", lambda rows, v, k: 64)
+    tables, saved = {}, X.Scratch.save
+
+    def kept(self, df, name):
+        out = saved(self, df, name)
+        if name.startswith(("block-words", "step-1")):
+            tables[name] = [r.word for r in out.select("word").collect() if r.word is not None]
+        return out
+
+    monkeypatch.setattr(X.Scratch, "save", kept)
+    read = spark.sparkContext.accumulator(0)
+    n = np.zeros((5, 21), int)
+    for d in range(5):
+        n[d, [20, *range(4 * d, 4 * d + 4)]] = 1 + d
+    rows = frame(spark, n, int)
+    count = F.udf(lambda x: read.add(1) or x, "bigint").asNondeterministic()
+    model = X.fit_em(rows.withColumn("n", count("n")), k=2, iterations=2)
+    assert read.value == 25
+    assert set(tables["block-words"]) == set(tables["step-1"]) == {20}
+    words, _ = dense(n, 2, 2, 26.0, 1.1)
+    assert {r.word_id: r.n for r in model.word_topics.collect()} == {w: pytest.approx(words[w]) for w in range(21)}
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id bigint, word_id bigint, n bigint")
     model = X.fit_em(none, k=2, iterations=2)

@@ -1,9 +1,9 @@
 """Topics by expectation-maximisation with the topic matrix as rows.
 
 The MAP form of smoothed LDA (Asuncion et al. 2009): expected counts per word and topic and per document and topic,
-each kept as a table with one K-vector per row. A step deals the document-term rows in blocks of whole documents; a
-block gets the vectors of its own words and documents, adds up the expected counts of both, and gives back its documents'
-vectors and its part of the words', which are summed over the blocks. Nothing of the size of the vocabulary is held by the driver or one task;
+each a table with one K-vector per row in the end. Document-term rows are packed once, in blocks of whole documents; in a step a
+block keeps the vectors of its documents and of words that it alone has, gets those of words that other blocks have as well, adds up
+the expected counts of both, and gives back its part of the shared words', which are summed over the blocks. Nothing of the size of the vocabulary is held by the driver or one task;
 the driver keeps the K totals. Results depend neither on partitions nor on retries.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import total
 from ..functions.draws import uniform
 from ..plans.scratch import Scratch
-from .topics import _slices, block_of, block_words, blocks_for, by_topic, top_per_topic
+from .topics import _blocks, _slices, block_of, block_words, by_topic, top_per_topic
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,11 @@ class EmModel:
         return best.join(vocab.select("word_id", "word"), "word_id").select("topic", "rank", "word_id", "word", F.col("phi").alias("weight"))
 
 
+def blocks_for(rows: DataFrame, v: int, k: int) -> int:
+    """One block per core, more where they would be large: a step's cost is the words that several blocks have."""
+    return _blocks(rows.sparkSession, rows.count(), v, k, 1)
+
+
 def _vectors(column: pa.ChunkedArray, k: int) -> np.ndarray:
     return pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
 
@@ -84,22 +89,76 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, k), pa.int32()), pa.array(values.ravel()))
 
 
-def _expected(k: int, weights):
-    """Expected counts of a block's documents and words; ``weights(rows, slice)`` gives each row's topic weights."""
+def _packed(values: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(values).tobytes()], pa.binary())
+
+
+def _numbers(column: pa.ChunkedArray, kind: type, k: int = 0) -> np.ndarray:
+    found = np.frombuffer(column[0].as_py(), kind)
+    return found.reshape(-1, k) if k else found
+
+
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    """A block's document-term rows as one row of numbered documents and words, and a row per word."""
+    docs = pc.dictionary_encode(rows.column("doc_id").combine_chunks(), null_encoding="encode")
+    words, word = np.unique(rows.column("word_id").to_numpy(), return_inverse=True)
+    whole = pa.table({
+        "docs": pa.ListArray.from_arrays(pa.array([0, len(docs.dictionary)], pa.int32()), docs.dictionary), "words": _packed(words),
+        "doc": _packed(docs.indices.to_numpy().astype(np.int32)), "term": _packed(word.astype(np.int32)),
+        "n": _packed(rows.column("n").to_numpy().astype(float)),
+    })
+    both = pa.concat_tables([whole, pa.table({"word": pa.array(words)})], promote_options="default")
+    return both.append_column("block", pa.array(np.full(both.num_rows, key[0].as_py(), np.int32))).select(["block", "word", *whole.column_names])
+
+
+class _Packed:
+    """A block with the vectors of its words and documents after the last step, and those of words that others have as well."""
+
+    def __init__(self, rows: pa.Table, vectors: pa.Table, k: int):
+        self.docs = rows.column("docs").combine_chunks().flatten()
+        self.words = _numbers(rows.column("words"), np.int64)
+        self.doc, self.word = _numbers(rows.column("doc"), np.int32), _numbers(rows.column("term"), np.int32)
+        self.n = _numbers(rows.column("n"), float)
+        given = vectors.filter(pc.is_valid(vectors.column("word")))
+        kept = vectors.filter(pc.is_null(vectors.column("word")))
+        self.by_word, self.by_doc = np.zeros((len(self.words), k)), None
+        if kept.num_rows:
+            self.by_word, self.by_doc = _numbers(kept.column("by_word"), float, k).copy(), _numbers(kept.column("by_doc"), float, k)
+        self.shared = np.searchsorted(self.words, given.column("word").to_numpy())
+        if given.num_rows:
+            self.by_word[self.shared] = _vectors(given.column("vector"), k)
 
-    def expected(_, rows: pa.Table, vectors: pa.Table) -> pa.Table:
-        block = _Rows(rows, vectors, k)
+    def add(self, sums: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        for i in range(values.shape[1]):
+            sums[:, i] += np.bincount(at, values[:, i], len(sums))
+
+
+STEP = "block int, word bigint, doc {kind}, vector array<double>, by_word binary, by_doc binary, total array<double>"
+
+
+def _expected(k: int, weights, last: bool):
+    """Expected counts of a block's documents and words; ``weights(block, slice)`` gives each row's topic weights. One row keeps them
+    for the next step; rows per word are given for words that others have as well, in the last step for all words and documents."""
+    names = [c.split()[0] for c in STEP.split(", ")]
+
+    def expected(key: tuple, rows: pa.Table, vectors: pa.Table) -> pa.Table:
+        block = _Packed(rows, vectors, k)
         by_doc, by_word = np.zeros((len(block.docs), k)), np.zeros((len(block.words), k))
         for part in _slices(len(block.n), k):
             w = weights(block, part)
             share = w / w.sum(axis=1, keepdims=True) * block.n[part, None]
             block.add(by_doc, block.doc[part], share)
             block.add(by_word, block.word[part], share)
-        none_doc, none_word = pa.nulls(len(block.words), block.docs.type), pa.nulls(len(block.docs), pa.int64())
-        return pa.table({
-            "doc": pa.chunked_array([block.docs, none_doc]), "word": pa.chunked_array([none_word, block.words]),
-            "vector": pa.chunked_array([_list(by_doc), _list(by_word)]),
-        })
+        told = np.arange(len(block.words)) if last else block.shared
+        whole = {"total": _list(by_word.sum(axis=0)[None])}
+        if not last:
+            whole |= {"by_word": _packed(by_word), "by_doc": _packed(by_doc)}
+        tables = [pa.table(whole), pa.table({"word": pa.array(block.words[told]), "vector": _list(by_word[told])})]
+        tables.append(pa.table({"doc": block.docs[: len(block.docs) if last else 0], "vector": _list(by_doc if last else by_doc[:0])}))
+        both = pa.concat_tables(tables, promote_options="default")
+        for name in set(names) - {*both.column_names, "block"}:
+            both = both.append_column(name, pa.nulls(both.num_rows, pa.binary()))
+        return both.append_column("block", pa.array(np.full(both.num_rows, key[0].as_py(), np.int32))).select(names)
 
     return expected
 
@@ -113,41 +172,47 @@ def fit_em(doc_terms: DataFrame, k: int, iterations: int, alpha: float | None =
     scratch = Scratch(doc_terms.sparkSession, "em")
     kind = dict(doc_terms.dtypes)["doc_id"]
     rows = scratch.save(doc_terms.select("doc_id", F.col("word_id").cast("long"), "n"), "rows")
-    drawn = F.array(*[uniform(seed, F.col("word_id"), i) for i in range(k)])
-    words = scratch.save(rows.select("word_id").distinct().withColumn("n", drawn), "shares")
-    v = words.count()
-    blocks = blocks_for(rows, v, k)
-    pairs = scratch.save(block_words(rows, blocks), "block-words")
-    rows = rows.withColumn("block", block_of(blocks))
-    docs = rows.select("doc_id").limit(0).withColumn("n", F.array(F.lit(0.0)))
+    v = rows.select("word_id").distinct().count()
+    dealt = rows.withColumn("block", block_of(blocks_for(rows, v, k))).groupBy("block").applyInArrow(
+        _pack, f"block int, word bigint, docs array<{kind}>, words binary, doc binary, term binary, n binary"
+    )
+    dealt = scratch.save(dealt, "blocks")
+    blocks, pairs = dealt.filter("word is null").drop("word"), dealt.filter("word is not null").select(F.col("block").alias("part"), "word")
+    several = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("word")
+    shared = scratch.save(pairs.join(several, "word"), "block-words") if iterations else None
+    drawn = F.array(*[uniform(seed, F.col("word"), i) for i in range(k)])
+    no_bytes = [F.lit(None).cast("binary").alias(c) for c in ("by_word", "by_doc")]
+    vectors = pairs.select("part", "word", drawn.alias("vector"), *no_bytes)
     totals: list[float] = []
+    sums = F.array(*[F.sum(F.col("vector")[i]) for i in range(k)])
 
-    def start(block: _Rows, part: slice) -> np.ndarray:
+    def start(block: _Packed, part: slice) -> np.ndarray:
         return block.by_word[block.word[part]]
 
     for step in range(iterations + 1):
+        last = step == iterations
         if step:
             below = np.array(totals) + v * (eta - 1)
 
-            def weights(block: _Rows, part: slice, below=below) -> np.ndarray:
+            def weights(block: _Packed, part: slice, below=below) -> np.ndarray:
                 return (block.by_word[block.word[part]] + (eta - 1)) * (block.by_doc[block.doc[part]] + (alpha - 1)) / below
+
         else:
             weights = start
-        no_doc, no_word = F.lit(None).cast(kind).alias("doc"), F.lit(None).cast("long").alias("word")
-        of_words = pairs.join(words.select(F.col("word_id").alias("word"), F.col("n").alias("vector")), "word").select("part", no_doc, "word", "vector")
-        of_docs = docs.select(block_of(blocks).alias("part"), F.col("doc_id").alias("doc"), no_word, F.col("n").alias("vector"))
-        vectors = of_words.unionByName(of_docs)
-        found = scratch.save(
-            rows.groupBy("block").cogroup(vectors.groupBy("part")).applyInArrow(_expected(k, weights), f"doc {kind}, word bigint, vector array<double>"), f"step-{step}"
-        )
-        sums = F.array(*[F.sum(F.col("vector")[i]) for i in range(k)])
-        words = scratch.save(found.filter("word is not null").groupBy(F.col("word").alias("word_id")).agg(sums.alias("n")), f"words-{step}")
-        docs = found.filter("doc is not null").select(F.col("doc").alias("doc_id"), F.col("vector").alias("n"))
-        totals = words.agg(F.array(*[F.sum(F.col("n")[i]) for i in range(k)]).alias("n")).first()["n"]
+        found = blocks.groupBy("block").cogroup(vectors.groupBy("part")).applyInArrow(_expected(k, weights, last), STEP.format(kind=kind))
+        found = scratch.save(found, f"step-{step}")
+        words = found.filter("word is not null").groupBy("word").agg(sums.alias("vector"))
+        whole = found.filter("total is not null")
+        totals = whole.agg(F.array(*[F.sum(F.col("total")[i]) for i in range(k)]).alias("n")).first()["n"]
         totals = [t or 0.0 for t in totals]
+        if not last:
+            told = shared.join(words, "word").select("part", "word", "vector", *no_bytes)
+            kept = whole.select(F.col("block").alias("part"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("array<double>").alias("vector"), "by_word", "by_doc")
+            vectors = told.unionByName(kept)
         if step:
             scratch.drop(f"step-{step - 1}")
-            scratch.drop(f"words-{step - 1}")
+    words = scratch.save(words.select(F.col("word").alias("word_id"), F.col("vector").alias("n")), "words")
+    docs = found.filter("word is null and total is null").select(F.col("doc").alias("doc_id"), F.col("vector").alias("n"))
     return EmModel(words, docs, totals, k, v, alpha, eta)
 
 
