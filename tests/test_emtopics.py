@@ -93,6 +93,52 @@ def test_only_shared_words_pass_between_blocks(spark, monkeypatch):
     assert {r.word_id: r.n for r in model.word_topics.collect()} == {w: pytest.approx(words[w]) for w in range(21)}
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_a_corpus_trains_as_its_document_term_rows(spark, monkeypatch, blocks):
+    """Same dictionary and model, but a table row per block and word in place of one per document and word."""
+    from topicweft.operators import corpus as C
+
+    texts = [(d, " ".join(f"w{(d * i) % 7}" for i in range(12)) if d % 4 else None) for d in range(1, 40)] + [(None, "w1 w1 \u00e9"), (3, "w2 x")]
+    docs = C.corpus(spark.createDataFrame(texts, "id bigint, text string"), "id", "text")
+    monkeypatch.setattr(X, "_blocks", lambda *_: blocks)
+    vocab = C.vocabulary(docs)
+    want = X.fit_em(C.doc_term_matrix(docs, vocab), k=3, iterations=2)
+    tables, saved = {}, X.Scratch.save
+
+    def kept(self, df, name):
+        out = tables[name] = saved(self, df, name)
+        return out
+
+    monkeypatch.setattr(X.Scratch, "save", kept)
+    found, model = X.fit_em_corpus(docs, k=3, iterations=2)
+    assert sorted(found.collect()) == sorted(vocab.select("word_id", "word", "n").collect())
+    assert model.v == want.v and model.totals == pytest.approx(want.totals)
+    for got, same in ((model.word_topics, want.word_topics), (model.doc_topics, want.doc_topics)):
+        left, right = ({r[0]: r.n for r in t.collect()} for t in (got, same))
+        assert left.keys() == right.keys() and all(left[i] == pytest.approx(right[i]) for i in right)
+    assert tables["blocks"].filter("text is null").count() <= blocks
+    assert tables["blocks"].filter("text is not null").count() <= blocks * found.count()
+
+
+def test_a_corpus_without_words(spark):
+    from topicweft.operators import corpus as C
+
+    docs = C.corpus(spark.createDataFrame([(1, " "), (2, None)], "id bigint, text string"), "id", "text")
+    vocab, model = X.fit_em_corpus(docs, k=2, iterations=1)
+    assert vocab.count() == 0 and model.v == 0 and model.totals == [0.0, 0.0] and model.topic_sums().count() == 0
+
+
+def test_numbered_ranks_values_over_all_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from topicweft.plans.ranges import numbered
+
+    rows = spark.createDataFrame([(f"v{i % 50:02d}", i) for i in range(400)], "word string, i bigint").repartition(7)
+    got = numbered(rows, "word", "at", {"n": F.count(F.lit(1))}).collect()
+    assert len(got) == 400 and {(r.word, r.at, r.n) for r in got} == {(f"v{i:02d}", i, 8) for i in range(50)}
+    assert sorted(r.word for r in got if r.first) == [f"v{i:02d}" for i in range(50)]
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id bigint, word_id bigint, n bigint")
     model = X.fit_em(none, k=2, iterations=2)
