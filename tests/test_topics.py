@@ -337,3 +337,13 @@ def test_repeated_and_missing_identifiers(spark):
         model = T.fit_lda(docs, k=2, sweeps=2, mode=mode)
         assert sorted((r["doc_id"] or 0, sum(r["n"])) for r in model.doc_topics().collect()) == [(0, 2), (1, 5)]
         assert model.state.count() == 7
+
+
+def test_topic_totals_need_no_word_counts(spark, small):
+    """They come from the documents' counts, which the sweep has written; and what a sweep is given has no null arrays."""
+    model = T.fit_lda(small, k=2, sweeps=1, mode="sync")
+    totals = {r["topic"]: r["n"] for r in model.topics().collect()}
+    assert "_word_topics" not in model.__dict__ and sum(totals.values()) == 17 and model.totals == [totals[0], totals[1]]
+    words = T.by_topic(model.word_topics(), "n").groupBy("topic").agg(F.sum("n").alias("n")).collect()
+    assert {r["topic"]: r["n"] for r in words} == totals
+    assert model._blocks.vectors(True, True).filter("vector is null").count() == 0
