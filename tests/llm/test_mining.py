@@ -231,6 +231,16 @@ def test_variants_of_words(spark, deepest):
     assert spelled(got) == brute_spelling({w: c for w, c in n.items() if len(w) >= 7})
 
 
+def test_trie_is_walked_in_few_strides(spark, monkeypatch):
+    """The longest word has 64 characters; tables are written per stride, not per character."""
+    names, saved = [], spelling.Scratch.save
+    monkeypatch.setattr(spelling.Scratch, "save", lambda self, df, name: (names.append(name), saved(self, df, name))[1])
+    n = {w: c for w, c in variant_words().items() if 7 <= len(w) <= 64}
+    got = spelling.spelling_groups(spark.createDataFrame(list(n.items()), "word string, n long"))
+    assert max(map(len, n)) == 64 and spelled(got) == brute_spelling(n)
+    assert sum(name.startswith("states/") for name in names) == 5
+
+
 def test_words_of_texts(spark):
     rng = random.Random(9)
     pool = ["Training", "trainning", "résumés", "RESUMES", "abcdefg", "abcdefgh", "x×y÷zabc", "short", "Ābcdefgh", "longerÿwords"]

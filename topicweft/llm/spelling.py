@@ -1,17 +1,16 @@
 """Spelling variants: words one edit apart, found by a frontier that walks a trie of the words.
 
-The trie is a table of edges (level, node, ch): the node is the prefix itself, and a word ends by an edge with an
-empty ``ch``. States (word, position, node, edits) are joined with the edges level by
-level, each level written to the shared folder. A state without an edit is a word on its own path, so
-it needs no join to go on; it turns into a one-edit state where it leaves out the word's next
-character, or takes another child of its node. The latter is followed at once along the next ``AHEAD`` edges, as few of the
-children lead on: the words below a node are grouped by the characters that come after the changed one, and a group's
-characters there are the children that can be taken. A one-edit state must go on by the word's next character;
-where it meets the end of a word there, the two are neighbours. One of two neighbours leaves out a
+The trie is a table of paths (node, next): the node is a prefix itself, and a path has the next characters below it, a fixed number of them
+or fewer where a word ends. States (word, position, node) have made their edit and must go on by the word's characters from the position.
+A state is made where the word leaves out its next character, or takes another child of its node; only paths of ``AHEAD`` edges that lead on
+are taken, so the words of a node are grouped by the characters that come after the changed one: a group's characters there are the
+children that can be taken, and a path of the node itself lets the character be left out. From there on all states, of all
+levels at once, walk along the trie in strides that double, each a join with the paths of that length, written to the
+shared folder; where a path ends a word that the state's word ends with, the two are neighbours. One of two neighbours leaves out a
 character of the longer word or takes the greater character, so each pair is found once
 and turned round afterwards; an inserted character is the other word's left-out one.
 
-The number of levels is the length of the longest word, at most ``deepest``. Pairs with a longer word
+The number of strides is the logarithm of the longest word's length, at most ``deepest``. Pairs with a longer word
 are found from hashes of the word without each of its characters, one row per character: equal hashes at
 the same place are a replacement, equality with a whole word is a deletion. Groups of these are counted, never paired.
 """
@@ -37,7 +36,7 @@ FEWEST = 2
 FACTOR = 10
 MUTATED = 31
 DEEPEST = 64
-AHEAD = 3  # edges that a replaced character is followed at once
+AHEAD = 3  # edges that an edit is followed at once
 CACHE_BYTES = 32 << 20
 TO_LOWER = LOWERED.tobytes()
 
@@ -85,8 +84,10 @@ def words_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", shortest:
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _char(position: str) -> F.Column:
-    return F.expr(f"substring(word, {position} + 1, 1)")
+def _paths(words: DataFrame, edges: int, least: int = 0) -> DataFrame:
+    """node, next: the prefixes of at least ``least`` characters, and the ``edges`` characters that follow (fewer at a word's end)."""
+    levels = words.filter(F.col("length") >= least).select("word", F.explode(F.sequence(F.lit(least), "length")).alias("level"))
+    return levels.select(F.expr("substring(word, 1, level)").alias("node"), F.expr(f"substring(word, level + 1, {edges})").alias("next"))
 
 
 def trie_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -94,29 +95,29 @@ def trie_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     longest = words.agg(F.max("length")).first()[0]
     if longest is None:
         return words.select("word", F.col("word").alias("other")).limit(0)
-    paths = words.select("word", F.explode(F.sequence(F.lit(0), "length")).alias("level"))
-    paths = paths.select("level", F.expr("substring(word, 1, level)").alias("node"), _char("level").alias("ch"))
-    edges = scratch.save(paths.distinct().repartitionByRange("level", "node").sortWithinPartitions("level", "node"), "edges")
-    ahead: dict[int, list[DataFrame]] = {}  # one-edit states by the level they have reached
-    for level in range(longest + 1):
-        here = edges.filter(F.col("level") == level).select("node", "ch")
-        own = words.filter(F.col("length") > level).select("word", F.expr(f"substring(word, 1, {level})").alias("node"), _char(level).alias("own"))
-        fresh = own.filter(F.col("own") != F.expr(f"substring(word, {level}, 1)")) if level else own
-        moving = fresh.select("word", F.lit(level + 1).alias("position"), "node")
-        for states in ahead.pop(level, []):
-            moving = moving.unionByName(states)
-        done = F.col("ch") == ""
-        kept = moving.withColumn("ch", _char("position")).join(here, ["node", "ch"]).select(
-            "word", (F.col("position") + F.when(done, 0).otherwise(1)).alias("position"), F.concat("node", "ch").alias("node"), done.alias("done")
-        )
-        after = own.withColumn("next", F.expr(f"substring(word, {level + 2}, {AHEAD})"))
-        children = after.groupBy("node", "next").agg(F.collect_set("own").alias("chars")).filter(F.size("chars") > 1)
-        other = after.join(children, ["node", "next"]).select("word", "node", "next", F.explode(F.filter("chars", lambda c: c > F.col("own"))).alias("ch"))
-        taken = other.select("word", F.lit(level + 1 + AHEAD).alias("position"), F.concat("node", "ch", "next").alias("node"), (F.length("next") < AHEAD).alias("done"))
-        rows = kept.withColumn("reached", F.lit(level + 1)).unionByName(taken.withColumn("reached", F.lit(level + 1 + AHEAD)))
-        step = scratch.save(rows, f"states/step={level}").filter("not done")
-        for reached in (level + 1, level + 1 + AHEAD):
-            ahead.setdefault(reached, []).append(step.filter(F.col("reached") == reached).select("word", "position", "node"))
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    levels = words.filter("length > 0").select("word", F.explode(F.expr("sequence(0, length - 1)")).alias("level"))
+    after = levels.select(
+        "word", "level", F.expr("substring(word, 1, level)").alias("node"), F.expr("substring(word, level + 1, 1)").alias("own"),
+        F.expr(f"substring(word, level + 2, {AHEAD})").alias("next"),
+    )
+    below = after.select("node", "next", "own").unionByName(_paths(words, AHEAD).withColumn("own", F.lit("")))
+    children = below.groupBy("node", "next").agg(F.collect_set("own").alias("chars")).filter(F.size("chars") > 1)
+    first_of_run = (F.col("level") == 0) | (F.col("own") != F.expr("substring(word, level, 1)"))  # equal characters are left out once
+    other = F.filter("chars", lambda c: (c > F.col("own")) | ((c == "") & first_of_run))
+    edited = after.join(children, ["node", "next"]).select("word", "level", "node", "next", F.explode(other).alias("ch"))
+    states = scratch.save(edited.select(
+        "word", (F.col("level") + 1 + AHEAD).alias("position"), F.concat("node", "ch", "next").alias("node"), (F.length("next") < AHEAD).alias("done")
+    ), "states/step=0")
+    step, least, stride = 0, AHEAD, 2 * AHEAD
+    while least <= longest:  # a node has at least as many characters as edges have been followed
+        step += 1
+        moving = states.filter("not done").select("word", "position", "node", F.expr(f"substring(word, position + 1, {stride})").alias("next"))
+        kept = moving.join(_paths(words, stride, least).distinct(), ["node", "next"])
+        states = scratch.save(kept.select(
+            "word", (F.col("position") + stride).alias("position"), F.concat("node", "next").alias("node"), (F.length("next") < stride).alias("done")
+        ), f"states/step={step}")
+        least, stride = least + stride, 2 * stride
     states = scratch.table("states", "word string, position int, node string, done boolean, step int")
     return states.filter("done").select("word", F.col("node").alias("other"))
 
