@@ -88,6 +88,33 @@ def test_resume_equals_one_run(small):
     assert whole.state.exceptAll(rest.state.select(*whole.state.columns)).count() == 0
 
 
+@pytest.mark.parametrize("sweeps", [0, 2])
+def test_a_model_goes_on_from_its_blocks(small, monkeypatch, sweeps):
+    """Also from a model as first dealt; after a sweep the tokens are not made rows."""
+    whole = T.fit_lda(small, k=2, sweeps=sweeps + 2)
+    first = T.fit_lda(small, k=2, sweeps=sweeps)
+    if sweeps:
+        monkeypatch.setattr(T, "_gather", None)
+    rest = T.fit_lda(small, k=2, sweeps=2, resume=first, first_sweep=sweeps + 1)
+    assert whole.state.exceptAll(rest.state.select(*whole.state.columns)).count() == 0
+    assert sorted(map(tuple, whole.word_topics().select("word_id", "n").collect())) == sorted(map(tuple, rest.word_topics().select("word_id", "n").collect()))
+    with pytest.raises(ValueError):
+        T.fit_lda(small, k=3, sweeps=1, resume=first, first_sweep=sweeps + 1)
+
+
+@pytest.mark.parametrize("sweeps", [0, 1])
+def test_likelihood_of_training_texts_in_blocks(spark, sf, monkeypatch, sweeps):
+    """The same rows as by joins of tokens, without them."""
+    monkeypatch.setattr(T, "LEAST_TOKENS", 2_000)
+    model = T.fit_lda(B.documents(spark, sf), k=3, sweeps=sweeps)
+    pairs = K.word_pairs(model.state)
+    want = {(r.doc_id, r.word_id): (r.n, r.p) for r in K.token_likelihood(pairs, model.theta(), model.phi(), 3).collect()}
+    monkeypatch.setattr(K, "word_pairs", None)
+    got = K.trained_likelihood(model).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.word_id): (r.n, pytest.approx(r.p)) for r in got} == want
+    assert sorted(map(tuple, K.trained_pairs(model).collect())) == sorted((d, w, n) for (d, w), (n, _) in want.items())
+
+
 def test_draws_take_the_first_running_sum_that_reaches_the_aim():
     for k in (1, 3, 20):
         weights = [float((i * 7) % 5) for i in range(k)]

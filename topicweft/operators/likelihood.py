@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
 from ..plans.skew import HotKeys, count_by
-from .topics import by_topic
+from .topics import LdaModel, by_topic
 
 UNKNOWN = -1
 
@@ -35,6 +35,21 @@ def token_likelihood(
     )
 
 
+def trained_pairs(model: LdaModel) -> DataFrame:
+    """``word_pairs`` of the model's training texts, counted in its blocks where it has them."""
+    pairs = model.word_pairs()
+    return word_pairs(model.state) if pairs is None else pairs
+
+
+def trained_likelihood(model: LdaModel) -> DataFrame:
+    """``token_likelihood`` of the model's training texts. A block of documents gets its words' shares once, so neither tokens nor
+    pairs are rows of a join."""
+    rows = model.word_pairs(scored=True)
+    if rows is None:
+        rows = token_likelihood(word_pairs(model.state), model.theta(), model.phi(), model.k, HotKeys(model.vocab, "word_id"))
+    return rows
+
+
 def document_likelihood(likelihood: DataFrame) -> DataFrame:
     """``doc_id, mass, n``: summed likelihood and token count per document."""
     return likelihood.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("p")).alias("mass"), F.sum("n").alias("n"))
