@@ -228,6 +228,21 @@ def test_greedy_steps_do_not_grow_with_its_rounds(spark, monkeypatch, links):
     assert as_dict(M.greedy_community(g, 2, ["a"])) == greedy(edges, [min(attrs[a], attrs[b]) for a, b in edges], 2)
 
 
+def test_greedy_rounds_of_a_core_that_fits_a_block(spark, monkeypatch):
+    """The graph does not fit a block, the target's core does: no step per level of the core."""
+    edges = [e for e in random_edges(3, 14, 80) if e[0] != e[1]] + [(100 + i, (100 + i * 7) % 500) for i in range(400)]
+    edges = sorted({e for e in edges if e[0] != e[1]})
+    monkeypatch.setattr(M, "LINKS_PER_BLOCK", 170)
+    monkeypatch.setattr(M._Links, "core_numbers", lambda self: pytest.fail("a step of core numbers"))
+    attrs = {v: (v * 7) % 11 + 1 for e in edges for v in e}
+    v = spark.createDataFrame(list(attrs.items()), "id bigint, a bigint")
+    g = G.Graph(v, spark.createDataFrame(edges, "src bigint, dst bigint"))
+    weights = [min(attrs[a], attrs[b]) for a, b in edges]
+    for target in (2, 5):
+        assert as_dict(M.greedy_community(g, target)) == greedy(edges, [1] * len(edges), target)
+        assert as_dict(M.greedy_community(g, target, ["a"])) == greedy(edges, weights, target)
+
+
 def test_greedy_needs_a_vertex(community):
     with pytest.raises(ValueError):
         M.greedy_community(community, 99)

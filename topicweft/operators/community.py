@@ -334,12 +334,49 @@ def _block_bounds(links: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "bound": core})
 
 
+def _search(target: int) -> Callable[[pa.Table], pa.Table]:
+    """The rounds of ``greedy_community`` over links that one task can hold."""
+
+    def left_over(links: pa.Table) -> pa.Table:
+        src, dst, w = [links.column(c).to_numpy() for c in ("src", "dst", "w")]
+        ids, s = np.unique(src, return_inverse=True)
+        order = np.argsort(s, kind="stable")
+        first = np.searchsorted(s[order], np.arange(len(ids) + 1))
+        value = np.add.reduceat(w[order], first[:-1]).tolist()
+        d, w, first = np.searchsorted(ids, dst)[order], w[order], first.tolist()
+        mine, left = int(np.searchsorted(ids, target)), np.zeros(len(ids), bool)
+        waiting = [(x, v) for v, x in enumerate(value)]
+        heapq.heapify(waiting)
+        while True:
+            while left[waiting[0][1]] or waiting[0][0] != value[waiting[0][1]]:
+                heapq.heappop(waiting)
+            lowest, gone = waiting[0][0], []
+            if value[mine] <= lowest:
+                break
+            while waiting and waiting[0][0] == lowest:
+                v = heapq.heappop(waiting)[1]
+                if not left[v] and value[v] == lowest:
+                    left[v] = True
+                    gone.append(v)
+            for v in gone:
+                part = slice(first[v], first[v + 1])
+                for u, lost in zip(d[part].tolist(), w[part].tolist()):
+                    if not left[u]:
+                        value[u] -= lost
+                        heapq.heappush(waiting, (value[u], u))
+        return pa.table({"id": ids[~left], "score": np.array(value, np.int64)[~left]})
+
+    return left_over
+
+
 class _Links:
-    """Weighted links in both directions, ``src, dst, w`` and a ``bound`` that the core number of ``dst`` does not exceed."""
+    """Weighted links in both directions, ``src, dst, w``, with the scores ``own`` and ``bound`` that the core numbers of ``src`` and
+    ``dst`` do not exceed."""
 
     def __init__(self, scratch: Scratch, rows: DataFrame):
-        self.scratch, self.made = scratch, 0
+        self.scratch, self.made, self.floor = scratch, 0, 0
         self.rows, self.name, self.n, _ = self._save(rows, F.lit(0))
+        self.score()
 
     def _save(self, df: DataFrame, measure: Column) -> tuple[DataFrame, str, int, int]:
         self.made += 1
@@ -353,6 +390,52 @@ class _Links:
         self.scratch.drop(before)
         return found
 
+    def score(self, rows: DataFrame | None = None) -> None:
+        """Put the ends' present scores on the links (``rows`` in place of all), and drop those with an end below the floor."""
+        rows = (self.rows if rows is None else rows).select("src", "dst", "w")
+        self.made += 1
+        name = f"scores-{self.made}"
+        sums = self.scratch.save(rows.groupBy("src").agg(F.sum("w").alias("own")), name).filter(F.col("own") >= self.floor)
+        far = sums.select(F.col("src").alias("dst"), F.col("own").alias("bound"))
+        self.replace(rows.join(sums, "src").join(far, "dst").select("src", "dst", "w", "own", "bound"))
+        self.scratch.drop(name)
+
+    def has(self, target: int) -> bool:
+        return not self.rows.filter(F.col("src") == target).isEmpty()
+
+    def one_block(self, rows: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+        return rows.withColumn("block", F.lit(0)).groupBy("block").applyInArrow(run, schema)
+
+    def narrow(self, target: int) -> bool:
+        """Drop links outside the target's core until the rest fits a block; False if that core itself is larger.
+
+        The target's core number among the vertices of highest score, as many as fit a block, is a floor for its core number among
+        all, and vertices below the floor are outside its core. The floor is looked for again while it rises.
+        """
+        rising = True
+        while self.n > LINKS_PER_BLOCK:
+            before, floor = self.n, self.floor
+            if rising:
+                self.floor = max(floor, self._floor(target))
+            inside = (F.col("own") >= self.floor) & (F.col("bound") >= self.floor)
+            self.score(self.rows.filter(inside))
+            if self.n == before and self.floor == floor:
+                if rising:
+                    return False
+                rising = True
+            else:
+                rising = self.floor > floor
+        return True
+
+    def _floor(self, target: int) -> int:
+        lower = F.least("own", "bound")
+        share = max(0.0, 1.0 - LINKS_PER_BLOCK / self.n)
+        least = self.rows.agg(F.percentile_approx(lower, share, 10_000)).first()[0]
+        mine = (F.col("src") == target) | (F.col("own") > least)
+        high = self.rows.filter(mine & ((F.col("dst") == target) | (F.col("bound") > least)))
+        found = self.one_block(high, _block_bounds, "id bigint, bound bigint").filter(F.col("id") == target).first()
+        return found["bound"] if found else 0
+
     def core_numbers(self) -> tuple[DataFrame, str]:
         """``id, bound``: the core number of every vertex that has links, and the name of the table.
 
@@ -368,7 +451,8 @@ class _Links:
             if blocks == 1:
                 return found, name
             news = found.select(F.col("id").alias("dst"), F.col("bound").alias("_new"))
-            joined = self.rows.join(news, "dst").select("src", "dst", "w", F.col("_new").alias("bound"), (F.col("_new") < F.col("bound")).cast("int").alias("fell"))
+            fell = (F.col("_new") < F.col("bound")).cast("int").alias("fell")
+            joined = self.rows.join(news, "dst").select("src", "dst", "w", "own", F.col("_new").alias("bound"), fell)
             if not self.replace(joined, F.col("fell")):
                 return found, name
             self.scratch.drop(name)
@@ -383,33 +467,34 @@ def greedy_community(graph: Graph, target: int, columns: list[str] | None = None
 
     Every vertex outside the target's core, the largest set in which all scores
     reach the highest value the target can keep, leaves before any vertex inside
-    it. This holds in every round, so a step drops all that is outside the core
-    and then the minima inside it: the cascade of small rounds that
+    it. This holds in every round, so vertices known to lie outside it are dropped
+    at once, and where the rest fits a block of links its rounds are one task's. Of a larger
+    core a step drops all that is outside it and then the minima inside it: the cascade of small rounds that
     a removal sets off is part of the next step's core numbers.
     """
     scratch = Scratch(graph.edges.sparkSession, "greedy")
-    if columns:
-        weighted = triplets(graph).select("src", "dst", overlap(columns).alias("w"))
-    else:
-        weighted = graph.edges.select("src", "dst", F.lit(1).cast("long").alias("w"))
-    both = weighted.unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    summed = scratch.save(both.groupBy("src", "dst").agg(F.sum("w").alias("w")).filter("w <> 0"), "weighted")
-    scores = summed.groupBy(F.col("src").alias("dst")).agg(F.sum("w").alias("bound"))
-    links = _Links(scratch, summed.join(scores, "dst").select("src", "dst", "w", "bound"))
-    scratch.drop("weighted")
+    weight = overlap(columns) if columns else F.lit(1).cast("long")
+    weighted = triplets(graph) if columns else graph.edges
+    both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    directed = weighted.select(F.explode(both).alias("e"), weight.alias("w")).select("e.*", "w")
+    links = _Links(scratch, directed.groupBy("src", "dst").agg(F.sum("w").alias("w")).filter("w <> 0"))
     alive = graph.vertices.select(F.col("id").cast("long"))
     if alive.filter(F.col("id") == target).isEmpty():
         raise ValueError("the target is not a vertex of the graph")
     for i in steps(None, "the search"):
+        if not links.has(target):
+            scores = links.rows.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("score"))
+            return alive.join(scores, "id", "left").na.fill(0, ["score"])
+        if links.narrow(target):
+            return scratch.save(links.one_block(links.rows, _search(target), "id bigint, score bigint"), "left")
         bounds, made = links.core_numbers()
-        mine = bounds.filter(F.col("id") == target).first()
-        level = mine["bound"] if mine else 0
-        core = alive.select("id").join(bounds, "id", "left").na.fill(0, ["bound"]).filter(F.col("bound") >= level)
+        level = bounds.filter(F.col("id") == target).first()["bound"]
+        core = alive.select("id").join(bounds, "id").filter(F.col("bound") >= level)
         inside = bounds.filter(F.col("bound") >= level)
         ends_inside = links.rows.select("src", "dst", "w").join(inside.select(F.col("id").alias("dst")), "dst")
         sums = ends_inside.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("score"))
         seen = Observation()
-        scored = core.join(sums, "id", "left").na.fill(0, ["score"]).select("id", "score", "bound")
+        scored = core.join(sums, "id", "left").na.fill(0, ["score"]).select("id", "score")
         own = F.max(F.when(F.col("id") == target, F.col("score"))).alias("own")
         alive = scratch.save(scored.observe(seen, F.min("score").alias("smallest"), own), f"alive-{i}")
         scratch.drop(made)
@@ -417,8 +502,9 @@ def greedy_community(graph: Graph, target: int, columns: list[str] | None = None
         if seen.get["own"] <= seen.get["smallest"]:
             return alive.select("id", "score")
         alive = alive.filter(F.col("score") > seen.get["smallest"])
-        kept = links.rows.select("src", "dst", "w").join(alive.select(F.col("id").alias("src")), "src")
-        links.replace(kept.join(alive.select(F.col("id").alias("dst"), "bound"), "dst").select("src", "dst", "w", "bound"))
+        kept = links.rows.join(alive.select(F.col("id").alias("src")), "src").join(alive.select(F.col("id").alias("dst")), "dst")
+        links.floor = 0
+        links.score(kept)
     raise AssertionError
 
 
