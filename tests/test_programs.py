@@ -220,6 +220,23 @@ def test_betweenness_totals_keep_no_row_per_root_and_vertex(spark):
     assert links == {(r, 100): 6.0 for r in range(60)} | {(100 + i, 101 + i): 60.0 * (5 - i) for i in range(5)}
 
 
+def test_betweenness_totals_of_many_roots_take_no_table_per_batch(spark, monkeypatch):
+    """Tasks follow parts of the roots over all links; the totals are those of the batches, parallel links and loops among them."""
+    from topicweft.operators import credit
+
+    edges = edge_frame(spark, random_edges(70, 210, 8) + [((3, 3), 1), ((3, 4), 1), ((3, 4), 2), ((4, 9), 1), ((200, 201), 1)]).select("src", "dst")
+    roots = spark.range(40).unionByName(spark.createDataFrame([(200,), (999,)], "id bigint"))
+    monkeypatch.setattr(credit, "MOST_LINKS_IN_A_TASK", 0)
+    want = P.betweenness_totals(edges, roots, 16)
+    monkeypatch.undo()
+    monkeypatch.setattr(credit, "SUMS_PER_ROW", 7)
+    monkeypatch.setattr(credit, "_batch", lambda *_: pytest.fail("a batch"))
+    got = P.betweenness_totals(edges, roots, 16)
+    assert {r.id: (r.roots, pytest.approx(r.credit)) for r in want.vertices.collect()} == {r.id: (r.roots, r.credit) for r in got.vertices.collect()}
+    links = {(r.src, r.dst): r.credit for r in want.edges.collect()}
+    assert {(r.src, r.dst): r.credit for r in got.edges.collect()} == pytest.approx(links) and links[200, 201] == 1.0
+
+
 def test_betweenness_totals_without_roots_or_edges(spark):
     edges = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
     none = P.betweenness_totals(edges, spark.range(0))
