@@ -148,6 +148,25 @@ def test_ranks_of_a_cycle_and_a_sink(spark):
     assert got == pytest.approx({1: a, 2: b, 3: 0.15 + 0.85 * b / 2, 4: 0.15}, abs=2e-2)
 
 
+def test_ranks_look_up_no_old_values(spark, monkeypatch):
+    """A rank is the sum of its gains over more steps than runs are kept; no step joins the state."""
+    from topicweft.plans import buckets
+
+    monkeypatch.setattr(buckets.State, "look", lambda *_: pytest.fail("a look at the state"))
+    pairs = [p for p, _ in random_edges(25, 80, 4)]
+    vertices = spark.range(26)
+    got = {r.id: r.rank for r in V.rank_to_tolerance(spark.createDataFrame(pairs, "src bigint, dst bigint"), vertices, 1e-3).collect()}
+    fan = {s: sum(a == s for a, _ in pairs) for s, _ in pairs}
+    gain = want = dict.fromkeys(range(26), 0.15)
+    steps = 0
+    while any(gain[s] > 1e-3 for s in fan if s in gain):
+        sent = [(d, gain[s] / fan[s]) for s, d in pairs if gain.get(s, 0) > 1e-3]
+        gain = {v: 0.85 * sum(x for d, x in sent if d == v) for v in {d for d, _ in sent}}
+        want = {v: r + gain.get(v, 0) for v, r in want.items()}
+        steps += 1
+    assert steps > buckets.MOST_RUNS and got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("width", [None, 12.0])
 def test_settled_ranges_give_shortest_paths(spark, width):
     edges = random_edges(60, 150, 8)

@@ -71,6 +71,9 @@ class Program:
     step's number, over the old state (null at vertices that have none yet) and the merged columns. ``changed``: which updates
     are kept and send in the next step, over old, merged and new (``new_<name>``) columns; default: those that differ.
     ``group``: further key columns; each of their values is a run of its own over the same edges.
+    ``sums``: state columns that are running sums. What an update gives for them is added, and is what the sender's ``src_<name>`` holds in
+    the next step. Old values are not looked up then, so ``update`` and ``changed`` (default: all rows) see the merged columns only,
+    and a step reads no state but the last step's rows.
     """
 
     message: dict[str, Column]
@@ -79,6 +82,7 @@ class Program:
     changed: Column | None = None
     where: Column | None = None
     group: tuple[str, ...] = ()
+    sums: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -115,7 +119,7 @@ def iterate(
 
 def _iterate(store, edges, start, program, max_steps, stop_after, each_step, counts) -> Iteration:
     keys = [*program.group, "id"]
-    state = State(store, keys, dict(start.select(*keys, *[c for c in start.columns if c not in keys]).dtypes))
+    state = State(store, keys, dict(start.select(*keys, *[c for c in start.columns if c not in keys]).dtypes), program.sums)
     done = store.last()
     if done:
         adjacency = Adjacency(store, edges, found=done["edges"])
@@ -162,6 +166,8 @@ def _step(state: State, adjacency: Adjacency, senders: DataFrame, program: Progr
         sent = sent.filter(program.where)
     messages = sent.select(*program.group, F.col("dst").alias("id"), *[m.alias(c) for c, m in program.message.items()])
     inbox = messages.groupBy(*state.keys).agg(*[m.alias(c) for c, m in program.merge.items()])
+    if program.sums:
+        return _added(state, inbox, program, step)
     new = {c: e.cast(state.types[c]).alias(f"new_{c}") for c, e in program.update(step).items()}
     kept = [F.col(c).alias(f"new_{c}") for c in state.columns if c not in new]
     updated = state.look(inbox).select("*", *new.values(), *kept)
@@ -173,19 +179,24 @@ def _step(state: State, adjacency: Adjacency, senders: DataFrame, program: Progr
     return updated.filter(changed).select(*state.keys, *[F.col(f"new_{c}").alias(c) for c in state.columns])
 
 
+def _added(state: State, inbox: DataFrame, program: Program, step: int) -> DataFrame:
+    """Keys and what a step adds, by the messages alone."""
+    kept = inbox if program.changed is None else inbox.filter(program.changed)
+    new = program.update(step)
+    return kept.select(*state.keys, *[new[c].cast(state.types[c]).alias(c) for c in state.columns])
+
+
 def rank_to_tolerance(edges: DataFrame, vertices: DataFrame, tolerance: float = 1e-3, damping: float = 0.85, max_steps: int | None = None) -> DataFrame:
     """``id, rank``: ``rank = 1 - damping + damping * sum(rank(src) / out_degree(src))`` over in-edges.
 
-    Only what a rank has gained since it was last passed on is sent, and only gains above the tolerance.
+    Only what a rank has gained since it was last passed on is sent, and only gains above the tolerance. A rank is the sum of its
+    gains, so a step reads the last gains and the edges, which carry the number of their source's.
     """
-    outgoing = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("fan"))
-    start = vertices.select("id").join(outgoing, "id", "left").select(
-        "id", "fan", F.lit(1.0 - damping).alias("rank"), F.lit(1.0 - damping).alias("gain")
-    )
+    counts = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    fans = edges.select("src", "dst").join(counts, "src").withColumnRenamed("n", "fan")
+    start = vertices.select("id", F.lit(1.0 - damping).alias("rank"))
     program = Program(
-        message={"share": F.col("src_gain") / F.col("src_fan")}, merge={"shares": F.sum("share")},
-        update=lambda step: {"rank": F.col("rank") + damping * F.col("shares"), "gain": damping * F.col("shares")},
-        where=F.col("src_gain") > tolerance,
+        message={"share": F.col("src_rank") / F.col("fan")}, merge={"shares": F.sum("share")},
+        update=lambda step: {"rank": damping * F.col("shares")}, where=F.col("src_rank") > tolerance, sums=("rank",),
     )
-    counts = outgoing.select(F.col("id").alias("src"), F.col("fan").alias("n"))
-    return iterate(edges.select("src", "dst"), start, program, max_steps, label="rank", counts=counts).state.select("id", "rank")
+    return iterate(fans, start, program, max_steps, label="rank", counts=counts).state.select("id", "rank")
