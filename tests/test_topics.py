@@ -267,6 +267,32 @@ def test_relevance_by_hand(small, model):
     assert rel["u3"]["docs"] == 1
 
 
+@pytest.mark.parametrize("mode", ["sync", "alias"])
+def test_between_sweeps_words_are_packed(spark, monkeypatch, mode):
+    """Blocks give each other a row per range of words, not one per word, with the same result as one block's for draws from the sweep's start."""
+    texts = [(d, " ".join(f"w{(d * 7 + i * i) % 40}" for i in range(30)) + f" only{d}") for d in range(30)]
+    docs = C.corpus(spark.createDataFrame(texts, "id bigint, text string"), "id", "text")
+    blocks, tables, saved = 1, {}, T.Scratch.save
+
+    def kept(self, df, name):
+        out = saved(self, df, name)
+        if name in ("sweep=3", "block-words"):
+            tables[name] = out.filter("place is not null" if name == "sweep=3" else "shared").count()
+        return out
+
+    monkeypatch.setattr(T, "_blocks", lambda *_: blocks)
+    want = T.fit_lda(docs, k=3, sweeps=4, mode=mode)
+    words = {r.word_id: r.n for r in want.word_topics().collect()}
+    blocks = 4
+    monkeypatch.setattr(T, "WORDS_PER_RANGE", 30)
+    monkeypatch.setattr(T.Scratch, "save", kept)
+    model = T.fit_lda(docs, k=3, sweeps=4, mode=mode)
+    assert {r.word_id: r.n for r in model.word_topics().collect()} == words and len(words) == len({w for _, t in texts for w in t.split()})
+    shared = tables["block-words"]
+    ranges = -(-shared // 30)
+    assert ranges > 2 and 0 < tables["sweep=3"] <= 4 * ranges < shared
+
+
 def test_unknown_words(spark, small, model):
     new = C.corpus(spark.createDataFrame([(7, "apple zzz")], "doc_id bigint, text string"), "doc_id", "text")
     pairs = K.word_pairs(C.encoded_tokens(new, model.vocab, "left", None))
